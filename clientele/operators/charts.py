@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.money import as_count, as_dollars, as_percent, exact_total, ratio
+from ..functions.money import as_count, as_dollars, as_percent, exact_sum, ratio
 from ..functions.rules import recency_label
 
 
@@ -17,7 +17,7 @@ def kpis(df: DataFrame, risk: bool = True) -> DataFrame:
     selection gives zeros.
     """
     row = df.agg(
-        F.coalesce(exact_total(F.col("total_spent")).cast("double"), F.lit(0.0)).alias("total_revenue"),
+        F.coalesce(exact_sum(F.col("total_spent")), F.lit(0.0)).alias("total_revenue"),
         F.count("*").alias("customers"),
         F.coalesce(F.avg("avg_order_value"), F.lit(0.0)).alias("avg_order_value"),
         *([F.count_if(F.col("churn_risk_level") == fv.HIGH_RISK).alias("high_risk_customers")] if risk else []),
@@ -48,7 +48,7 @@ def segment_counts(df: DataFrame) -> DataFrame:
 
 def segment_spend(df: DataFrame) -> DataFrame:
     """Mean total spent per segment, least first."""
-    mean = ratio(exact_total(F.col("total_spent")), F.count("total_spent"))
+    mean = ratio(exact_sum(F.col("total_spent")), F.count("total_spent"))
     return df.groupBy("rfm_segment").agg(mean.alias("avg_total_spent")).orderBy("avg_total_spent", "rfm_segment")
 
 

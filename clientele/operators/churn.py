@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.rules import one_decimal, risk_tier
 
-ROWS_PER_PARTITION = 500_000
+ROWS_PER_PARTITION = 1_000_000
 MIN_PARTITIONS = 8
 # Candidate thresholds per feature.
 SPLIT_BINS = 128

@@ -40,7 +40,7 @@ def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
         "country",
         "join_date",
         F.coalesce("completed", zero).alias("total_orders"),
-        F.coalesce(F.col("spent").cast("double"), F.lit(0.0)).alias("total_spent"),
+        F.coalesce("spent", F.lit(0.0)).alias("total_spent"),
         F.coalesce(ratio(F.col("spent"), F.col("amounts")), F.lit(0.0)).alias("avg_order_value"),
         "last_order_date",
         "first_order_date",
@@ -69,7 +69,7 @@ def monthly_sales(orders: DataFrame) -> DataFrame:
         _by_month(orders)
         .select(
             "year_month",
-            F.col("revenue").cast("double").alias("monthly_revenue"),
+            F.col("revenue").alias("monthly_revenue"),
             F.col("orders").alias("total_orders"),
             F.col("buyers").alias("active_customers"),
             ratio(F.col("revenue"), F.col("amounts")).alias("avg_order_amount"),
@@ -88,7 +88,7 @@ def monthly_trend(
         _by_month(filter_orders(orders, start, end))
         .select(
             "year_month",
-            F.coalesce(F.col("revenue").cast("double"), F.lit(0.0)).alias("revenue"),
+            F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
             "orders",
             F.col("buyers").alias("unique_customers"),
         )
