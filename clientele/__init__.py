@@ -3,7 +3,7 @@
 from .operators.charts import heatmap, kpis, kpis_display, label_axes, segment_counts, segment_spend
 from .operators.checks import duplicate_keys, null_counts, orphan_keys, unexpected_values
 from .operators.churn import ChurnResult, score_churn
-from .operators.features import rfm_features, rfm_measures, scale_features, snapshot_date
+from .operators.features import RFM_MEASURES, rfm_features, scale_features, snapshot_date
 from .operators.filters import (
     category_options,
     filter_customers,
@@ -51,7 +51,7 @@ __all__ = [
     "rfm",
     "rfm_and_churn",
     "rfm_features",
-    "rfm_measures",
+    "RFM_MEASURES",
     "risk_report",
     "scale_features",
     "score_churn",

@@ -1,17 +1,16 @@
 """Text form of numeric keys."""
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ID_WIDTH = 9
 ID_PREFIXES = {"customer_id": "CUST_", "order_id": "ORD_"}
 
 
-def public_id(key: Column, prefix: str) -> Column:
+def public_id(key: str, prefix: str) -> str:
     """``prefix`` plus the key, zero-padded to nine digits and never cut short."""
-    digits = key.cast("string")
-    width = F.greatest(F.lit(ID_WIDTH), F.length(digits))
-    return F.concat(F.lit(prefix), F.lpad(digits, width, F.lit("0")))
+    digits = f"cast({key} as string)"
+    return f"concat('{prefix}', lpad({digits}, greatest({ID_WIDTH}, length({digits})), '0'))"
 
 
 def with_public_ids(df: DataFrame) -> DataFrame:
@@ -19,5 +18,5 @@ def with_public_ids(df: DataFrame) -> DataFrame:
 
     Joins, groupings and ranks run on the narrow numeric key; this belongs after them.
     """
-    present = {c: public_id(F.col(c), p) for c, p in ID_PREFIXES.items() if c in df.columns}
+    present = {c: F.expr(public_id(c, p)) for c, p in ID_PREFIXES.items() if c in df.columns}
     return df.withColumns(present)

@@ -1,46 +1,42 @@
-"""Exact money arithmetic and number display.
+"""Exact money arithmetic and number display, as SQL expressions.
 
 Amounts carry two decimals. They are summed as whole cents, so a sum does not
 depend on how rows were partitioned, and come back as DOUBLE.
 """
 
-from pyspark.sql import Column
-from pyspark.sql import functions as F
-
 LOW_BITS = 20
 
 
-def exact_sum(amount: Column) -> Column:
+def exact_sum(amount: str) -> str:
     """Sum of two-decimal amounts; null over no rows.
 
     The high and low bits of the cents are summed apart as BIGINT, which stays far
     from overflow over trillions of rows and costs a tenth of a DECIMAL sum.
     """
-    cents = F.rint(amount * 100).cast("bigint")
-    high = F.sum(F.shiftright(cents, LOW_BITS)).cast("decimal(19,0)")
-    low = F.sum(cents.bitwiseAND(F.lit(2**LOW_BITS - 1))).cast("decimal(19,0)")
-    whole = high * F.lit(2**LOW_BITS).cast("decimal(7,0)") + low
-    return whole.cast("double") / 100.0
+    cents = f"cast(rint(({amount}) * 100) as bigint)"
+    high = f"cast(sum(shiftright({cents}, {LOW_BITS})) as decimal(19,0))"
+    low = f"cast(sum({cents} & {2**LOW_BITS - 1}) as decimal(19,0))"
+    return f"cast({high} * cast({2**LOW_BITS} as decimal(7,0)) + {low} as double) / 100D"
 
 
-def ratio(total: Column, count: Column) -> Column:
+def ratio(total: str, count: str) -> str:
     """total / count as DOUBLE; null when count is zero."""
-    return F.try_divide(total.cast("double"), count.cast("double"))
+    return f"try_divide(cast({total} as double), cast({count} as double))"
 
 
-def as_dollars(x: Column) -> Column:
-    return F.format_string("$%,.2f", x.cast("double"))
+def as_dollars(x: str) -> str:
+    return f"format_string('$%,.2f', cast({x} as double))"
 
 
-def as_percent(x: Column) -> Column:
-    return F.format_string("%.1f%%", x.cast("double"))
+def as_percent(x: str) -> str:
+    return f"format_string('%.1f%%', cast({x} as double))"
 
 
-def as_count(x: Column) -> Column:
-    return F.format_string("%,d", x.cast("bigint"))
+def as_count(x: str) -> str:
+    return f"format_string('%,d', cast({x} as bigint))"
 
 
-def plain(x: Column, decimals: int) -> Column:
+def plain(x: str, decimals: int) -> str:
     """A double as plain decimal text: no exponent, at least one decimal kept."""
-    text = x.cast(f"decimal(38,{decimals})").cast("string")
-    return F.regexp_replace(text, r"(\.\d+?)0+$", "$1")
+    text = f"cast(cast({x} as decimal(38,{decimals})) as string)"
+    return f"regexp_replace({text}, '([.][0-9]+?)0+$', '$1')"

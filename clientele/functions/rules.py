@@ -1,67 +1,59 @@
-"""Business rules as column expressions; first match wins in every chain."""
-
-from pyspark.sql import Column
-from pyspark.sql import functions as F
+"""Business rules as SQL expressions over column names; first match wins in every chain."""
 
 from . import fixed_values as fv
 
 
-def segment(r: Column, f: Column, m: Column) -> Column:
+def segment(r: str = "R_score", f: str = "F_score", m: str = "M_score") -> str:
     """Customer segment from the three scores; 3 and 4 count as high."""
-    return (
-        F.when((r >= 3) & (f >= 3) & (m >= 3), fv.CHAMPIONS)
-        .when((f >= 3) & (m >= 3), fv.LOYAL)
-        .when((r >= 3) & (f <= 2), fv.PROMISING)
-        .when((r <= 2) & (f >= 3), fv.AT_RISK)
-        .when((r <= 2) & (f <= 2), fv.HIBERNATING)
-        .otherwise(fv.NEEDS_ATTENTION)
-    )
+    return f"""CASE
+        WHEN {r} >= 3 AND {f} >= 3 AND {m} >= 3 THEN '{fv.CHAMPIONS}'
+        WHEN {f} >= 3 AND {m} >= 3 THEN '{fv.LOYAL}'
+        WHEN {r} >= 3 AND {f} <= 2 THEN '{fv.PROMISING}'
+        WHEN {r} <= 2 AND {f} >= 3 THEN '{fv.AT_RISK}'
+        WHEN {r} <= 2 AND {f} <= 2 THEN '{fv.HIBERNATING}'
+        ELSE '{fv.NEEDS_ATTENTION}' END"""
 
 
 def churned(
-    recency: Column,
-    frequency: Column,
+    recency: str = "recency_days",
+    frequency: str = "frequency",
     after_days: int = fv.CHURN_AFTER_DAYS,
     after_days_if_rare: int = fv.CHURN_AFTER_DAYS_IF_RARE,
     rare_orders: int = fv.RARE_ORDERS,
-) -> Column:
+) -> str:
     """1 for a customer gone quiet, 0 otherwise. Rare buyers count sooner."""
-    quiet = (recency > after_days) | ((recency > after_days_if_rare) & (frequency <= rare_orders))
-    return F.when(quiet, 1).otherwise(0)
+    rare = f"{recency} > {after_days_if_rare} AND {frequency} <= {rare_orders}"
+    return f"CASE WHEN {recency} > {after_days} OR ({rare}) THEN 1 ELSE 0 END"
 
 
 def risk_tier(
-    pct: Column,
+    pct: str = "churn_risk_pct",
     moderate_from: float = fv.MODERATE_FROM_PCT,
     high_from: float = fv.HIGH_FROM_PCT,
-) -> Column:
+) -> str:
     """Tier of a rounded churn percentage; lower bounds belong to the higher tier."""
-    return (
-        F.when(pct < moderate_from, fv.LOW_RISK)
-        .when(pct < high_from, fv.MODERATE_RISK)
-        .otherwise(fv.HIGH_RISK)
-    )
+    return f"""CASE
+        WHEN {pct} < {moderate_from}D THEN '{fv.LOW_RISK}'
+        WHEN {pct} < {high_from}D THEN '{fv.MODERATE_RISK}'
+        ELSE '{fv.HIGH_RISK}' END"""
 
 
-def recommended_action(tier: Column, segment_: Column) -> Column:
+def recommended_action(tier: str = "churn_risk_level", segment_: str = "rfm_segment") -> str:
     """What to do about a customer; a high risk outranks the segment."""
-    return (
-        F.when(tier == fv.HIGH_RISK, fv.WIN_BACK)
-        .when(segment_ == fv.AT_RISK, fv.VIP_OUTREACH)
-        .when(segment_ == fv.CHAMPIONS, fv.LOYALTY_CLUB)
-        .when(tier == fv.MODERATE_RISK, fv.RE_ENGAGE)
-        .otherwise(fv.STANDARD)
-    )
+    return f"""CASE
+        WHEN {tier} = '{fv.HIGH_RISK}' THEN '{fv.WIN_BACK}'
+        WHEN {segment_} = '{fv.AT_RISK}' THEN '{fv.VIP_OUTREACH}'
+        WHEN {segment_} = '{fv.CHAMPIONS}' THEN '{fv.LOYALTY_CLUB}'
+        WHEN {tier} = '{fv.MODERATE_RISK}' THEN '{fv.RE_ENGAGE}'
+        ELSE '{fv.STANDARD}' END"""
 
 
-def one_decimal(x: Column) -> Column:
+def one_decimal(x: str) -> str:
     """Round to one decimal, halves to the even digit."""
-    return F.rint(x * 10) / 10
+    return f"rint(({x}) * 10D) / 10D"
 
 
-def recency_label(score: Column) -> Column:
+def recency_label(score: str = "R_score") -> str:
     """Heatmap row label of a recency score."""
-    label = F.concat(F.lit("R"), score.cast("string"))
-    for value, text in fv.HEATMAP_ROW_LABELS.items():
-        label = F.when(score == value, text).otherwise(label)
-    return label
+    named = " ".join(f"WHEN {value} THEN '{text}'" for value, text in fv.HEATMAP_ROW_LABELS.items())
+    return f"CASE {score} {named} ELSE concat('R', {score}) END"

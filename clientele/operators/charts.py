@@ -16,29 +16,29 @@ def kpis(df: DataFrame, risk: bool = True) -> DataFrame:
     The mean counts every customer once, those without orders as 0. An empty
     selection gives zeros.
     """
-    row = df.agg(
-        F.coalesce(exact_sum(F.col("total_spent")), F.lit(0.0)).alias("total_revenue"),
-        F.count("*").alias("customers"),
-        F.coalesce(F.avg("avg_order_value"), F.lit(0.0)).alias("avg_order_value"),
-        *([F.count_if(F.col("churn_risk_level") == fv.HIGH_RISK).alias("high_risk_customers")] if risk else []),
+    row = df.selectExpr(
+        f"coalesce({exact_sum('total_spent')}, 0D) AS total_revenue",
+        "count(*) AS customers",
+        "coalesce(avg(avg_order_value), 0D) AS avg_order_value",
+        *([f"count_if(churn_risk_level = '{fv.HIGH_RISK}') AS high_risk_customers"] if risk else []),
     )
     if not risk:
         return row
-    share = F.coalesce(ratio(F.col("high_risk_customers"), F.col("customers")) * 100, F.lit(0.0))
-    return row.withColumn("high_risk_pct", share)
+    share = f"coalesce({ratio('high_risk_customers', 'customers')} * 100, 0D)"
+    return row.withColumn("high_risk_pct", F.expr(share))
 
 
 def kpis_display(row: DataFrame) -> DataFrame:
     """The KPI row as the text shown to people."""
     shown = {
-        "total_revenue": as_dollars(F.col("total_revenue")),
-        "customers": as_count(F.col("customers")),
-        "avg_order_value": as_dollars(F.col("avg_order_value")),
+        "total_revenue": as_dollars("total_revenue"),
+        "customers": as_count("customers"),
+        "avg_order_value": as_dollars("avg_order_value"),
     }
     if "high_risk_pct" in row.columns:
-        shown["high_risk_customers"] = F.col("high_risk_customers").cast("string")
-        shown["high_risk_pct"] = as_percent(F.col("high_risk_pct"))
-    return row.withColumns(shown)
+        shown["high_risk_customers"] = "cast(high_risk_customers as string)"
+        shown["high_risk_pct"] = as_percent("high_risk_pct")
+    return row.withColumns({name: F.expr(text) for name, text in shown.items()})
 
 
 def segment_counts(df: DataFrame) -> DataFrame:
@@ -48,8 +48,9 @@ def segment_counts(df: DataFrame) -> DataFrame:
 
 def segment_spend(df: DataFrame) -> DataFrame:
     """Mean total spent per segment, least first."""
-    mean = ratio(exact_sum(F.col("total_spent")), F.count("total_spent"))
-    return df.groupBy("rfm_segment").agg(mean.alias("avg_total_spent")).orderBy("avg_total_spent", "rfm_segment")
+    mean = ratio(exact_sum("total_spent"), "count(total_spent)")
+    spend = df.groupBy("rfm_segment").agg(F.expr(f"{mean} AS avg_total_spent"))
+    return spend.orderBy("avg_total_spent", "rfm_segment")
 
 
 def heatmap(
@@ -65,7 +66,5 @@ def heatmap(
 
 def label_axes(matrix: DataFrame, index: str = "R_score") -> DataFrame:
     """Name the columns F<score> and the rows after their recency score."""
-    return matrix.select(
-        recency_label(F.col(index)).alias(index),
-        *[F.col(c).alias(f"F{c}") for c in matrix.columns if c != index],
-    )
+    scores = [c for c in matrix.columns if c != index]
+    return matrix.selectExpr(f"{recency_label(index)} AS {index}", *[f"`{c}` AS F{c}" for c in scores])

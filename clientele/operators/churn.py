@@ -40,12 +40,13 @@ def score_churn(frame: DataFrame, key: str = "customer_id") -> ChurnResult:
         pct, weights = F.lit(0.0), [0.0] * len(fv.CHURN_FEATURES)
         scored = frame
     else:
-        pct = one_decimal(vector_to_array("probability")[1] * 100.0)
+        pct = vector_to_array("probability")[1] * 100.0
         weights = model.stages[-1].featureImportances.toArray().tolist()
         scored = model.transform(frame)
-    customers = scored.select(*frame.columns, pct.alias("churn_risk_pct")).withColumn(
-        "churn_risk_level", risk_tier(F.col("churn_risk_pct"))
+    customers = scored.select(*frame.columns, pct.alias("pct")).selectExpr(
+        *frame.columns, f"{one_decimal('pct')} AS churn_risk_pct"
     )
+    customers = customers.withColumn("churn_risk_level", F.expr(risk_tier()))
     importances = frame.sparkSession.createDataFrame(
         list(zip(fv.CHURN_FEATURES, weights)), "feature string, importance double"
     )

@@ -2,7 +2,7 @@
 
 import datetime
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
@@ -10,8 +10,10 @@ from ..functions import fixed_values as fv
 
 def snapshot_date(summary: DataFrame) -> DataFrame:
     """One row: the day after the last completed order of anybody, or the fallback."""
-    last = F.max(F.col("last_order_date").cast("date"))
-    return summary.agg(F.coalesce(F.date_add(last, 1), F.lit(fv.FALLBACK_SNAPSHOT)).alias("snapshot_date"))
+    last = "max(cast(last_order_date as date))"
+    return summary.selectExpr(
+        f"coalesce(date_add({last}, 1), date '{fv.FALLBACK_SNAPSHOT}') AS snapshot_date"
+    )
 
 
 def rfm_features(
@@ -20,28 +22,21 @@ def rfm_features(
     never_ordered_days: int = fv.NEVER_ORDERED_DAYS,
 ) -> DataFrame:
     """Add recency_days, frequency, monetary and tenure_days as of ``snapshot``."""
-    day = F.lit(snapshot).cast("date")
-    since_order = F.datediff(day, F.col("last_order_date").cast("date"))
-    since_join = F.datediff(day, F.col("join_date").cast("date"))
-    return summary.withColumns(
-        {
-            "recency_days": F.greatest(F.lit(0), F.coalesce(since_order, F.lit(never_ordered_days))),
-            "frequency": F.coalesce("total_orders", F.lit(0)),
-            "monetary": F.coalesce("total_spent", F.lit(0.0)),
-            "avg_order_value": F.coalesce("avg_order_value", F.lit(0.0)),
-            "returned_orders": F.coalesce("returned_orders", F.lit(0)),
-            "tenure_days": F.greatest(F.lit(1), F.coalesce(since_join, F.lit(fv.UNKNOWN_TENURE_DAYS))),
-        }
-    )
+    since_order = f"datediff(date '{snapshot}', cast(last_order_date as date))"
+    since_join = f"datediff(date '{snapshot}', cast(join_date as date))"
+    features = {
+        "recency_days": f"greatest(0, coalesce({since_order}, {never_ordered_days}))",
+        "frequency": "coalesce(total_orders, 0L)",
+        "monetary": "coalesce(total_spent, 0D)",
+        "avg_order_value": "coalesce(avg_order_value, 0D)",
+        "returned_orders": "coalesce(returned_orders, 0L)",
+        "tenure_days": f"greatest(1, coalesce({since_join}, {fv.UNKNOWN_TENURE_DAYS}))",
+    }
+    return summary.withColumns({name: F.expr(text) for name, text in features.items()})
 
 
-def rfm_measures() -> dict[str, Column]:
-    """The ranked measures, larger is better: the most recent customer ranks last."""
-    return {
-        "R_score": -F.col("recency_days"),
-        "F_score": F.col("frequency"),
-        "M_score": F.col("monetary"),
-    }
+# What is ranked, as SQL expressions; larger is better, so the most recent customer ranks last.
+RFM_MEASURES = {"R_score": "-recency_days", "F_score": "frequency", "M_score": "monetary"}
 
 
 def scale_features(df: DataFrame, columns=fv.CHURN_FEATURES) -> DataFrame:
@@ -49,12 +44,8 @@ def scale_features(df: DataFrame, columns=fv.CHURN_FEATURES) -> DataFrame:
 
     The moments are one row of numbers, read once; the scaling is a projection.
     """
-    moments = df.agg(
-        *[F.avg(c).alias(f"{c}_mean") for c in columns],
-        *[F.stddev_pop(c).alias(f"{c}_std") for c in columns],
-    ).first()
+    moments = df.selectExpr(*[f"avg({c})" for c in columns], *[f"stddev_pop({c})" for c in columns]).first()
     scaled = {}
-    for c in columns:
-        mean, std = moments[f"{c}_mean"], moments[f"{c}_std"]
+    for c, mean, std in zip(columns, moments, moments[len(columns) :]):
         scaled[f"{c}_scaled"] = (F.col(c) - mean) / std if std else F.lit(0.0)
     return df.withColumns(scaled)

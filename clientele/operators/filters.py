@@ -49,8 +49,8 @@ def filter_orders(
 
 def filter_options(orders: DataFrame, summary: DataFrame) -> DataFrame:
     """One row: first and last order date of any status, and the largest total spent."""
-    dates = orders.agg(F.min("order_date").alias("min_order_date"), F.max("order_date").alias("max_order_date"))
-    spend = summary.agg(F.max("total_spent").alias("max_total_spent"))
+    dates = orders.selectExpr("min(order_date) AS min_order_date", "max(order_date) AS max_order_date")
+    spend = summary.selectExpr("max(total_spent) AS max_total_spent")
     # Both sides are global aggregates of exactly one row.
     return dates.crossJoin(spend)
 

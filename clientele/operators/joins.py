@@ -28,15 +28,15 @@ def hot_keys(
     if total <= rows_per_task:
         return None
     fraction = min(1.0, sample_rows / total)
-    keys = df.select(key).where(F.col(key).isNotNull())
+    keys = df.select(key).where(f"{key} IS NOT NULL")
     if fraction < 1.0:
         keys = keys.sample(fraction, seed=1)
     least = max(share * total, rows_per_task) * fraction
-    found = keys.groupBy(key).agg(F.count("*").alias("n")).where(F.col("n") > least).collect()
+    found = keys.groupBy(key).agg(F.expr("count(*) AS n")).where(f"n > {least}D").collect()
     if not found:
         return None
     pieces = [(row[key], math.ceil(row["n"] / fraction / rows_per_task)) for row in found]
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, pieces int"
+    schema = f"{key} {df.schema[key].dataType.simpleString()}, pieces int"
     return df.sparkSession.createDataFrame(pieces, schema)
 
 
@@ -52,8 +52,8 @@ def join_to_unique(
         return fact.join(dim, key)
     hot = F.broadcast(hot)
     # A hash, unlike a random number, gives a retried task the same answer.
-    piece = F.coalesce(F.pmod(F.xxhash64(spread), F.col("pieces")), F.lit(0)).cast("int")
+    piece = F.expr(f"cast(coalesce(pmod(xxhash64({spread}), pieces), 0) as int)")
     cut = fact.join(hot, key, "left").withColumn("piece", piece).drop("pieces")
-    copies = F.explode(F.sequence(F.lit(0), F.coalesce("pieces", F.lit(1)) - 1))
+    copies = F.expr("explode(sequence(0, coalesce(pieces, 1) - 1))")
     repeated = dim.join(hot, key, "left").withColumn("piece", copies).drop("pieces")
     return cut.join(repeated, [key, "piece"]).drop("piece")

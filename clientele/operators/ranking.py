@@ -1,16 +1,15 @@
 """Exact unique ranks and quartile scores without sorting a table in one task.
 
 A row's place is decided by (value, key), so ties never share a rank and a value
-held by most rows still splits into even parts. ``key`` must be unique.
+held by most rows still splits into even parts. ``key`` must be unique. Measures
+are SQL expressions and are compared as DOUBLE.
 """
 
 import math
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from functools import reduce
-from operator import add, or_
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.staging import stage
@@ -21,17 +20,18 @@ SAMPLE_ROWS = 20_000
 # Bounds lie this many standard errors around the sampled place of a rank.
 SAMPLE_MARGIN = 5
 
-Cut = tuple[float, object]
+Cut = tuple[float, int | str]
 
 
-def quartile_score(value: Column, key: Column, cuts: list[Cut]) -> Column:
-    """1 plus the number of ``cuts`` that (value, key) lies beyond."""
-    return reduce(add, [_after(value, key, cut).cast("int") for cut in cuts], F.lit(1))
+def quartile_score(measure: str, key: str, cuts: Sequence[Cut]) -> str:
+    """SQL for 1 plus the number of ``cuts`` that (measure, key) lies beyond."""
+    value = f"cast({measure} as double)"
+    return " + ".join(["1", *[f"CASE WHEN {_after(value, key, cut)} THEN 1 ELSE 0 END" for cut in cuts]])
 
 
 def quartile_cuts(
     df: DataFrame,
-    measures: Mapping[str, Column],
+    measures: Mapping[str, str],
     key: str,
     buckets: int = QUARTILES,
     rows_per_task: int = ROWS_PER_TASK,
@@ -49,12 +49,12 @@ def quartile_cuts(
     n = df.count()
     if n == 0:
         return {name: [] for name in measures}
-    rows = df.select(F.col(key).alias("key"), *[c.cast("double").alias(m) for m, c in measures.items()])
+    rows = df.selectExpr(f"{key} AS key", *[f"cast({text} as double) AS {name}" for name, text in measures.items()])
     wanted = [1 + (n - 1) * k // buckets for k in range(1, buckets)]
     ranges = [_Range(name, None, None, 0, n, tuple(sorted(set(wanted)))) for name in measures]
     seed = 0
     while wide := [r for r in ranges if r.rows > rows_per_task]:
-        seed += 1
+        seed += len(wide)
         narrowed = _narrow(rows, wide, sample_rows, seed)
         if max(r.rows for r in narrowed) >= max(r.rows for r in wide):
             raise ValueError(f"column {key!r} must be unique")
@@ -63,34 +63,35 @@ def quartile_cuts(
     return {name: [found[name, rank] for rank in wanted] for name in measures}
 
 
-def global_ranks(df: DataFrame, measures: Mapping[str, Column], key: str) -> DataFrame:
+def global_ranks(df: DataFrame, measures: Mapping[str, str], key: str) -> DataFrame:
     """(key, one BIGINT rank per measure): 1 for the smallest (value, key).
 
     All measures share one range-partitioned sort. A row's place inside its sorted
     partition plus the sizes of the partitions before it make its rank.
     """
-    names = list(measures)
-    pairs = [F.struct(F.lit(i).alias("measure"), measures[m].cast("double").alias("value")) for i, m in enumerate(names)]
+    pairs = ", ".join(
+        f"struct({i} AS measure, cast({text} as double) AS value)" for i, text in enumerate(measures.values())
+    )
     placed = (
-        df.select(key, F.inline(F.array(*pairs)))
+        df.selectExpr(key, f"inline(array({pairs}))")
         .orderBy("measure", "value", key)
         # The partition number in the high bits, the place inside it in the low 33.
-        .select(key, "measure", F.monotonically_increasing_id().alias("place"))
-        .withColumn("part", F.shiftright("place", 33))
+        .selectExpr(key, "measure", "monotonically_increasing_id() AS place")
+        .selectExpr("*", "shiftright(place, 33) AS part")
     )
     placed = stage(placed, "ranks")
-    earlier = Window.partitionBy("measure").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     # One row per sort partition and measure, hence the broadcast.
     parts = (
         placed.groupBy("measure", "part")
-        .agg(F.min("place").alias("first"), F.count("*").alias("rows"))
-        .withColumn("before", F.coalesce(F.sum("rows").over(earlier), F.lit(0)))
-        .drop("rows")
+        .agg(F.expr("min(place) AS first"), F.expr("count(*) AS rows"))
+        .selectExpr(
+            "measure", "part", "first", "sum(rows) OVER (PARTITION BY measure ORDER BY part) - rows AS before"
+        )
     )
-    rank = F.col("before") + F.col("place") - F.col("first") + 1
-    ranked = placed.join(F.broadcast(parts), ["measure", "part"]).select(key, "measure", rank.alias("rank"))
+    ranked = placed.join(F.broadcast(parts), ["measure", "part"])
+    rank = "before + place - first + 1"
     return ranked.groupBy(key).agg(
-        *[F.max(F.when(F.col("measure") == i, F.col("rank"))).alias(m) for i, m in enumerate(names)]
+        *[F.expr(f"max(CASE WHEN measure = {i} THEN {rank} END) AS {name}") for i, name in enumerate(measures)]
     )
 
 
@@ -105,38 +106,43 @@ class _Range:
     rows: int
     ranks: tuple[int, ...]
 
-    def holds(self) -> Column:
-        value, key = F.col(self.measure), F.col("key")
-        inside = F.lit(True)
+    def holds(self) -> str:
+        inside = ["true"]
         if self.low is not None:
-            inside = inside & _after(value, key, self.low)
+            inside.append(_after(self.measure, "key", self.low))
         if self.high is not None:
-            inside = inside & ~_after(value, key, self.high)
-        return inside
+            inside.append("NOT " + _after(self.measure, "key", self.high))
+        return " AND ".join(inside)
 
 
-def _after(value: Column, key: Column, cut: Cut) -> Column:
-    cut_value, cut_key = cut
-    return (value > cut_value) | ((value == cut_value) & (key > cut_key))
+def _after(value: str, key: str, cut: Cut) -> str:
+    cut_value = f"({cut[0]!r}D)"
+    return f"({value} > {cut_value} OR ({value} = {cut_value} AND {key} > {_literal(cut[1])}))"
 
 
-def _members(rows: DataFrame, ranges: list[_Range]) -> DataFrame:
-    """(range, value, key) for each row and each of the ranges it lies in; one pass."""
-    hits = [
-        F.when(r.holds(), F.struct(F.lit(i).alias("range"), F.col(r.measure).alias("value"), "key"))
-        for i, r in enumerate(ranges)
-    ]
-    return rows.select(F.inline(F.array_compact(F.array(*hits))))
+def _literal(key: int | str) -> str:
+    # Text goes through its bytes, which need no quoting.
+    return f"cast(X'{key.encode().hex()}' as string)" if isinstance(key, str) else f"({key}L)"
+
+
+def _members(rows: DataFrame, ranges: list[_Range], chosen: Sequence[str] | None = None) -> DataFrame:
+    """(range, value, key) for each row and each range it lies in and is ``chosen`` for; one pass."""
+    chosen = chosen or ["true"] * len(ranges)
+    hits = ", ".join(
+        f"CASE WHEN {also} AND {r.holds()} THEN struct({i} AS range, {r.measure} AS value, key) END"
+        for i, (r, also) in enumerate(zip(ranges, chosen))
+    )
+    return rows.selectExpr(f"inline(array_compact(array({hits})))")
 
 
 def _narrow(rows: DataFrame, ranges: list[_Range], sample_rows: int, seed: int) -> list[_Range]:
     bounds = _sampled_bounds(rows, ranges, sample_rows, seed)
     upto = [
-        F.count_if(r.holds() & ~_after(F.col(r.measure), F.col("key"), cut))
+        f"count_if({r.holds()} AND NOT {_after(r.measure, 'key', cut)})"
         for r, cuts in zip(ranges, bounds)
         for cut in cuts
     ]
-    counts = iter(rows.agg(*upto).first() if upto else ())
+    counts = iter(rows.selectExpr(*upto).first() if upto else ())
     narrowed = []
     for r, cuts in zip(ranges, bounds):
         edges = [(r.low, r.below), *[(cut, r.below + next(counts)) for cut in cuts], (r.high, r.below + r.rows)]
@@ -149,11 +155,9 @@ def _narrow(rows: DataFrame, ranges: list[_Range], sample_rows: int, seed: int)
 
 def _sampled_bounds(rows: DataFrame, ranges: list[_Range], sample_rows: int, seed: int) -> list[list[Cut]]:
     """Pairs on either side of each sought rank, in order, from a bounded sample."""
-    share = F.lit(0.0)
-    for i, r in enumerate(ranges):
-        share = F.when(F.col("range") == i, min(1.0, sample_rows / r.rows)).otherwise(share)
+    chance = [f"rand({seed + i}) < {sample_rows / r.rows!r}D" for i, r in enumerate(ranges)]
     drawn: list[list[Cut]] = [[] for _ in ranges]
-    for row in _members(rows, ranges).where(F.rand(seed) < share).collect():
+    for row in _members(rows, ranges, chance).collect():
         drawn[row["range"]].append((row["value"], row["key"]))
     return [_around(sorted(sample), r) for sample, r in zip(drawn, ranges)]
 
@@ -171,11 +175,11 @@ def _around(sample: list[Cut], r: _Range) -> list[Cut]:
 
 def _read_off(rows: DataFrame, ranges: list[_Range]) -> dict[tuple[str, int], Cut]:
     place = F.row_number().over(Window.partitionBy("range").orderBy("value", "key"))
-    sought = [
-        (F.col("range") == i) & F.col("place").isin([rank - r.below for rank in r.ranks])
+    sought = " OR ".join(
+        f"(range = {i} AND place IN ({', '.join(str(rank - r.below) for rank in r.ranks)}))"
         for i, r in enumerate(ranges)
-    ]
-    found = _members(rows, ranges).withColumn("place", place).where(reduce(or_, sought)).collect()
+    )
+    found = _members(rows, ranges).withColumn("place", place).where(sought).collect()
     return {
         (ranges[row["range"]].measure, ranges[row["range"]].below + row["place"]): (row["value"], row["key"])
         for row in found

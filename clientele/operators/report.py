@@ -13,33 +13,29 @@ from ..sources.storage import export_csv
 
 def risk_report(df: DataFrame) -> DataFrame:
     """The report columns of a scored frame and the recommended action."""
-    action = recommended_action(F.col("churn_risk_level"), F.col("rfm_segment"))
-    return df.withColumn("recommended_action", action).select(*fv.REPORT_HEADINGS)
+    return df.withColumn("recommended_action", F.expr(recommended_action())).select(*fv.REPORT_HEADINGS)
 
 
 def with_headings(report: DataFrame) -> DataFrame:
     """The report under its display headings (not valid as parquet names)."""
-    return report.select(*[F.col(c).alias(fv.REPORT_HEADINGS[c]) for c in report.columns])
+    return report.toDF(*[fv.REPORT_HEADINGS[c] for c in report.columns])
 
 
 def report_display(report: DataFrame) -> DataFrame:
     """The report with headings and its numbers as the text shown to people."""
-    return with_headings(
-        report.withColumns(
-            {
-                "total_spent": as_dollars(F.col("total_spent")),
-                "churn_risk_pct": as_percent(F.col("churn_risk_pct")),
-                "total_orders": as_count(F.col("total_orders")),
-                "recency_days": as_count(F.col("recency_days")),
-            }
-        )
-    )
+    shown = {
+        "total_spent": as_dollars("total_spent"),
+        "churn_risk_pct": as_percent("churn_risk_pct"),
+        "total_orders": as_count("total_orders"),
+        "recency_days": as_count("recency_days"),
+    }
+    return with_headings(report.withColumns({name: F.expr(text) for name, text in shown.items()}))
 
 
 def export_report(report: DataFrame, folder: str, day: datetime.date | None = None) -> str:
     """Write the report as CSV with headings and unformatted numbers; returns the folder written."""
     numbers = {
-        "total_spent": plain(F.col("total_spent"), 2),
-        "churn_risk_pct": plain(F.col("churn_risk_pct"), 1),
+        "total_spent": F.expr(plain("total_spent", 2)),
+        "churn_risk_pct": F.expr(plain("churn_risk_pct", 1)),
     }
     return export_csv(with_headings(report.withColumns(numbers)), folder, day)

@@ -18,64 +18,67 @@ def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
     crosses it however many orders a customer has; ``customer_id`` must be unique
     in ``customers``.
     """
-    done = F.col("status") == fv.COMPLETED
+    done = f"status = '{fv.COMPLETED}'"
+    returned = f"status = '{fv.RETURNED}'"
+    done_amount = f"CASE WHEN {done} THEN amount END"
+    done_date = f"CASE WHEN {done} THEN order_date END"
+    measures = {
+        "completed": f"count_if({done})",
+        "spent": exact_sum(done_amount),
+        "amounts": f"count({done_amount})",
+        "last_order_date": f"max({done_date})",
+        "first_order_date": f"min({done_date})",
+        "returned": f"count_if({returned})",
+    }
     per_customer = (
-        orders.where(F.col("status").isin(fv.COMPLETED, fv.RETURNED))
+        orders.where(f"{done} OR {returned}")
         .groupBy("customer_id")
-        .agg(
-            F.count_if(done).alias("completed"),
-            exact_sum(F.when(done, F.col("amount"))).alias("spent"),
-            F.count(F.when(done, F.col("amount"))).alias("amounts"),
-            F.max(F.when(done, F.col("order_date"))).alias("last_order_date"),
-            F.min(F.when(done, F.col("order_date"))).alias("first_order_date"),
-            F.count_if(F.col("status") == fv.RETURNED).alias("returned"),
-        )
+        .agg(*[F.expr(f"{text} AS {name}") for name, text in measures.items()])
     )
-    zero = F.lit(0).cast("bigint")
-    return customers.join(per_customer, "customer_id", "left").select(
+    return customers.join(per_customer, "customer_id", "left").selectExpr(
         "customer_id",
         "name",
         "email",
-        F.col("category").alias("preferred_category"),
+        "category AS preferred_category",
         "country",
         "join_date",
-        F.coalesce("completed", zero).alias("total_orders"),
-        F.coalesce("spent", F.lit(0.0)).alias("total_spent"),
-        F.coalesce(ratio(F.col("spent"), F.col("amounts")), F.lit(0.0)).alias("avg_order_value"),
+        "coalesce(completed, 0L) AS total_orders",
+        "coalesce(spent, 0D) AS total_spent",
+        f"coalesce({ratio('spent', 'amounts')}, 0D) AS avg_order_value",
         "last_order_date",
         "first_order_date",
-        F.coalesce("returned", zero).alias("returned_orders"),
+        "coalesce(returned, 0L) AS returned_orders",
     )
 
 
 def _by_month(orders: DataFrame) -> DataFrame:
     # Months are grouped as dates; text is made for the few result rows only.
+    measures = {
+        "revenue": exact_sum("amount"),
+        "orders": "count(order_id)",
+        "amounts": "count(amount)",
+        "buyers": "count(DISTINCT customer_id)",
+    }
     return (
-        orders.where(F.col("status") == fv.COMPLETED)
-        .groupBy(F.trunc("order_date", "month").alias("month"))
-        .agg(
-            exact_sum(F.col("amount")).alias("revenue"),
-            F.count("order_id").alias("orders"),
-            F.count("amount").alias("amounts"),
-            F.count_distinct("customer_id").alias("buyers"),
-        )
-        .withColumn("year_month", F.date_format("month", "yyyy-MM"))
+        orders.where(f"status = '{fv.COMPLETED}'")
+        .groupBy(F.expr("trunc(order_date, 'month') AS month"))
+        .agg(*[F.expr(f"{text} AS {name}") for name, text in measures.items()])
     )
 
 
+YEAR_MONTH = "date_format(month, 'yyyy-MM') AS year_month"
+
+
 def monthly_sales(orders: DataFrame) -> DataFrame:
     """Completed revenue, orders, distinct buyers and mean amount per month."""
-    return (
-        _by_month(orders)
-        .select(
-            "year_month",
-            F.col("revenue").alias("monthly_revenue"),
-            F.col("orders").alias("total_orders"),
-            F.col("buyers").alias("active_customers"),
-            ratio(F.col("revenue"), F.col("amounts")).alias("avg_order_amount"),
-        )
-        .orderBy("year_month")
+    months = _by_month(orders).selectExpr(
+        YEAR_MONTH,
+        "revenue AS monthly_revenue",
+        "orders AS total_orders",
+        "buyers AS active_customers",
+        f"{ratio('revenue', 'amounts')} AS avg_order_amount",
     )
+    return months.orderBy("year_month")
 
 
 def monthly_trend(
@@ -84,16 +87,10 @@ def monthly_trend(
     end: datetime.date | str | None = None,
 ) -> DataFrame:
     """The monthly chart: revenue, orders and distinct buyers of a date range."""
-    return (
-        _by_month(filter_orders(orders, start, end))
-        .select(
-            "year_month",
-            F.coalesce("revenue", F.lit(0.0)).alias("revenue"),
-            "orders",
-            F.col("buyers").alias("unique_customers"),
-        )
-        .orderBy("year_month")
+    months = _by_month(filter_orders(orders, start, end)).selectExpr(
+        YEAR_MONTH, "coalesce(revenue, 0D) AS revenue", "orders", "buyers AS unique_customers"
     )
+    return months.orderBy("year_month")
 
 
 def order_details(
@@ -105,11 +102,8 @@ def order_details(
     them; ``ordered=False`` saves the sort of the whole fact.
     """
     hot = hot_keys(orders, "customer_id") if split_hot else None
-    attributes = customers.select(
-        "customer_id",
-        F.col("name").alias("customer_name"),
-        F.col("category").alias("customer_category"),
-        "country",
+    attributes = customers.selectExpr(
+        "customer_id", "name AS customer_name", "category AS customer_category", "country"
     )
     facts = orders.withColumnRenamed("category", "product_category")
     joined = join_to_unique(facts, attributes, "customer_id", "order_id", hot).select(

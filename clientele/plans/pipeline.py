@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from ..functions import fixed_values as fv
 from ..functions.rules import churned, segment
 from ..operators.churn import ChurnResult, score_churn
-from ..operators.features import rfm_features, rfm_measures, snapshot_date
+from ..operators.features import RFM_MEASURES, rfm_features, snapshot_date
 from ..operators.ranking import quartile_cuts, quartile_score
 from ..operators.summary import customer_summary, monthly_sales, order_details
 from ..sources.staging import stage
@@ -33,12 +33,11 @@ def staged_features(
 
 def with_scores(features: DataFrame) -> DataFrame:
     """Add R_score, F_score and M_score, 1 to 4, over all rows of ``features``."""
-    measures = rfm_measures()
-    cuts = quartile_cuts(features, measures, "customer_id")
-    key = F.col("customer_id")
-    return features.withColumns(
-        {name: quartile_score(value.cast("double"), key, cuts[name]) for name, value in measures.items()}
-    )
+    cuts = quartile_cuts(features, RFM_MEASURES, "customer_id")
+    scores = {
+        name: F.expr(quartile_score(measure, "customer_id", cuts[name])) for name, measure in RFM_MEASURES.items()
+    }
+    return features.withColumns(scores)
 
 
 def rfm(
@@ -53,12 +52,7 @@ def rfm(
     projection of the staged summary.
     """
     scored = with_scores(staged_features(summary, snapshot, never_ordered_days, staged))
-    return scored.withColumns(
-        {
-            "rfm_segment": segment(F.col("R_score"), F.col("F_score"), F.col("M_score")),
-            "is_churned_target": churned(F.col("recency_days"), F.col("frequency")),
-        }
-    )
+    return scored.withColumns({"rfm_segment": F.expr(segment()), "is_churned_target": F.expr(churned())})
 
 
 def rfm_and_churn(
@@ -84,6 +78,6 @@ def load_dashboard(customers: DataFrame, orders: DataFrame) -> Dashboard:
     return Dashboard(
         stage(churn.customers, "scored"),
         monthly_sales(orders),
-        order_details(customers, orders),
+        order_details(customers, orders, ordered=False),
         churn.importances,
     )

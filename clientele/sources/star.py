@@ -35,18 +35,15 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """customers(customer_id, name, email, category, join_date, country)."""
     # One row per nation, so that plans without the country drop the join. How to
     # join is left to the planner, which broadcasts by size.
-    nation = table(spark, sf_dir, "nation").groupBy("n_nationkey").agg(F.max("n_name").alias("n_name"))
-    joined = table(spark, sf_dir, "customer").join(
-        nation, F.col("c_nationkey") == F.col("n_nationkey"), "left"
-    )
-    days_before = (F.col("c_custkey") % 365).cast("int")
-    return joined.select(
-        F.col("c_custkey").alias("customer_id"),
-        F.col("c_name").alias("name"),
-        F.concat(F.lower(F.replace("c_name", F.lit("#"), F.lit("."))), F.lit("@example.com")).alias("email"),
-        F.col("c_mktsegment").alias("category"),
-        F.date_sub(F.lit(FIRST_ORDER_DAY).cast("date"), days_before).alias("join_date"),
-        F.col("n_name").alias("country"),
+    nation = table(spark, sf_dir, "nation").groupBy("n_nationkey").agg(F.expr("max(n_name) AS n_name"))
+    joined = table(spark, sf_dir, "customer").join(nation, F.expr("c_nationkey = n_nationkey"), "left")
+    return joined.selectExpr(
+        "c_custkey AS customer_id",
+        "c_name AS name",
+        "concat(lower(replace(c_name, '#', '.')), '@example.com') AS email",
+        "c_mktsegment AS category",
+        f"date_sub(date '{FIRST_ORDER_DAY}', cast(c_custkey % 365 as int)) AS join_date",
+        "n_name AS country",
     )
 
 
@@ -58,23 +55,18 @@ def orders(spark: SparkSession, sf_dir: str, statuses: Sequence[str] = fv.STATUS
     them reach the scan as a filter on the stored codes, which a filter on the
     status made from them would not.
     """
-    items = (
-        table(spark, sf_dir, "lineitem")
-        .groupBy(F.col("l_orderkey").alias("item_order"))
-        .agg(F.sum("l_quantity").alias("quantity"))
-    )
+    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.expr("sum(l_quantity) AS quantity"))
     stored = table(spark, sf_dir, "orders")
     if set(statuses) != set(fv.STATUSES):
-        stored = stored.where(F.col("o_orderstatus").isin([STATUS_CODES[s] for s in statuses]))
-    status = F.lit(None).cast("string")
-    for word, code in STATUS_CODES.items():
-        status = F.when(F.col("o_orderstatus") == code, word).otherwise(status)
-    return stored.join(items, F.col("o_orderkey") == F.col("item_order"), "left").select(
-        F.col("o_orderkey").alias("order_id"),
-        F.col("o_custkey").alias("customer_id"),
-        F.col("o_orderdate").cast("date").alias("order_date"),
-        F.col("o_totalprice").alias("amount"),
-        F.coalesce("quantity", F.lit(0.0)).cast("bigint").alias("item_count"),
-        F.col("o_orderpriority").alias("category"),
-        status.alias("status"),
+        codes = ", ".join(f"'{STATUS_CODES[s]}'" for s in statuses)
+        stored = stored.where(f"o_orderstatus IN ({codes})")
+    words = " ".join(f"WHEN '{code}' THEN '{word}'" for word, code in STATUS_CODES.items())
+    return stored.join(items, F.expr("o_orderkey = l_orderkey"), "left").selectExpr(
+        "o_orderkey AS order_id",
+        "o_custkey AS customer_id",
+        "cast(o_orderdate as date) AS order_date",
+        "o_totalprice AS amount",
+        "cast(coalesce(quantity, 0) as bigint) AS item_count",
+        "o_orderpriority AS category",
+        f"CASE o_orderstatus {words} END AS status",
     )

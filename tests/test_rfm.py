@@ -8,7 +8,7 @@ from clientele.functions.rules import churned, one_decimal, recommended_action,
 
 
 def evaluate(spark, data, schema, column):
-    return [r[-1] for r in spark.createDataFrame(data, schema).select("*", column.alias("out")).collect()]
+    return [r[-1] for r in spark.createDataFrame(data, schema).select("*", F.expr(column).alias("out")).collect()]
 
 
 def test_segments(spark):
@@ -22,13 +22,13 @@ def test_segments(spark):
         (1, 1, 1): "Hibernating / Lost",
         (3, 3, 2): "Needs Attention",
     }
-    got = evaluate(spark, list(cases), "r int, f int, m int", segment(F.col("r"), F.col("f"), F.col("m")))
+    got = evaluate(spark, list(cases), "r int, f int, m int", segment("r", "f", "m"))
     assert got == list(cases.values())
 
 
 def test_churn_label(spark):
     cases = {(90, 3): 0, (91, 3): 1, (60, 2): 0, (61, 2): 1, (61, 3): 0, (90, 2): 1, (999, 0): 1, (0, 0): 0}
-    assert evaluate(spark, list(cases), "d int, n int", churned(F.col("d"), F.col("n"))) == list(cases.values())
+    assert evaluate(spark, list(cases), "d int, n int", churned("d", "n")) == list(cases.values())
 
 
 def test_tier_applies_to_the_rounded_percentage(spark):
@@ -44,8 +44,8 @@ def test_tier_applies_to_the_rounded_percentage(spark):
         2.25: (2.2, "Low Risk"),
     }
     data = [(x,) for x in cases]
-    assert evaluate(spark, data, "x double", one_decimal(F.col("x"))) == [c[0] for c in cases.values()]
-    assert evaluate(spark, data, "x double", risk_tier(one_decimal(F.col("x")))) == [c[1] for c in cases.values()]
+    assert evaluate(spark, data, "x double", one_decimal("x")) == [c[0] for c in cases.values()]
+    assert evaluate(spark, data, "x double", risk_tier(one_decimal("x"))) == [c[1] for c in cases.values()]
 
 
 def test_actions(spark):
@@ -56,7 +56,7 @@ def test_actions(spark):
         (fv.MODERATE_RISK, fv.HIBERNATING): fv.RE_ENGAGE,
         (fv.LOW_RISK, fv.PROMISING): fv.STANDARD,
     }
-    got = evaluate(spark, list(cases), "t string, s string", recommended_action(F.col("t"), F.col("s")))
+    got = evaluate(spark, list(cases), "t string, s string", recommended_action("t", "s"))
     assert got == list(cases.values())
 
 
