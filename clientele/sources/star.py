@@ -66,7 +66,7 @@ def orders(spark: SparkSession, sf_dir: str, statuses: Sequence[str] = fv.STATUS
         "o_custkey AS customer_id",
         "cast(o_orderdate as date) AS order_date",
         "o_totalprice AS amount",
-        "cast(coalesce(quantity, 0) as bigint) AS item_count",
+        "coalesce(cast(quantity as bigint), 0L) AS item_count",
         "o_orderpriority AS category",
         f"CASE o_orderstatus {words} END AS status",
     )

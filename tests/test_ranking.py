@@ -98,10 +98,17 @@ def test_repeated_keys_are_refused_when_they_fill_a_task(spark):
 
 
 @pytest.mark.parametrize("n", [1, 7, 4001])
-def test_global_ranks_match_pandas(spark, n):
+@pytest.mark.parametrize("merge_partitions", ["true", "false"])
+def test_global_ranks_match_pandas(spark, n, merge_partitions):
     pdf = frame(spark, n, seed=n)
-    ranks = cl.global_ranks(spark.createDataFrame(pdf).repartition(5), MEASURES, "id")
-    got = ranks.toPandas().sort_values("id").reset_index(drop=True)
+    setting = "spark.sql.adaptive.coalescePartitions.enabled"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, merge_partitions)
+    try:
+        ranks = cl.global_ranks(spark.createDataFrame(pdf).repartition(5), MEASURES, "id")
+        got = ranks.toPandas().sort_values("id").reset_index(drop=True)
+    finally:
+        spark.conf.set(setting, before)
     for name, ascending in (("tied", True), ("days", False), ("spent", True)):
         want = pdf.sort_values("id").reset_index(drop=True)[name].rank(method="first", ascending=ascending)
         assert (got[name] == want).all(), name
