@@ -49,10 +49,9 @@ def filter_orders(
 
 def filter_options(orders: DataFrame, summary: DataFrame) -> DataFrame:
     """One row: first and last order date of any status, and the largest total spent."""
+    spend = summary.selectExpr("max(total_spent)")
     dates = orders.selectExpr("min(order_date) AS min_order_date", "max(order_date) AS max_order_date")
-    spend = summary.selectExpr("max(total_spent) AS max_total_spent")
-    # Both sides are global aggregates of exactly one row.
-    return dates.crossJoin(spend)
+    return dates.select("*", spend.scalar().alias("max_total_spent"))
 
 
 def category_options(customers: DataFrame, column: str = "category") -> DataFrame:

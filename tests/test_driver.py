@@ -71,6 +71,14 @@ def test_lineitem_is_read_only_for_item_count(spark):
     assert "l_orderkey" in plan(driver.order_details(spark, sf))
 
 
+def test_nation_is_read_only_for_the_country(spark):
+    sf = f"{DATA}/sf0.001"
+    assert "n_nationkey" not in plan(driver.category_options(spark, sf))
+    assert "n_nationkey" not in plan(driver.check_pk(spark, sf))
+    assert "n_nationkey" not in plan(driver.kpis(spark, sf))
+    assert "n_nationkey" in plan(driver.customer_summary(spark, sf))
+
+
 def test_filters_reach_the_scan(spark):
     text = plan(driver.monthly_sales_in_range(spark, f"{DATA}/sf0.001"))
     assert "GreaterThanOrEqual(o_orderdate" in text
