@@ -121,8 +121,10 @@ def _after(value: str, key: str, cut: Cut) -> str:
 
 
 def _literal(key: int | str) -> str:
+    if isinstance(key, int):
+        return f"({key}L)"
     # Text goes through its bytes, which need no quoting.
-    return f"cast(X'{key.encode().hex()}' as string)" if isinstance(key, str) else f"({key}L)"
+    return f"cast(X'{key.encode().hex()}' as string)"
 
 
 def _members(rows: DataFrame, ranges: list[_Range], chosen: Sequence[str] | None = None) -> DataFrame:
