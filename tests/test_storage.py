@@ -67,7 +67,10 @@ REPORT = (
 
 def report(spark):
     data = [
-        ("c1", 'Ann "A", Lee', "a@b", "Electronics", "India", 1234, 12345678.9, 1001, "Champions", 70.0, "High Churn Risk"),
+        (
+            "c1", 'Ann "A", Lee', "a@b", "Electronics", "India", 1234, 12345678.9, 1001, "Champions", 70.0,
+            "High Churn Risk",
+        ),
         ("c2", "Bob", "b@b", "Electronics", "India", 0, 0.0, 3, "Champions", 0.1, "Low Risk"),
     ]
     return cl.risk_report(spark.createDataFrame(data, REPORT))
