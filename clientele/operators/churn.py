@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
 from ..functions.rules import one_decimal, risk_tier
+from ..sources.staging import pin
 
 ROWS_PER_PARTITION = 1_000_000
 MIN_PARTITIONS = 8
@@ -58,13 +59,13 @@ def _fit(frame: DataFrame, key: str) -> PipelineModel | None:
     if n == 0:
         return None
     # Bagging draws per partition: a layout that depends only on the rows makes a
-    # refit draw the same bags.
+    # refit draw the same bags. It is pinned, as the fit would shuffle anew for each
+    # of its passes.
     partitions = max(MIN_PARTITIONS, math.ceil(n / ROWS_PER_PARTITION))
     # The metadata says there are two classes even when only one occurs.
     label = F.col("is_churned_target").cast("double").alias("label", metadata={"ml_attr": {"type": "binary"}})
-    training = (
-        frame.select(key, label, *fv.CHURN_FEATURES).repartition(partitions, key).sortWithinPartitions(key)
-    )
+    laid_out = frame.select(key, "is_churned_target", *fv.CHURN_FEATURES).repartition(partitions, key)
+    training = pin(laid_out.sortWithinPartitions(key)).select(label, *fv.CHURN_FEATURES)
     forest = RandomForestClassifier(
         numTrees=fv.FOREST_TREES,
         maxDepth=fv.FOREST_DEPTH,

@@ -27,6 +27,14 @@ def shared_folder(spark: SparkSession) -> str:
     return context.getCheckpointDir()
 
 
+def pin(df: DataFrame) -> DataFrame:
+    """Checkpoint ``df`` reliably, keeping its partitions and their row order as they are."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A path in the shared folder that nothing has used yet."""
     return f"{shared_folder(spark).rstrip('/')}/clientele-{name}-{uuid.uuid4().hex}"
