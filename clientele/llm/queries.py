@@ -2,7 +2,7 @@
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import sql
+from . import sql, toxicity
 from .exact_dedup import exact_duplicates
 from .mixing import mix
 
@@ -19,7 +19,12 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_exact_dedup)}
+def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_exact_dedup, op7_toxicity)}
 
 
 def oracle_sql() -> dict[str, str]:
