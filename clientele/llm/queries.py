@@ -5,6 +5,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql, toxicity
 from .exact_dedup import exact_duplicates
 from .mixing import mix
+from .ngram_join import near_duplicates
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,7 +25,11 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_exact_dedup, op7_toxicity)}
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op3_mixing, op4_exact_dedup, op7_toxicity, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
