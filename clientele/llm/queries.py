@@ -6,12 +6,25 @@ from . import sql, toxicity
 from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .ngram_join import near_duplicates
+from .packing import pack
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str = "word_bpe_49k.json") -> str:
+    """The definition of a public tokenizer, read on the driver and shipped to the tasks."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path(name), encoding="utf-8") as file:
+        return file.read()
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack(_table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).drop("copies")
 
@@ -29,7 +42,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op3_mixing, op4_exact_dedup, op7_toxicity, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_mixing, op4_exact_dedup, op7_toxicity, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
