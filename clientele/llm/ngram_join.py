@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .jobs import HIDDEN, member_filter, partitions, stage, text_of, with_maybe
+from .jobs import HIDDEN, member_filter, partitions, stage, text_of, with_maybe, without_ids
 from .signature_tree import links, needed
 from .textops import buffers, mix, shingles, slices
 
@@ -304,3 +304,12 @@ def near_duplicates(
     return full.union(
         rows.filter("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     ).withColumn("n_shingles", F.col("n_shingles").cast("long"))
+
+
+def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
+    """``docs`` with the smallest doc_id of each component of ``near_duplicates``, all columns as they are.
+
+    Rows that share a doc_id stay or go together; rows with a null doc_id stay.
+    """
+    found = near_duplicates(docs, **options)
+    return without_ids(docs, stage(found.filter("doc_id <> component_id").select("doc_id"), "near-copies"))
