@@ -7,6 +7,7 @@ from .exact_dedup import exact_duplicates
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .packing import pack
+from .span_dedup import dedup_spans
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,11 +39,15 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dedup_spans(_table(spark, sf_dir, "documents"))
+
+
 def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_mixing, op4_exact_dedup, op7_toxicity, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_mixing, op4_exact_dedup, op7_toxicity, op9_span_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
