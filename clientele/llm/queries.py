@@ -1,9 +1,13 @@
 """The driver's queries of this package: each operator over its whole table, and the SQL twins."""
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import sql, toxicity
+from clientele.sources.staging import new_folder
+
+from . import sql, token_counts, toxicity
 from .exact_dedup import exact_duplicates
+from .jobs import stage
 from .mixing import mix
 from .ngram_join import near_duplicates
 from .packing import pack
@@ -34,6 +38,35 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Totals after four commits: a load, its copies deleted, low-quality texts revised, the load sent again.
+
+    Copies are all but the largest doc_id of an equal text. A document marked low in
+    quality is revised by dropping runs of symbols.
+    """
+    docs, labels = _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels")
+    versions = list(token_counts.VERSIONS)
+    low = labels.filter("quality = 0").select("doc_id").distinct()
+    revised_text = F.regexp_replace("text", sql.SYMBOLS, "")
+
+    loaded = stage(token_counts.counted(docs, versions), "counts")
+    prints = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    keepers = prints.groupBy("sha").agg(F.max("doc_id").alias("keep_id"))
+    copies = prints.join(keepers, "sha").filter("doc_id < keep_id").select("doc_id")
+    gone = stage(copies, "copies")
+    revised_docs = docs.join(low, "doc_id", "left_semi").withColumn("text", revised_text)
+    after = token_counts.counted(revised_docs, versions).join(gone, "doc_id", "left_anti")
+    before = loaded.join(low, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
+
+    ledger = token_counts.Ledger(spark, new_folder(spark, "llm-ledger"))
+    ledger.commit("load", token_counts.inserts(loaded))
+    ledger.commit("copies", token_counts.deletes(loaded.join(gone, "doc_id", "left_semi")))
+    ledger.compact("first")
+    ledger.commit("symbols", token_counts.revisions(before, after))
+    ledger.commit("load", token_counts.inserts(loaded))
+    return ledger.totals()
+
+
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
@@ -47,8 +80,8 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_mixing, op4_exact_dedup, op7_toxicity, op9_span_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_mixing, op4_exact_dedup, op6_token_counts, op7_toxicity, op9_span_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": sql.mixing(), "op4_exact_dedup": sql.exact_dedup()}
+    return {"op3_mixing": sql.mixing(), "op4_exact_dedup": sql.exact_dedup(), "op6_token_counts": sql.token_counts()}

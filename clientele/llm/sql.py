@@ -1,6 +1,9 @@
 """DuckDB twins of the operators that SQL can state, over the tables as the driver registers them."""
 
 from .mixing import MOST_REPEATS, WEIGHTS
+from .token_counts import VERSIONS
+
+SYMBOLS = "[%$#&*!]+"
 
 WORDS = r"length(regexp_extract_all(coalesce({text}, ''), '[^\x20\x09-\x0D]+'))"
 
@@ -58,3 +61,22 @@ SELECT s.doc_id, s.size, p.source_size, p.target,
        CAST(s.size * (p.times + CASE WHEN s.h < coalesce(t.threshold, 0) THEN 1 ELSE 0 END) AS BIGINT) AS taken
 FROM sized s JOIN planned p ON s.source IS NOT DISTINCT FROM p.source
      LEFT JOIN thresholds t ON s.source IS NOT DISTINCT FROM t.source"""
+
+
+
+def token_counts() -> str:
+    counts = " UNION ALL ".join(
+        f"SELECT source, lang, '{name}' AS version, length(regexp_extract_all(text, '{rule}')) AS n FROM final"
+        for name, rule in VERSIONS.items()
+    )
+    return f"""
+WITH kept AS (
+  SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents
+  QUALIFY doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, ''))),
+final AS (
+  SELECT source, lang,
+         CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)
+              THEN regexp_replace(text, '{SYMBOLS}', '', 'g') ELSE text END AS text
+  FROM kept)
+SELECT source, lang, version, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens
+FROM ({counts}) GROUP BY source, lang, version"""
