@@ -9,6 +9,7 @@ from . import sql, token_counts, toxicity
 from .exact_dedup import exact_duplicates
 from .jobs import stage
 from .mixing import mix
+from .multiprobe import nearest
 from .ngram_join import near_duplicates
 from .packing import pack
 from .span_dedup import dedup_spans
@@ -72,6 +73,10 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.fit(docs, _table(spark, sf_dir, "labels")))
 
 
+def op8_multiprobe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nearest(_table(spark, sf_dir, "embeddings"))
+
+
 def op9_span_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup_spans(_table(spark, sf_dir, "documents"))
 
@@ -80,7 +85,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_mixing, op4_exact_dedup, op6_token_counts, op7_toxicity, op9_span_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op2_packing, op3_mixing, op4_exact_dedup, op6_token_counts, op7_toxicity, op8_multiprobe, op9_span_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
