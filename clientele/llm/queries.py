@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from clientele.sources.staging import new_folder
 
-from . import sql, token_counts, toxicity
+from . import quality, sql, token_counts, toxicity
 from .exact_dedup import exact_duplicates
 from .jobs import stage
 from .mixing import mix
@@ -27,6 +27,11 @@ def tokenizer(name: str = "word_bpe_49k.json") -> str:
         return file.read()
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs, _table(spark, sf_dir, "labels")))
+
+
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(_table(spark, sf_dir, "documents"), tokenizer())
 
@@ -85,7 +90,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op2_packing, op3_mixing, op4_exact_dedup, op6_token_counts, op7_toxicity, op8_multiprobe, op9_span_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_mixing, op4_exact_dedup, op6_token_counts, op7_toxicity, op8_multiprobe, op9_span_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
