@@ -7,6 +7,7 @@ from clientele.sources.staging import new_folder
 
 from . import quality, sql, token_counts, toxicity
 from .exact_dedup import exact_duplicates
+from .html_wrapper import main_text
 from .jobs import stage
 from .mixing import mix
 from .multiprobe import nearest
@@ -44,6 +45,10 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op5_html_wrapper(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals after four commits: a load, its copies deleted, low-quality texts revised, the load sent again.
 
@@ -90,7 +95,7 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_mixing, op4_exact_dedup, op6_token_counts, op7_toxicity, op8_multiprobe, op9_span_dedup, op10_ngram_join)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_mixing, op4_exact_dedup, op5_html_wrapper, op6_token_counts, op7_toxicity, op8_multiprobe, op9_span_dedup, op10_ngram_join)}
 
 
 def oracle_sql() -> dict[str, str]:
