@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from .components import components
 from .jobs import HIDDEN, member_filter, partitions, stage, text_of, with_maybe, without_ids
-from .signature_tree import links, needed
+from .signature_tree import links
 from .textops import buffers, mix, shingles, slices
 
 SHINGLE = 3
@@ -43,7 +43,8 @@ def size_bands(num: int, den: int, most: int) -> np.ndarray:
 def parts(starts: np.ndarray, num: int, den: int) -> np.ndarray:
     """Ranges to cut the hash space into, by band: one more than the tokens in which a linked pair may differ."""
     ends = np.concatenate((starts[1:] - 1, [starts[-1] * den // num]))
-    return 2 * ends - 2 * needed(ends, ends, num, den) + 1
+    # Of sets of sizes a and b, at most (a + b) (den - num) / (den + num) tokens are in one only.
+    return 2 * ends * (den - num) // (den + num) + 1
 
 
 def band_keys(
@@ -92,6 +93,8 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
     def merge(held):
         """Of a chunk: each key once, with its least set, and links of its other sets to that one."""
         keys, sets = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held])
+        if not len(keys):
+            return
         order = np.lexsort((sets, keys))
         keys, sets = keys[order], sets[order]
         new = np.concatenate(([True], keys[1:] != keys[:-1]))
