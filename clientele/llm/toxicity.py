@@ -22,7 +22,7 @@ UPDATES = 225
 RATE = 3.0
 # Clean and toxic training rows, and their bytes, at most.
 CLASS_ROWS = (6000, 3000)
-CLASS_BYTES = (20_000_000, 10_000_000)
+CLASS_BYTES = (16_000_000, 8_000_000)
 THRESHOLD = 0.5
 # One training row in so many is kept from the fit and calibrates its log-odds.
 CALIBRATION_FOLDS = 5
@@ -50,14 +50,6 @@ def _grams(data: np.ndarray, buckets: int):
         yield order, (mix(h + np.uint64(order * _ODD % (1 << 64))) & np.uint64(buckets - 1)).astype(np.int32)
 
 
-def _groups(index: np.ndarray):
-    """(order, starts, distinct) that sum rows by ``index`` with reduceat."""
-    order = np.argsort(index, kind="stable")
-    ranked = index[order]
-    starts = np.flatnonzero(np.concatenate(([True], ranked[1:] != ranked[:-1])))
-    return order, starts, ranked[starts]
-
-
 class _Batch:
     """Sparse means of one batch: words to n-gram buckets, texts to words."""
 
@@ -68,41 +60,48 @@ class _Batch:
         h = word_hashes(spaced, starts, ends)
         _, first, word = np.unique(h, return_index=True, return_inverse=True)
         pair, counts = np.unique(rows * max(len(first), 1) + word, return_counts=True)
-        self.text, self.word = pair // max(len(first), 1), pair % max(len(first), 1)
+        self.text = (pair // max(len(first), 1)).astype(np.int32)
+        self.word = (pair % max(len(first), 1)).astype(np.int32)
         lengths = np.bincount(rows, minlength=n)
         self.weight = (counts / np.maximum(lengths, 1)[self.text]).astype(np.float32)[:, None]
         lo, hi = starts[first] - 1, ends[first] + 1
         gram, owner = [], []
         for order, bucket in _grams(spaced, buckets):
             each = np.maximum(hi - lo - order + 1, 0)
-            own = np.repeat(np.arange(len(first)), each)
+            own = np.repeat(np.arange(len(first), dtype=np.int32), each)
             gram.append(bucket[np.repeat(lo, each) + np.arange(len(own)) - np.repeat(np.cumsum(each) - each, each)])
             owner.append(own)
-        self.gram, self.owner = np.concatenate(gram), np.concatenate(owner)
-        self.share = (1 / np.maximum(np.bincount(self.owner, minlength=len(first)), 1)).astype(np.float32)
+        owner = np.concatenate(owner)
+        # Kept: each word's buckets one after the other and their number; the rest is remade when needed.
+        self.gram = np.concatenate(gram)[np.argsort(owner, kind="stable")]
+        self.grams = np.bincount(owner, minlength=len(first)).astype(np.int32)
         self.n, self.words, self.labels = n, len(first), labels
-        self.by_owner, self.by_gram = _groups(self.owner), _groups(self.gram)
-        self.by_text, self.by_word = _groups(self.text), _groups(self.word)
 
     @staticmethod
-    def _sum(values: np.ndarray, groups, n: int) -> np.ndarray:
-        order, starts, distinct = groups
+    def _sum(values: np.ndarray, index: np.ndarray, n: int) -> np.ndarray:
+        """Sums of the rows of each index; ``index`` ascends."""
         out = np.zeros((n, values.shape[1]), np.float32)
+        starts = np.flatnonzero(np.concatenate(([True], index[1:] != index[:-1])))[: len(index)]
         if len(starts):
-            out[distinct] = np.add.reduceat(values[order], starts, axis=0)
+            out[index[starts]] = np.add.reduceat(values, starts, axis=0)
         return out
 
     def texts(self, table: np.ndarray) -> np.ndarray:
-        vectors = self._sum(table[self.gram], self.by_owner, self.words) * self.share[:, None]
-        return self._sum(vectors[self.word] * self.weight, self.by_text, self.n)
+        owner = np.repeat(np.arange(self.words), self.grams)
+        vectors = self._sum(table[self.gram], owner, self.words) / np.maximum(self.grams, 1)[:, None]
+        return self._sum(vectors.astype(np.float32)[self.word] * self.weight, self.text, self.n)
 
     def gradient(self, upstream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(buckets, gradient of their embeddings) from the gradient of the texts' vectors."""
-        vectors = self._sum(upstream[self.text] * self.weight, self.by_word, self.words) * self.share[:, None]
-        order, starts, distinct = self.by_gram
+        by_word = np.argsort(self.word, kind="stable")
+        vectors = self._sum((upstream[self.text] * self.weight)[by_word], self.word[by_word], self.words)
+        vectors = (vectors / np.maximum(self.grams, 1)[:, None]).astype(np.float32)
+        by_gram = np.argsort(self.gram, kind="stable")
+        owner, gram = np.repeat(np.arange(self.words), self.grams)[by_gram], self.gram[by_gram]
+        starts = np.flatnonzero(np.concatenate(([True], gram[1:] != gram[:-1])))[: len(gram)]
         if not len(starts):
-            return distinct, np.zeros((0, upstream.shape[1]), np.float32)
-        return distinct, np.add.reduceat(vectors[self.owner][order], starts, axis=0)
+            return gram, np.zeros((0, upstream.shape[1]), np.float32)
+        return gram[starts], np.add.reduceat(vectors[owner], starts, axis=0)
 
 
 def train(
@@ -130,11 +129,11 @@ def train(
         apart[:] = False
     rest, rest_wanted = texts.filter(pa.array(apart)), wanted[apart]
     texts, wanted = texts.filter(pa.array(~apart)), wanted[~apart]
-    data, offsets = buffers(texts)
     batches = []
     for a in range(0, len(wanted), batch):
         b = min(a + batch, len(wanted))
-        batches.append(_Batch(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], wanted[a:b], buckets))
+        data, offsets = buffers(texts.slice(a, b - a))
+        batches.append(_Batch(data[offsets[0] : offsets[-1]], offsets - offsets[0], wanted[a:b], buckets))
     rng = np.random.default_rng(SEED)
     table = rng.uniform(-1, 1, (buckets, dimensions)).astype(np.float32) / (10 * dimensions)
     weights = rng.normal(0, 1, (dimensions, 2)).astype(np.float32)
