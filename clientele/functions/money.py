@@ -1,22 +1,25 @@
 """Exact money arithmetic and number display, as SQL expressions.
 
-Amounts carry two decimals. They are summed as whole cents, so a sum does not
-depend on how rows were partitioned, and come back as DOUBLE.
+Amounts are summed as whole millionths (``DECIMALS`` places), so a sum does not depend
+on how rows were partitioned, and come back as DOUBLE. Places beyond are rounded away.
 """
 
+DECIMALS = 6
 LOW_BITS = 20
 
 
-def exact_sum(amount: str) -> str:
-    """Sum of two-decimal amounts; null over no rows.
+def exact_sum(amount: str, decimals: int = DECIMALS) -> str:
+    """Sum of amounts of up to ``decimals`` places; null over no rows.
 
-    The high and low bits of the cents are summed apart as BIGINT, which stays far
-    from overflow over trillions of rows and costs a tenth of a DECIMAL sum.
+    The high and low bits of the scaled amounts are summed apart as BIGINT, which stays
+    far from overflow over trillions of rows and costs a tenth of a DECIMAL sum. An
+    amount times ``10**decimals`` must fit a BIGINT.
     """
-    cents = f"cast(rint(({amount}) * 100) as bigint)"
-    high = f"cast(sum(shiftright({cents}, {LOW_BITS})) as decimal(19,0))"
-    low = f"cast(sum({cents} & {2**LOW_BITS - 1}) as decimal(19,0))"
-    return f"cast({high} * cast({2**LOW_BITS} as decimal(7,0)) + {low} as double) / 100D"
+    units = f"cast(rint(({amount}) * {10**decimals}D) as bigint)"
+    high = f"cast(sum(shiftright({units}, {LOW_BITS})) as decimal(19,0))"
+    low = f"cast(sum({units} & {2**LOW_BITS - 1}) as decimal(19,0))"
+    whole = f"{high} * cast({2**LOW_BITS} as decimal(7,0)) + {low}"
+    return f"cast({whole} as double) / {10**decimals}D"
 
 
 def ratio(total: str, count: str) -> str:
@@ -24,12 +27,17 @@ def ratio(total: str, count: str) -> str:
     return f"try_divide(cast({total} as double), cast({count} as double))"
 
 
+def _half_even(x: str, decimals: int) -> str:
+    """Rounded before formatting, which itself would round halves up."""
+    return f"rint(cast({x} as double) * {10**decimals}D) / {10**decimals}D"
+
+
 def as_dollars(x: str) -> str:
-    return f"format_string('$%,.2f', cast({x} as double))"
+    return f"format_string('$%,.2f', {_half_even(x, 2)})"
 
 
 def as_percent(x: str) -> str:
-    return f"format_string('%.1f%%', cast({x} as double))"
+    return f"format_string('%.1f%%', {_half_even(x, 1)})"
 
 
 def as_count(x: str) -> str:

@@ -1,43 +1,44 @@
 """A join of a fact table to one row per key that survives a hot key."""
 
-import math
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A key is hot when it holds more than HOT_SHARE of all rows (so at most
-# 1 / HOT_SHARE keys are) and more rows than one task should take.
-HOT_SHARE = 0.001
+from ..sources.staging import stage
+
+# A key is hot when it holds more rows than one task should take.
 ROWS_PER_TASK = 2_000_000
-SAMPLE_ROWS = 2_000_000
+# Rows of a barely hot key that the sample shows on average: enough not to miss it.
+SHOWN = 40
+# A longer list of hot keys is not broadcast; the join is then left to adaptive execution.
+MOST_KEYS = 1_000_000
 
 
 def hot_keys(
     df: DataFrame,
     key: str,
-    share: float = HOT_SHARE,
     rows_per_task: int = ROWS_PER_TASK,
-    sample_rows: int = SAMPLE_ROWS,
+    shown: int = SHOWN,
+    most_keys: int = MOST_KEYS,
 ) -> DataFrame | None:
     """(key, pieces) for the hot keys of ``df``, or None when there are none.
 
-    Counts come from a sample of one column. A misjudged key costs speed, never
-    rows, and the result holds at most ``1 / share`` rows.
+    Counts come from a sample of one column, ``shown`` rows for each task's worth. A
+    misjudged key costs speed, never rows. At most total / rows_per_task keys can be hot;
+    beyond ``most_keys`` of them None is returned. Runs jobs: a count and a sample scan.
     """
     total = df.count()
     if total <= rows_per_task:
         return None
-    fraction = min(1.0, sample_rows / total)
+    fraction = min(1.0, shown / rows_per_task)
     keys = df.select(key).where(f"{key} IS NOT NULL")
     if fraction < 1.0:
         keys = keys.sample(fraction, seed=1)
-    least = max(share * total, rows_per_task) * fraction
-    found = keys.groupBy(key).agg(F.expr("count(*) AS n")).where(f"n > {least}D").collect()
-    if not found:
-        return None
-    pieces = [(row[key], math.ceil(row["n"] / fraction / rows_per_task)) for row in found]
-    schema = f"{key} {df.schema[key].dataType.simpleString()}, pieces int"
-    return df.sparkSession.createDataFrame(pieces, schema)
+    # A little below the limit, as the sample may show fewer rows than it should.
+    least = rows_per_task * fraction * (0.75 if fraction < 1.0 else 1.0)
+    pieces = f"cast(greatest(2, ceil(n / {rows_per_task * fraction!r}D)) as int) AS pieces"
+    found = keys.groupBy(key).agg(F.expr("count(*) AS n")).where(f"n > {least!r}D").selectExpr(key, pieces)
+    found = stage(found, "hot-keys")
+    return found if 0 < found.count() <= most_keys else None
 
 
 def join_to_unique(
@@ -46,7 +47,8 @@ def join_to_unique(
     """Inner join of ``fact`` to ``dim``, whose ``key`` is unique.
 
     The rows of a hot key are spread over as many tasks as it has pieces, by a hash
-    of column ``spread``, and its one ``dim`` row is repeated for each piece.
+    of column ``spread``, and its one ``dim`` row is repeated for each piece. ``hot`` is
+    broadcast; ``hot_keys`` bounds its length.
     """
     if hot is None:
         return fact.join(dim, key)

@@ -1,10 +1,13 @@
 """Exact unique ranks and quartile scores without sorting a table in one task.
 
 A row's place is decided by (value, key), so ties never share a rank and a value
-held by most rows still splits into even parts. ``key`` must be unique. Measures
-are SQL expressions and are compared as DOUBLE.
+held by most rows still splits into even parts. Rows that repeat a (value, key) get the
+same score. Keys may be of any type that has an order. Measures are SQL expressions
+and are compared as DOUBLE.
 """
 
+import datetime
+import decimal
 import math
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
@@ -20,7 +23,7 @@ SAMPLE_ROWS = 20_000
 # Bounds lie this many standard errors around the sampled place of a rank.
 SAMPLE_MARGIN = 5
 
-Cut = tuple[float, int | str]
+Cut = tuple[float, object]
 
 
 def quartile_score(measure: str, key: str, cuts: Sequence[Cut]) -> str:
@@ -52,14 +55,16 @@ def quartile_cuts(
     rows = df.selectExpr(f"{key} AS key", *[f"cast({text} as double) AS {name}" for name, text in measures.items()])
     wanted = [1 + (n - 1) * k // buckets for k in range(1, buckets)]
     ranges = [_Range(name, None, None, 0, n, tuple(sorted(set(wanted)))) for name in measures]
-    seed = 0
+    seed, found = 0, {}
     while wide := [r for r in ranges if r.rows > rows_per_task]:
         seed += len(wide)
         narrowed = _narrow(rows, wide, sample_rows, seed)
         if max(r.rows for r in narrowed) >= max(r.rows for r in wide):
-            raise ValueError(f"column {key!r} must be unique")
+            # Either a pair is repeated that often, or the sample gave no bounds.
+            narrowed = _without_repeated(rows, narrowed, found)
+            sample_rows *= 2
         ranges = [r for r in ranges if r.rows <= rows_per_task] + narrowed
-    found = _read_off(rows, ranges)
+    found |= _read_off(rows, ranges) if ranges else {}
     return {name: [found[name, rank] for rank in wanted] for name in measures}
 
 
@@ -120,11 +125,26 @@ def _after(value: str, key: str, cut: Cut) -> str:
     return f"({value} > {cut_value} OR ({value} = {cut_value} AND {key} > {_literal(cut[1])}))"
 
 
-def _literal(key: int | str) -> str:
+def _literal(key) -> str:
+    """A key read from a row, as SQL of its own type."""
+    if isinstance(key, bool):
+        return str(key).lower()
     if isinstance(key, int):
         return f"({key}L)"
+    if isinstance(key, float):
+        return f"double('{key!r}')"
+    if isinstance(key, decimal.Decimal):
+        return f"({key:f}BD)"
+    if isinstance(key, datetime.datetime):
+        return f"{'timestamp' if key.tzinfo else 'timestamp_ntz'} '{key.isoformat(' ')}'"
+    if isinstance(key, datetime.date):
+        return f"date '{key.isoformat()}'"
     # Text goes through its bytes, which need no quoting.
-    return f"cast(X'{key.encode().hex()}' as string)"
+    if isinstance(key, str):
+        return f"cast(X'{key.encode().hex()}' as string)"
+    if isinstance(key, (bytes, bytearray)):
+        return f"X'{bytes(key).hex()}'"
+    raise TypeError(f"cannot rank by a key of type {type(key).__name__}")
 
 
 def _members(rows: DataFrame, ranges: list[_Range], chosen: Sequence[str] | None = None) -> DataFrame:
@@ -137,6 +157,22 @@ def _members(rows: DataFrame, ranges: list[_Range], chosen: Sequence[str] | None
     return rows.selectExpr(f"inline(array_compact(array({hits})))")
 
 
+def _without_repeated(rows: DataFrame, ranges: list[_Range], found: dict) -> list[_Range]:
+    """The ranges that hold more than one (value, key); the ranks of the others go to ``found``."""
+    ends = [
+        f"{end}(CASE WHEN {r.holds()} THEN struct({r.measure} AS value, key) END) AS {end}{i}"
+        for i, r in enumerate(ranges)
+        for end in ("min", "max")
+    ]
+    row, left = rows.selectExpr(*ends).first(), []
+    for i, r in enumerate(ranges):
+        if row[f"min{i}"] == row[f"max{i}"]:
+            found |= {(r.measure, rank): tuple(row[f"min{i}"]) for rank in r.ranks}
+        else:
+            left.append(r)
+    return left
+
+
 def _narrow(rows: DataFrame, ranges: list[_Range], sample_rows: int, seed: int) -> list[_Range]:
     bounds = _sampled_bounds(rows, ranges, sample_rows, seed)
     upto = [

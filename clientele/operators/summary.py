@@ -94,14 +94,21 @@ def monthly_trend(
 
 
 def order_details(
-    customers: DataFrame, orders: DataFrame, ordered: bool = True, split_hot: bool = True
+    customers: DataFrame,
+    orders: DataFrame,
+    ordered: bool = True,
+    split_hot: bool = True,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Every order with its customer's attributes, newest first.
 
     ``split_hot`` looks for customers with too many orders for one task and spreads
-    them; ``ordered=False`` saves the sort of the whole fact.
+    them, which runs a count and a sample scan before this returns; pass ``hot``, a
+    result of ``hot_keys``, to use known ones. ``ordered=False`` saves the sort of the
+    whole fact.
     """
-    hot = hot_keys(orders, "customer_id") if split_hot else None
+    if hot is None and split_hot:
+        hot = hot_keys(orders, "customer_id")
     attributes = customers.selectExpr(
         "customer_id", "name AS customer_name", "category AS customer_category", "country"
     )

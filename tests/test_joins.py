@@ -11,7 +11,7 @@ def skewed(spark, n=3000):
 
 
 def test_hot_keys_are_found_and_cut_to_size(spark):
-    hot = cl.hot_keys(skewed(spark), "key", share=0.1, rows_per_task=200)
+    hot = cl.hot_keys(skewed(spark), "key", rows_per_task=200, shown=200)
     held = skewed(spark).where("key = 7").count()
     assert rows(hot) == [(7, -(-held // 200))]
 
@@ -22,7 +22,7 @@ def test_small_tables_have_no_hot_keys(spark):
 
 
 def test_hot_keys_from_a_sample(spark):
-    hot = cl.hot_keys(skewed(spark, 60_000), "key", share=0.1, rows_per_task=1000, sample_rows=6000)
+    hot = cl.hot_keys(skewed(spark, 60_000), "key", rows_per_task=1000, shown=100)
     ((key, pieces),) = rows(hot)
     assert key == 7
     assert 15 <= pieces <= 27
@@ -32,7 +32,7 @@ def test_split_join_gives_the_plain_join(spark):
     fact = skewed(spark)
     dim = spark.range(0, 100, 2).select(F.col("id").alias("key"), (F.col("id") * 10).alias("tag"))
     dim = dim.union(spark.createDataFrame([(7, 70)], "key bigint, tag bigint"))
-    hot = cl.hot_keys(fact, "key", share=0.1, rows_per_task=200)
+    hot = cl.hot_keys(fact, "key", rows_per_task=200, shown=200)
     split = cl.join_to_unique(fact, dim, "key", "row", hot)
     plain = cl.join_to_unique(fact, dim, "key", "row", None)
     assert split.columns == plain.columns
@@ -48,7 +48,7 @@ def test_hot_rows_spread_over_tasks(spark):
     try:
         for name, value in conf.items():
             spark.conf.set(name, value)
-        hot = cl.hot_keys(fact, "key", share=0.1, rows_per_task=200)
+        hot = cl.hot_keys(fact, "key", rows_per_task=200, shown=200)
 
         def largest_task(df):
             return df.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0]
@@ -60,3 +60,13 @@ def test_hot_rows_spread_over_tasks(spark):
             spark.conf.set(name, value)
     assert plain > 10_000
     assert split < 6_000
+
+
+def test_a_key_of_a_small_share_is_split_when_it_is_too_large_for_a_task(spark):
+    i = F.col("id")
+    many = spark.range(200_000).select(i.alias("row"), F.when(i < 150, -1).otherwise(i).alias("key"))
+    assert rows(cl.hot_keys(many, "key", rows_per_task=20)) == [(-1, 8)]
+
+
+def test_more_hot_keys_than_may_be_broadcast_are_left_to_adaptive_execution(spark):
+    assert cl.hot_keys(skewed(spark), "key", rows_per_task=10, most_keys=50) is None

@@ -91,10 +91,10 @@ def test_tiny_samples_only_cost_rounds(spark):
     assert cuts["s"] == [((4999 * k // 4) * 1.0, 4999 * k // 4) for k in (1, 2, 3)]
 
 
-def test_repeated_keys_are_refused_when_they_fill_a_task(spark):
+def test_a_key_that_fills_many_tasks_is_every_cut(spark):
     df = spark.range(1000).select(F.lit(1).alias("id"))
-    with pytest.raises(ValueError, match="unique"):
-        cl.quartile_cuts(df, {"s": "id"}, "id", rows_per_task=100, sample_rows=50)
+    few, many = (cl.quartile_cuts(df, {"s": "id"}, "id", rows_per_task=n) for n in (100, 1_000_000))
+    assert few == many == {"s": [(1.0, 1)] * 3}
 
 
 @pytest.mark.parametrize("n", [1, 7, 4001])
@@ -119,3 +119,38 @@ def test_tie_order(spark):
     ranks = cl.global_ranks(df, {"up": "v", "down": "-v"}, "id").orderBy("id").collect()
     assert [r["up"] for r in ranks] == [4, 2, 5, 1, 3]
     assert [r["down"] for r in ranks] == [1, 3, 2, 5, 4]
+
+
+KEYS = {
+    "date": "date_add(date '2020-01-01', cast(id as int))",
+    "decimal": "cast(id as decimal(20, 3)) / 8",
+    "string": "format_string('k%06d', id)",
+    "binary": "cast(format_string('k%06d', id) as binary)",
+    "double": "id / 7D",
+    "timestamp": "timestamp_seconds(id * 60)",
+}
+
+
+@pytest.mark.parametrize("kind", KEYS)
+def test_any_ordered_key_gives_the_same_scores_at_any_size(spark, kind):
+    df = spark.range(900).selectExpr(f"{KEYS[kind]} AS id", "id % 5 AS five", "id AS place")
+    one, many = (scored_with(df, {"five": "five"}, rows_per_task=n) for n in (1_000_000, 120))
+    assert one == many
+    assert len({s for _, s in one}) == 4
+
+
+def scored_with(df, measures, **limits):
+    cuts = cl.quartile_cuts(df, measures, "id", sample_rows=200, **limits)
+    columns = [F.expr(cl.quartile_score(text, "id", cuts[m])).alias(m) for m, text in measures.items()]
+    return sorted(tuple(r) for r in df.select("place", *columns).collect())
+
+
+def test_repeated_keys_give_the_same_scores_at_any_size(spark):
+    df = spark.range(1200).selectExpr("id % 3 AS id", "1 AS same", "id AS place")
+    assert scored_with(df, {"s": "same"}, rows_per_task=1_000_000) == scored_with(df, {"s": "same"}, rows_per_task=100)
+
+
+def test_samples_without_bounds_are_drawn_again(spark):
+    df = spark.range(5000)
+    cuts = cl.quartile_cuts(df, {"s": "id"}, "id", rows_per_task=400, sample_rows=15)
+    assert cuts["s"] == [((4999 * k // 4) * 1.0, 4999 * k // 4) for k in (1, 2, 3)]
