@@ -2,7 +2,7 @@
 
 from .operators.charts import heatmap, kpis, kpis_display, label_axes, segment_counts, segment_spend
 from .operators.checks import duplicate_keys, null_counts, orphan_keys, unexpected_values
-from .operators.churn import ChurnResult, score_churn
+from .operators.churn import ChurnResult, apply_churn, fit_churn, score_churn
 from .operators.features import RFM_MEASURES, rfm_features, scale_features, snapshot_date
 from .operators.filters import (
     category_options,
@@ -22,12 +22,14 @@ from .sources.storage import export_csv, load_tables, read_tables
 __all__ = [
     "ChurnResult",
     "Dashboard",
+    "apply_churn",
     "category_options",
     "customer_summary",
     "duplicate_keys",
     "export_csv",
     "export_report",
     "filter_customers",
+    "fit_churn",
     "filter_options",
     "filter_orders",
     "global_ranks",

@@ -12,15 +12,6 @@ RETURNED = "Returned"
 CANCELLED = "Cancelled"
 STATUSES = (COMPLETED, RETURNED, CANCELLED)
 
-# Product and customer categories of the model tables.
-CATEGORIES = (
-    "Electronics",
-    "Fashion & Apparel",
-    "Home & Kitchen",
-    "Beauty & Personal Care",
-    "Sports & Outdoors",
-)
-
 # Customer segments.
 CHAMPIONS = "Champions"
 LOYAL = "Loyal Customers"
@@ -28,7 +19,6 @@ PROMISING = "Promising / New"
 AT_RISK = "At-Risk VIPs"
 HIBERNATING = "Hibernating / Lost"
 NEEDS_ATTENTION = "Needs Attention"
-SEGMENTS = (CHAMPIONS, LOYAL, PROMISING, AT_RISK, HIBERNATING, NEEDS_ATTENTION)
 
 # Churn risk tiers, and the word that switches the tier filter off.
 LOW_RISK = "Low Risk"

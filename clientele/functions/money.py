@@ -28,8 +28,21 @@ def ratio(total: str, count: str) -> str:
 
 
 def _half_even(x: str, decimals: int) -> str:
-    """Rounded before formatting, which itself would round halves up."""
-    return f"rint(cast({x} as double) * {10**decimals}D) / {10**decimals}D"
+    """``x`` rounded as its binary value is, exact halves to the even digit.
+
+    Formatting itself would round the shortest decimal text, halves up. The fraction is
+    taken as two whole numbers of 40 bits, which hold all bits of any double from 1e-8 on.
+    """
+    value, bits, scale = f"abs(cast({x} as double))", 2**40, 10**decimals
+    fraction = f"({value} - floor({value}))"
+    high = f"cast(floor({fraction} * {bits}D) as bigint)"
+    low = f"cast(({fraction} * {bits}D - floor({fraction} * {bits}D)) * {bits}D as bigint) * {scale}L"
+    scaled = f"({high} * {scale}L + shiftright({low}, 40))"
+    digits, rest, last = f"shiftright({scaled}, 40)", f"({scaled} & {bits - 1}L)", f"({low} & {bits - 1}L)"
+    half = f"{bits // 2}L"
+    up = f"({rest} > {half} OR ({rest} = {half} AND ({last} > 0 OR {digits} % 2 = 1)))"
+    units = f"cast(floor({value}) as double) * {scale}D + {digits} + if({up}, 1, 0)"
+    return f"(if({x} < 0, -1D, 1D) * ({units}) / {scale}D)"
 
 
 def as_dollars(x: str) -> str:

@@ -1,4 +1,4 @@
-"""Business rules as SQL expressions over column names; first match wins in every chain."""
+"""Fixed rules: business decisions as SQL expressions over column names; first match wins in every chain."""
 
 from . import fixed_values as fv
 

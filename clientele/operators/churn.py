@@ -1,10 +1,10 @@
 """Churn probability from a random forest.
 
 The label is a rule over two of the features and the rows scored are the rows
-trained on, so the percentage restates the rule smoothly rather than forecasts.
+trained on, so the percentage restates the rule smoothly rather than forecasts. Fitting
+and scoring are apart, so that a model fitted once can score many frames.
 """
 
-import math
 from typing import NamedTuple
 
 from pyspark.ml import Pipeline, PipelineModel
@@ -18,8 +18,9 @@ from ..functions import fixed_values as fv
 from ..functions.rules import one_decimal, risk_tier
 from ..sources.staging import pin
 
-ROWS_PER_PARTITION = 1_000_000
-MIN_PARTITIONS = 8
+# Bags are drawn in each partition of the training rows, so their number is part of the
+# model: the same number gives the same forest. More let more tasks share the fit.
+PARTITIONS = 8
 # Candidate thresholds per feature.
 SPLIT_BINS = 128
 
@@ -30,13 +31,27 @@ class ChurnResult(NamedTuple):
     model: PipelineModel | None
 
 
-def score_churn(frame: DataFrame, key: str = "customer_id") -> ChurnResult:
+def score_churn(
+    frame: DataFrame,
+    key: str = "customer_id",
+    partitions: int = PARTITIONS,
+    moderate_from: float = fv.MODERATE_FROM_PCT,
+    high_from: float = fv.HIGH_FROM_PCT,
+) -> ChurnResult:
     """Fit the forest on ``frame`` and add churn_risk_pct and churn_risk_level.
 
-    ``frame`` is read a few times and should be staged. Features go in unscaled:
-    a tree's splits are the same on any increasing function of a feature.
+    ``frame`` is read a few times and should be staged.
     """
-    model = _fit(frame, key)
+    return apply_churn(frame, fit_churn(frame, key, partitions), moderate_from, high_from)
+
+
+def apply_churn(
+    frame: DataFrame,
+    model: PipelineModel | None,
+    moderate_from: float = fv.MODERATE_FROM_PCT,
+    high_from: float = fv.HIGH_FROM_PCT,
+) -> ChurnResult:
+    """Add churn_risk_pct and churn_risk_level by a fitted ``model``; without one all risks are 0."""
     if model is None:
         pct, weights = F.lit(0.0), [0.0] * len(fv.CHURN_FEATURES)
         scored = frame
@@ -47,21 +62,22 @@ def score_churn(frame: DataFrame, key: str = "customer_id") -> ChurnResult:
     customers = scored.select(*frame.columns, pct.alias("pct")).selectExpr(
         *frame.columns, f"{one_decimal('pct')} AS churn_risk_pct"
     )
-    customers = customers.withColumn("churn_risk_level", F.expr(risk_tier()))
+    customers = customers.withColumn("churn_risk_level", F.expr(risk_tier(moderate_from=moderate_from, high_from=high_from)))
     importances = frame.sparkSession.createDataFrame(
         list(zip(fv.CHURN_FEATURES, weights)), "feature string, importance double"
     )
     return ChurnResult(customers, importances.orderBy("importance", "feature"), model)
 
 
-def _fit(frame: DataFrame, key: str) -> PipelineModel | None:
-    n = frame.count()
-    if n == 0:
+def fit_churn(frame: DataFrame, key: str = "customer_id", partitions: int = PARTITIONS) -> PipelineModel | None:
+    """The forest fitted on all rows of ``frame``, or None without rows.
+
+    Features go in unscaled: a tree's splits are the same on any increasing function of
+    a feature. The training rows are laid out by ``key`` in ``partitions`` parts, so a
+    refit draws the same bags, and pinned, as the fit would shuffle anew for each pass.
+    """
+    if frame.isEmpty():
         return None
-    # Bagging draws per partition: a layout that depends only on the rows makes a
-    # refit draw the same bags. It is pinned, as the fit would shuffle anew for each
-    # of its passes.
-    partitions = max(MIN_PARTITIONS, math.ceil(n / ROWS_PER_PARTITION))
     # The metadata says there are two classes even when only one occurs.
     label = F.col("is_churned_target").cast("double").alias("label", metadata={"ml_attr": {"type": "binary"}})
     laid_out = frame.select(key, "is_churned_target", *fv.CHURN_FEATURES).repartition(partitions, key)

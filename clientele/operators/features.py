@@ -21,7 +21,10 @@ def rfm_features(
     snapshot: datetime.date | str,
     never_ordered_days: int = fv.NEVER_ORDERED_DAYS,
 ) -> DataFrame:
-    """Add recency_days, frequency, monetary and tenure_days as of ``snapshot``."""
+    """Add recency_days, frequency, monetary and tenure_days as of ``snapshot``, a date or its ISO text."""
+    if isinstance(snapshot, str):
+        snapshot = datetime.date.fromisoformat(snapshot)
+    never_ordered_days = int(never_ordered_days)
     since_order = f"datediff(date '{snapshot}', cast(last_order_date as date))"
     since_join = f"datediff(date '{snapshot}', cast(join_date as date))"
     features = {

@@ -32,10 +32,10 @@ def report_display(report: DataFrame) -> DataFrame:
     return with_headings(report.withColumns({name: F.expr(text) for name, text in shown.items()}))
 
 
-def export_report(report: DataFrame, folder: str, day: datetime.date | None = None) -> str:
+def export_report(report: DataFrame, folder: str, day: datetime.date | None = None, run: str = "") -> str:
     """Write the report as CSV with headings and unformatted numbers; returns the folder written."""
     numbers = {
         "total_spent": F.expr(plain("total_spent", 2)),
         "churn_risk_pct": F.expr(plain("churn_risk_pct", 1)),
     }
-    return export_csv(with_headings(report.withColumns(numbers)), folder, day)
+    return export_csv(with_headings(report.withColumns(numbers)), folder, day, run)

@@ -45,6 +45,9 @@ def rfm(
     snapshot: datetime.date | str | None = None,
     never_ordered_days: int = fv.NEVER_ORDERED_DAYS,
     staged: bool = False,
+    after_days: int = fv.CHURN_AFTER_DAYS,
+    after_days_if_rare: int = fv.CHURN_AFTER_DAYS_IF_RARE,
+    rare_orders: int = fv.RARE_ORDERS,
 ) -> DataFrame:
     """Features, scores, segment and churn label of every customer.
 
@@ -52,14 +55,22 @@ def rfm(
     projection of the staged summary.
     """
     scored = with_scores(staged_features(summary, snapshot, never_ordered_days, staged))
-    return scored.withColumns({"rfm_segment": F.expr(segment()), "is_churned_target": F.expr(churned())})
+    label = churned(after_days=after_days, after_days_if_rare=after_days_if_rare, rare_orders=rare_orders)
+    return scored.withColumns({"rfm_segment": F.expr(segment()), "is_churned_target": F.expr(label)})
 
 
 def rfm_and_churn(
-    summary: DataFrame, snapshot: datetime.date | str | None = None, staged: bool = False
+    summary: DataFrame,
+    snapshot: datetime.date | str | None = None,
+    never_ordered_days: int = fv.NEVER_ORDERED_DAYS,
+    staged: bool = False,
+    moderate_from: float = fv.MODERATE_FROM_PCT,
+    high_from: float = fv.HIGH_FROM_PCT,
+    **label,
 ) -> ChurnResult:
-    """``rfm`` followed by the churn model."""
-    return score_churn(rfm(summary, snapshot, staged=staged))
+    """``rfm`` followed by the churn model; ``label`` holds the thresholds of the churn label."""
+    frame = rfm(summary, snapshot, never_ordered_days, staged, **label)
+    return score_churn(frame, moderate_from=moderate_from, high_from=high_from)
 
 
 class Dashboard(NamedTuple):

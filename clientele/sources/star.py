@@ -47,19 +47,30 @@ def customers(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def orders(spark: SparkSession, sf_dir: str, statuses: Sequence[str] = fv.STATUSES) -> DataFrame:
+def orders(
+    spark: SparkSession,
+    sf_dir: str,
+    statuses: Sequence[str] = fv.STATUSES,
+    dates: tuple[str, str] | None = None,
+) -> DataFrame:
     """orders(order_id, customer_id, order_date, amount, item_count, category, status).
 
     item_count comes from a left join to one row per order, which Catalyst drops
     from every plan that does not read the column. ``statuses`` other than all of
     them reach the scan as a filter on the stored codes, which a filter on the
-    status made from them would not.
+    status made from them would not. ``dates`` (first and last day) keeps the orders of
+    those days, and lineitem is cut to their keys before it is summed.
     """
-    items = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.expr("sum(l_quantity) AS quantity"))
+    lines = table(spark, sf_dir, "lineitem")
     stored = table(spark, sf_dir, "orders")
     if set(statuses) != set(fv.STATUSES):
         codes = ", ".join(f"'{STATUS_CODES[s]}'" for s in statuses)
         stored = stored.where(f"o_orderstatus IN ({codes})")
+    if dates:
+        first, last = (F.lit(day).cast("date") for day in dates)
+        stored = stored.where((F.col("o_orderdate") >= first) & (F.col("o_orderdate") < F.date_add(last, 1)))
+        lines = lines.join(stored, F.expr("l_orderkey = o_orderkey"), "left_semi")
+    items = lines.groupBy("l_orderkey").agg(F.expr("sum(l_quantity) AS quantity"))
     words = " ".join(f"WHEN '{code}' THEN '{word}'" for word, code in STATUS_CODES.items())
     return stored.join(items, F.expr("o_orderkey = l_orderkey"), "left").selectExpr(
         "o_orderkey AS order_id",

@@ -1,8 +1,8 @@
 """Bulk load of the model tables and CSV export."""
 
 import datetime
+import uuid
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,44 +10,68 @@ from pyspark.sql import types as T
 from .schema import CUSTOMERS, ORDERS, conform
 
 MONTH = "order_month"
+MANIFEST = "load"
 
 
 def load_tables(customers: DataFrame, orders: DataFrame, path: str, force: bool = False) -> None:
-    """Write both tables under ``path``; tables already there stay unless ``force``.
+    """Write both tables under ``path``; a complete load already there stays unless ``force``.
 
-    Orders are laid out by month so that date filters prune folders. The rebalance
-    hint gives each month a few files of even size and splits a month that is too
-    large for one task.
+    Every load writes new folders and, last, a manifest that names them. Readers follow
+    the newest complete manifest, so a load cut short is not seen, and a forced one does
+    not touch files that somebody reads. Older versions stay until they are removed.
+    Orders are laid out by month so that date filters prune folders. The rebalance hint
+    gives each month a few files of even size and splits a month that is too large for
+    one task, which needs adaptive execution.
     """
     spark = customers.sparkSession
-    if force or not _readable(spark, f"{path}/customers"):
-        conform(customers, CUSTOMERS).write.mode("overwrite").parquet(f"{path}/customers")
-    if force or not _readable(spark, f"{path}/orders"):
-        by_month = conform(orders, ORDERS).withColumn(MONTH, F.trunc("order_date", "month"))
-        by_month.hint("rebalance", MONTH).write.mode("overwrite").partitionBy(MONTH).parquet(f"{path}/orders")
+    loads = _loads(spark, path)
+    if loads and not force:
+        return
+    version = uuid.uuid4().hex
+    conform(customers, CUSTOMERS).write.parquet(f"{path}/customers-{version}")
+    by_month = conform(orders, ORDERS).withColumn(MONTH, F.trunc("order_date", "month"))
+    by_month.hint("rebalance", MONTH).write.partitionBy(MONTH).parquet(f"{path}/orders-{version}")
+    number = max(loads, default=0) + 1
+    manifest = spark.createDataFrame([(version,)], "version string").coalesce(1)
+    # Overwrites only a manifest of this number that was never completed.
+    manifest.write.mode("overwrite").parquet(f"{path}/{MANIFEST}={number}")
 
 
 def read_tables(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """The loaded (customers, orders); orders keep ``order_month`` for pruning."""
+    """The (customers, orders) of the newest load; orders keep ``order_month`` for pruning."""
+    loads = _loads(spark, path)
+    if not loads:
+        raise FileNotFoundError(f"no complete load under {path}")
+    version = spark.read.schema("version string").parquet(f"{path}/{MANIFEST}={max(loads)}").first()[0]
     stored = T.StructType([*ORDERS, T.StructField(MONTH, T.DateType())])
     return (
-        spark.read.schema(CUSTOMERS).parquet(f"{path}/customers"),
-        spark.read.schema(stored).parquet(f"{path}/orders"),
+        spark.read.schema(CUSTOMERS).parquet(f"{path}/customers-{version}"),
+        spark.read.schema(stored).parquet(f"{path}/orders-{version}"),
     )
 
 
-def export_csv(df: DataFrame, folder: str, day: datetime.date | None = None) -> str:
-    """Write ``df`` as CSV part files and return the folder, which carries the day's date."""
+def export_csv(df: DataFrame, folder: str, day: datetime.date | None = None, run: str = "") -> str:
+    """Write ``df`` as CSV part files and return the folder, which carries the day's date and ``run``.
+
+    An export of that name that is already there is an error, not replaced.
+    """
     day = day or datetime.date.today()
-    target = f"{folder.rstrip('/')}/churn_risk_report_{day:%Y%m%d}"
+    target = f"{folder.rstrip('/')}/churn_risk_report_{day:%Y%m%d}" + (f"_{run}" if run else "")
     # Doubling quotes is how RFC 4180 readers expect a quote inside a field.
-    df.write.mode("overwrite").option("header", True).option("escape", '"').csv(target)
+    df.write.mode("errorifexists").option("header", True).option("escape", '"').csv(target)
     return target
 
 
-def _readable(spark: SparkSession, path: str) -> bool:
-    try:
-        spark.read.parquet(path)
-    except AnalysisException:
-        return False
-    return True
+def _loads(spark: SparkSession, path: str) -> list[int]:
+    """Numbers of the loads whose manifest is complete."""
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(root):
+        return []
+    found = []
+    for status in files.listStatus(root):
+        kind, _, number = status.getPath().getName().partition("=")
+        marker = spark._jvm.org.apache.hadoop.fs.Path(status.getPath(), "_SUCCESS")
+        if kind == MANIFEST and number.isdigit() and files.exists(marker):
+            found.append(int(number))
+    return found

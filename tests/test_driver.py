@@ -9,7 +9,7 @@ import clientele as cl
 from clientele.sources import star
 
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
-DUCK_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "DATE": "date"}
+DUCK_TYPES = {"VARCHAR": "string", "BIGINT": "bigint", "INTEGER": "int", "DOUBLE": "double", "DATE": "date", "BOOLEAN": "boolean"}
 SQL = driver._shop_sql()
 NAMES = [query.__name__ for query in driver.QUERIES]
 

@@ -77,7 +77,7 @@ def test_order_details_splits_the_hot_customer(tables, frames, monkeypatch):
     found = []
 
     def small_tasks(df, key):
-        found.append(joins.hot_keys(df, key, share=0.1, rows_per_task=300))
+        found.append(joins.hot_keys(df, key, rows_per_task=300, shown=300))
         return found[-1]
 
     monkeypatch.setattr(summary, "hot_keys", small_tasks)

@@ -1,6 +1,9 @@
 import datetime
 
+import pytest
+
 from conftest import CUSTOMERS, ORDERS, day, rows
+from pyspark.errors import AnalysisException
 
 import clientele as cl
 from clientele.sources import schema
@@ -94,3 +97,37 @@ def test_report_csv(spark, tmp_path):
     headed = cl.with_headings(report(spark))
     back = spark.read.schema(headed.schema).option("header", True).option("escape", '"').csv(folder)
     assert rows(back) == rows(headed)
+
+
+def test_a_load_cut_short_is_not_a_load(shop, spark, tmp_path):
+    customers, orders = shop
+    path = tmp_path / "shop"
+    # What an interrupted write leaves: data files, but no manifest or one that was not completed.
+    orders.limit(2).write.parquet(str(path / "orders-1"))
+    customers.write.parquet(str(path / "customers-1"))
+    spark.createDataFrame([("1",)], "version string").write.parquet(str(path / "load=1"))
+    (path / "load=1" / "_SUCCESS").unlink()
+    with pytest.raises(FileNotFoundError):
+        cl.read_tables(spark, str(path))
+    cl.load_tables(customers, orders, str(path))
+    assert rows(cl.read_tables(spark, str(path))[1], *orders.columns) == rows(orders)
+
+
+def test_a_forced_load_leaves_readers_their_files(shop, spark, tmp_path):
+    customers, orders = shop
+    path = str(tmp_path / "shop")
+    cl.load_tables(customers, orders, path)
+    before = cl.read_tables(spark, path)[1]
+    cl.load_tables(customers, orders.limit(1), path, force=True)
+    assert before.count() == orders.count()
+    assert cl.read_tables(spark, path)[1].count() == 1
+
+
+def test_an_export_is_never_replaced(spark, tmp_path):
+    day_, folder = datetime.date(2026, 7, 25), str(tmp_path)
+    first = cl.export_report(report(spark), folder, day_)
+    with pytest.raises(AnalysisException):
+        cl.export_report(report(spark).limit(0), folder, day_)
+    second = cl.export_report(report(spark).limit(0), folder, day_, run="evening")
+    assert spark.read.option("header", True).csv(first).count() == 2
+    assert second.endswith("churn_risk_report_20260725_evening")
