@@ -11,6 +11,7 @@ The host's wrapper then says which groups are the article, and each page is read
 
 import html
 import json
+import zlib
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -47,7 +48,8 @@ def _outside(token: str) -> bool:
     return name in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(marks.split("."))
 
 
-# A wrapper group is [token, pages, repeated, optional, characters, link characters, constant, groups].
+# A wrapper group is [token, pages, repeated, optional, characters, link characters, texts, groups]. The texts
+# of a slot are [whether pages differ in them, hashes of those that every page has].
 TOKEN, PAGES, MANY, MAYBE, CHARS, LINKED, SAME, KIDS = range(8)
 
 
@@ -61,13 +63,11 @@ def wrapper_of(node: Node) -> list:
             text = "".join(kid[0]).strip()
             if text:
                 # The text itself stays with the page; a hash tells whether it is the same on all.
-                kids.append([TEXT, 1, False, False, len(text), min(kid[1], len(text)), hash_text(text), []])
+                kids.append([TEXT, 1, False, False, len(text), min(kid[1], len(text)), [False, [hash_text(text)]], []])
     return [node.token, 1, False, False, 0, 0, None, fold(kids)]
 
 
 def hash_text(text: str) -> int:
-    import zlib
-
     raw = text.encode("utf-8", "replace")
     return zlib.crc32(raw) << 32 | zlib.adler32(raw)
 
@@ -101,7 +101,11 @@ def fold(groups: list) -> list:
 def align(a: list, b: list, pages: bool = True) -> list:
     """One group that stands for both; ``pages`` tells whether they come from different pages."""
     count = a[PAGES] + b[PAGES] if pages else max(a[PAGES], b[PAGES])
-    same = a[SAME] if a[SAME] == b[SAME] else None
+    same = a[SAME]
+    if a[SAME] != b[SAME]:
+        # Pages share what both have; neighbours on one page bring together what each has.
+        mine, other = set(a[SAME][1]), set(b[SAME][1])
+        same = [pages or a[SAME][0] or b[SAME][0], sorted(mine & other if pages else mine | other)]
     return [
         a[TOKEN],
         count,
@@ -143,7 +147,7 @@ def _align_all(x: list, y: list, pages: bool) -> list:
 def regex(group: list) -> str:
     """The wrapper as a readable regular expression over tags; ``#`` is a slot, quoted hashes are constants."""
     if group[TOKEN] == TEXT:
-        inner = "#" if group[SAME] is None else f"'{group[SAME]:x}'"
+        inner = "#" if group[SAME][0] or len(group[SAME][1]) > 1 else f"'{group[SAME][1][0]:x}'"
     else:
         body = " ".join(regex(g) for g in group[KIDS])
         inner = f"( {body} )" if group[TOKEN][0] == "(" else f"<{group[TOKEN]}> {body} </{group[TOKEN].partition('.')[0]}>"
@@ -168,12 +172,20 @@ def _has_centre(group: list) -> bool:
     return any(_has_centre(g) for g in group[KIDS])
 
 
+def _varies(group: list) -> bool:
+    if group[TOKEN] == TEXT:
+        return group[SAME][0]
+    return not _outside(group[TOKEN]) and any(_varies(g) for g in group[KIDS])
+
+
 class Reader:
     """Reads pages along a host's wrapper."""
 
     def __init__(self, wrapper: list):
         self.wrapper = wrapper
         self.centre = _has_centre(wrapper)
+        # Where all pages are alike, being alike tells nothing.
+        self.varied = _varies(wrapper)
 
     def blocks(self, page: Node) -> list[str]:
         out = []
@@ -208,7 +220,9 @@ class Reader:
 
     def _boilerplate(self, group: list | None, run: list) -> bool:
         """Outside of a marked article: text that all pages of the host share."""
-        return not self.centre and bool(group) and group[SAME] is not None and group[PAGES] >= FEW_PAGES
+        if self.centre or not self.varied or not group or group[PAGES] < FEW_PAGES:
+            return False
+        return hash_text("".join(run[0]).strip()) in group[SAME][1]
 
     def _links(self, group: list) -> bool:
         chars, linked = _sums(group)
