@@ -199,6 +199,8 @@ def _bins(candidates: DataFrame, probes: DataFrame, distinct: DataFrame, block:
     right = dealt.join(distinct.select("vid", "vec"), "vid").select(
         "bin", F.expr(f"cast(pmod(xxhash64(vid), {splits}) as int)").alias("split"), "bucket", "vid", "vec"
     )
+    # Both sides may come from one frame; new names of the columns keep them apart.
+    right = right.toDF(*right.columns)
     return left, right
 
 
