@@ -122,8 +122,9 @@ def _thresholds(narrow: DataFrame, weights: tuple, most: int, salts: int) -> Dat
     return plan.alias("p").join(at.alias("t"), same, "left").select("p.*", "t.threshold")
 
 
-def _copies(times: str = "times") -> str:
-    return f"if(source_size = 0, 1L, {times} + if(h < coalesce(threshold, 0L), 1L, 0L))"
+def _copies(most: int, times: str = "times") -> str:
+    # The bound matters to documents without words only: what they take is 0 either way.
+    return f"if(source_size = 0, 1L, least({times} + if(h < coalesce(threshold, 0L), 1L, 0L), {most}L))"
 
 
 def mix(
@@ -149,7 +150,7 @@ def mix(
     same = F.col("n.source").eqNullSafe(F.col("c.source")) & (F.col("n.salt") == F.col("c.salt"))
     return (
         rows.join(chosen, same)
-        .selectExpr("n.doc_id", "n.size", "c.source_size", "c.target", f"{_copies('c.times')} as copies")
+        .selectExpr("n.doc_id", "n.size", "c.source_size", "c.target", f"{_copies(most, 'c.times')} as copies")
         .selectExpr("doc_id", "size", "source_size", "target", "size * copies as taken", "copies")
     )
 
@@ -164,7 +165,7 @@ def mixed_documents(
     h = HIDDEN + "h"
     rows = docs.withColumn(h, _hash())
     same = rows["source"].eqNullSafe(chosen[names["source"]]) & (rows[h] % salts == chosen[names["salt"]])
-    copies = _copies("times")
+    copies = _copies(most)
     for c, n in [*names.items(), ("h", h)]:
         copies = re.sub(rf"\b{c}\b", n, copies)
     taken = rows.join(chosen, same).withColumn(
