@@ -23,7 +23,8 @@ HASHES = 4
 WIDTH = 1.5
 PROBES = 40
 NEAREST = 20
-BLOCK = 8192
+# Vectors of a bin. A query brings an answer from each bin that it visits, so bins should be few.
+BLOCK = 65_536
 QUERY_BLOCK = 20_000
 SEED = 11
 # Kept beyond the answer before the exact comparison, which may order near ties anew.
