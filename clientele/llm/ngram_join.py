@@ -2,9 +2,9 @@
 
 1. Each text becomes a set of 64-bit shingle hashes; equal sets collapse to one.
 2. Candidates, without loss: linked sets of sizes in one or two neighbouring size bands
-   differ in at most K tokens, so when the hash space is cut into K + 1 ranges, they
-   agree in one of them. Each set sends a key for each range and band pair; sets that
-   share a key belong to one candidate cluster.
+   differ in at most K tokens, so when the hash space is cut into more than K ranges,
+   they agree in one of them. Each set sends a key for each range and band pair; sets
+   that share a key belong to one candidate cluster.
 3. Each cluster is cut by size band into blocks of bounded tokens, and a signature tree
    is built over a block. The tree is joined with itself, later with the trees of the
    cluster's other blocks whose sizes can match, dropping node pairs by their largest
@@ -40,24 +40,36 @@ def size_bands(num: int, den: int, most: int) -> np.ndarray:
     return np.array(starts, np.int64)
 
 
-def parts(starts: np.ndarray, num: int, den: int) -> np.ndarray:
-    """Ranges to cut the hash space into, by band: one more than the tokens in which a linked pair may differ."""
-    ends = np.concatenate((starts[1:] - 1, [starts[-1] * den // num]))
+def parts(starts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarray]:
+    """(ranges to cut the hash space into, spare ones) by band; no ranges where only equal sets are linked.
+
+    A linked pair of the band and the one below differs in at most K tokens, so of
+    K + 1 + spare ranges it agrees in 1 + spare. Ranges without tokens say nothing: they
+    get no key, unless a set has more of them than are spare. If two sets agree only
+    in empty ranges, both have that many and send their keys.
+    """
+    ends = np.concatenate((starts[1:] - 1, [starts[-1] * den // num])).astype(float)
+    least = np.concatenate((starts[:1], starts[:-1])).astype(float)
     # Of sets of sizes a and b, at most (a + b) (den - num) / (den + num) tokens are in one only.
-    return 2 * ends * (den - num) // (den + num) + 1
+    differ = np.floor(2 * ends * (den - num) / (den + num) + 1e-9)
+    spare = np.zeros(len(ends))
+    for _ in range(20):
+        cuts = differ + 1 + spare
+        empty = cuts * np.exp(-least / cuts)
+        spare = np.ceil(empty + 3 * np.sqrt(empty))
+    cuts = np.where(differ > 0, differ + 1 + spare, 0)
+    return cuts.astype(np.int64), spare.astype(np.int64)
 
 
 def band_keys(
-    tokens: np.ndarray, bounds: np.ndarray, band: np.ndarray, cuts: np.ndarray
+    tokens: np.ndarray, bounds: np.ndarray, band: np.ndarray, cuts: np.ndarray, spare: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, set positions): a key for each range of a set's hash space, in the layout of ``band``.
-
-    Layouts of one range are left out: there only equal sets agree.
-    """
+    """(keys, set positions): a key for each range of a set's hash space, in the layout of ``band``."""
     n = len(bounds) - 1
     count = cuts[band]
     base = np.concatenate(([0], np.cumsum(count)))
-    owner = np.repeat(np.arange(n), np.diff(bounds))
+    own = np.repeat(count > 0, np.diff(bounds))
+    tokens, owner = tokens[own], np.repeat(np.arange(n), np.diff(bounds))[own]
     part = ((tokens >> np.uint64(32)) * count[owner].astype(np.uint64) >> np.uint64(32)).astype(np.int64)
     held = np.bincount(base[owner] + part, minlength=int(base[-1]))
     running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(mix(tokens), dtype=np.uint64)))
@@ -67,8 +79,9 @@ def band_keys(
     place = (np.arange(len(whose)) - base[whose]).astype(np.uint64)
     layout = mix(band.astype(np.uint64) + np.uint64(1))[whose]
     keys = mix(total + mix(place + layout) + held.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
-    wide = count[whose] > 1
-    return keys[wide], whose[wide]
+    empties = np.bincount(whose[held == 0], minlength=n)
+    told = (held > 0) | (empties > spare[band])[whose]
+    return keys[told], whose[told]
 
 
 def _set_ids(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -82,7 +95,7 @@ def _set_ids(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
 
 def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
     starts = size_bands(num, den, 1 << 40)
-    cuts = parts(starts, num, den)
+    cuts, spare = parts(starts, num, den)
 
     def rows(kind, x, y, n):
         m = len(x)
@@ -96,14 +109,16 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
         if not len(keys):
             return
         order = np.lexsort((sets, keys))
-        keys, sets = keys[order], sets[order]
-        new = np.concatenate(([True], keys[1:] != keys[:-1]))
+        ranked, names = keys[order], sets[order]
+        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
         first = np.flatnonzero(new)
-        least = sets[first][np.cumsum(new) - 1]
-        other = sets != least
-        pairs = np.unique(np.stack([sets[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
+        least = names[first][np.cumsum(new) - 1]
+        other = names != least
+        pairs = np.unique(np.stack([names[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
         none = lambda m: pa.nulls(m, pa.int32())
-        yield rows(KEY, pa.array(keys[first].view(np.int64)), pa.array(sets[first]), none(len(first)))
+        # Set by set, as they came: repeated set ids compress well, in the file and in the shuffle.
+        once = np.sort(order[first])
+        yield rows(KEY, pa.array(keys[once].view(np.int64)), pa.array(sets[once]), none(len(once)))
         if len(pairs):
             yield rows(EDGE, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none(len(pairs)))
 
@@ -130,7 +145,7 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
                 own_bounds = np.concatenate(([0], np.cumsum(sizes[fresh])))
                 band = np.searchsorted(starts, sizes[fresh], side="right") - 1
                 for layout in (band, band + 1):
-                    keys, whose = band_keys(own, own_bounds, layout, cuts)
+                    keys, whose = band_keys(own, own_bounds, layout, cuts, spare)
                     held.append((keys, names[fresh][whose]))
                     tokens_held += len(keys)
                 if tokens_held * 5 >= chunk_tokens:
@@ -142,41 +157,39 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
     return run
 
 
-def _token_rows(shingle: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            for i, j in slices(offsets):
-                tokens, bounds, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
-                raw = tokens.tobytes()
-                cells = [raw[a * 8 : b * 8] for a, b in zip(bounds[:-1], bounds[1:])]
-                yield pa.RecordBatch.from_arrays(
-                    [batch.column("doc_id").slice(i, j - i), pa.array(cells, pa.binary())], ["doc_id", "tokens"]
-                )
+def _joiner(shingle: int, num: int, den: int, across: bool):
+    """Join each cluster block (or pair of blocks) of a bin; tables hold whole bins.
 
-    return run
-
-
-def _joiner(num: int, den: int, across: bool):
-    """Join each cluster block (or pair of blocks) of a bin; tables hold whole bins."""
+    Texts travel instead of tokens, as they compress better. A row whose text is not of
+    its set (a doc_id with two texts) and rows that repeat are left out.
+    """
+    place = "pair" if across else "block"
 
     def run(table: pa.Table) -> pa.Table:
-        table = table.sort_by([(c, "ascending") for c in (("cluster", "pair", "set") if across else ("cluster", "block", "set"))])
-        cluster = table.column("cluster").to_numpy()
-        block = table.column("pair" if across else "block").to_numpy()
+        table = table.sort_by([(c, "ascending") for c in ("cluster", place, "set")])
+        cluster, block = table.column("cluster").to_numpy(), table.column(place).to_numpy()
         names, labels = table.column("set").to_numpy(), table.column("label").to_numpy()
         side = table.column("side").to_numpy() if across else None
-        cells = table.column("tokens").to_pylist()
         change = np.flatnonzero(np.concatenate(([True], (np.diff(cluster) != 0) | (np.diff(block) != 0), [True])))
         u, v = [], []
         for a, b in zip(change[:-1], change[1:]):
-            if b - a < 2:
+            data, offsets = buffers(table.column("text").slice(a, b - a))
+            cells, rows = [], []
+            for i, j in slices(offsets):
+                tokens, bounds, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
+                own = np.flatnonzero(_set_ids(tokens, bounds) == names[a + i : a + j])
+                rows.append(own + a + i)
+                cells += [tokens[bounds[k] : bounds[k + 1]] for k in own]
+            rows = np.concatenate(rows)
+            once = np.flatnonzero(np.concatenate(([True], names[rows][1:] != names[rows][:-1]))[: len(rows)])
+            rows, cells = rows[once], [cells[k] for k in once]
+            if len(rows) < 2:
                 continue
-            tokens = np.frombuffer(b"".join(cells[a:b]), np.uint64)
-            bounds = np.concatenate(([0], np.cumsum([len(c) // 8 for c in cells[a:b]])))
-            for i, j in links(tokens, bounds, labels[a:b], None if side is None else side[a:b], num, den):
-                u.append(int(names[a + i]))
-                v.append(int(names[a + j]))
+            bounds = np.concatenate(([0], np.cumsum([len(c) for c in cells])))
+            sides = None if side is None else side[rows]
+            for i, j in links(np.concatenate(cells), bounds, labels[rows], sides, num, den):
+                u.append(int(names[rows[i]]))
+                v.append(int(names[rows[j]]))
         return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
 
     return run
@@ -224,7 +237,7 @@ def near_duplicates(
         .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("component").alias("cluster"))
     )
     step = float(np.log(den / num))
-    members = stage(members.withColumn("band", F.floor(F.log("n") / step).cast("int")), "members")
+    members = stage(members.withColumn("band", F.floor(F.log("n") / step).cast("int")), "candidates")
     room = members.groupBy("cluster", "band").agg(
         F.ceil(F.sum("n") / F.lit(float(block_tokens))).cast("long").alias("blocks")
     )
@@ -233,22 +246,8 @@ def near_duplicates(
         .withColumn("slot", F.expr("pmod(xxhash64(`set`), blocks)"))
         .select("set", "doc_id", "cluster", "n", "band", F.expr("band * 4294967296L + slot").alias("block"))
     )
-    found_texts = with_maybe(texts, "doc_id", member_filter(members, "doc_id")).filter(HIDDEN + "maybe")
-    tokens = found_texts.drop(HIDDEN + "maybe").mapInArrow(_token_rows(shingle), "doc_id long, tokens binary")
-    # Rows that repeat a doc_id with another text have another set size or hash order; both must fit.
-    loaded = stage(
-        placed.join(tokens.filter(F.length("tokens") > 0), "doc_id")
-        .filter(F.length("tokens") == F.col("n") * 8)
-        .groupBy("set")
-        .agg(
-            F.first("cluster").alias("cluster"),
-            F.first("block").alias("block"),
-            F.first("band").alias("band"),
-            F.first("n").alias("n"),
-            F.first("tokens").alias("tokens"),
-        ),
-        "tokens",
-    )
+    asked = with_maybe(texts, "doc_id", member_filter(members, "doc_id")).filter(HIDDEN + "maybe")
+    loaded = stage(placed.join(asked.select("doc_id", "text"), "doc_id").drop("doc_id"), "members")
     volume = loaded.agg(F.sum("n")).first()[0] or 0
     bins = max(partitions(docs), -(-volume // block_tokens))
     inside = loaded.select(
@@ -256,10 +255,10 @@ def near_duplicates(
         "block",
         "set",
         F.col("set").alias("label"),
-        "tokens",
+        "text",
         F.expr(f"pmod(xxhash64(cluster, block), {bins}L)").alias("bin"),
     )
-    inner = stage(inside.groupBy("bin").applyInArrow(_joiner(num, den, False), "u long, v long"), "inner")
+    inner = stage(inside.groupBy("bin").applyInArrow(_joiner(shingle, num, den, False), "u long, v long"), "inner")
 
     # Blocks of one cluster whose sizes can match and that are not connected as a whole.
     labels = stage(components(inner), "inner-components")
@@ -289,12 +288,12 @@ def near_duplicates(
         F.expr("inline(array(struct(a.block as block, 0 as side), struct(b.block as block, 1 as side)))"),
     )
     crossing = (
-        labelled.select("cluster", "block", "set", "label", "tokens")
+        labelled.select("cluster", "block", "set", "label", "text")
         .join(pairs, ["cluster", "block"])
         .withColumn("bin", F.expr("xxhash64(cluster, pair)"))
-        .select("cluster", "pair", "side", "set", "label", "tokens", "bin")
+        .select("cluster", "pair", "side", "set", "label", "text", "bin")
     )
-    outer = crossing.groupBy("bin").applyInArrow(_joiner(num, den, True), "u long, v long")
+    outer = crossing.groupBy("bin").applyInArrow(_joiner(shingle, num, den, True), "u long, v long")
     joined = components(inner.union(outer))
 
     named = rows.filter("set is not null").groupBy("set").agg(F.min("doc_id").alias("least"))
