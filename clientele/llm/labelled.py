@@ -1,10 +1,13 @@
 """A bounded sample of labelled documents for training, and the held-out rule."""
 
+import pickle
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 FOLDS = 5
+EMPTY = pa.schema([("id", pa.int64()), ("label", pa.int32()), ("h", pa.int64()), ("text", pa.string())])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -14,12 +17,13 @@ def held_out(doc_id: Column) -> Column:
 
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str, class_rows: tuple[int, int], class_bytes: tuple[int, int]
-) -> tuple[pa.ChunkedArray, list[int]]:
-    """(texts, labels) of at most ``class_rows`` rows and ``class_bytes`` bytes of class 0 and class 1.
+) -> DataFrame | None:
+    """(text, label, h, id) of at most ``class_rows`` rows and ``class_bytes`` bytes of class 0 and class 1.
 
     Rows come in order of a hash of the doc_id, so the sample is the same in any
     partitioning. Texts are whole. Labels other than 0 and 1 and documents with both
     labels are left out. The first document of a class is taken whatever its size.
+    None where no row is labelled. ``h`` and ``id`` give the order.
     """
     marks = (
         labels.filter(F.col(label).isin(0, 1))
@@ -43,10 +47,28 @@ def training_sample(
                 break
             chosen.append((row["doc_id"], value, row["h"]))
     if not chosen:
-        return pa.chunked_array([pa.array([], pa.string())]), []
+        return None
     # At most the sum of class_rows ids: a proven bound for the broadcast.
     ids = docs.sparkSession.createDataFrame(chosen, "id long, label int, h long")
     texts = docs.select(docs["doc_id"].cast("long").alias("id"), F.coalesce(docs["text"], F.lit("")).alias("text"))
-    found = texts.join(F.broadcast(ids), "id").groupBy("id", "label", "h").agg(F.min("text").alias("text"))
-    table = found.toArrow().sort_by([("h", "ascending"), ("id", "ascending")])
-    return table.column("text"), table.column("label").to_pylist()
+    return texts.join(F.broadcast(ids), "id").groupBy("id", "label", "h").agg(F.min("text").alias("text"))
+
+
+def train_in_task(sample: DataFrame | None, function):
+    """``function(texts, labels)`` over a whole training sample, run in one task.
+
+    The sample is bounded, so one task can hold it, and the driver's memory is spared. The
+    result travels as one pickled row. Without a sample the function gets no rows here.
+    """
+    if sample is None:
+        return function(pa.chunked_array([pa.array([], pa.string())]), [])
+
+    def run(batches):
+        held = list(batches)
+        table = pa.Table.from_batches(held) if held else EMPTY.empty_table()
+        table = table.sort_by([("h", "ascending"), ("id", "ascending")])
+        model = function(table.column("text"), table.column("label").to_pylist())
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(model)], pa.binary())], ["model"])
+
+    rows = sample.select("id", "label", "h", "text").coalesce(1).mapInArrow(run, "model binary")
+    return pickle.loads(rows.first()["model"])

@@ -3,8 +3,8 @@
 Every token slot (a hash of the token) has a fixed sparse random index vector. One pass
 over all documents adds to each slot the index vectors of its neighbours; slots and
 dimensions are parameters, so tables have a fixed size however large the corpus. A text is
-the mean of its tokens' vectors and of their squares. The network is trained in numpy on
-the driver on a bounded sample; a temperature fitted on rows kept apart calibrates it.
+the mean of its tokens' vectors and of their squares. The network is trained in numpy, in
+one task, on a bounded sample; a temperature fitted on rows kept apart calibrates it.
 """
 
 import numpy as np
@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, training_sample
+from .labelled import held_out, train_in_task, training_sample
 from .textops import buffers, slices, word_hashes
 from .tokens import units
 
@@ -177,8 +177,13 @@ def fit(
 ) -> tuple[np.ndarray, Network]:
     """(word vectors of all documents, network trained outside the held-out fold); runs jobs."""
     vectors = word_vectors(docs, slots, dimensions)
-    texts, wanted = training_sample(docs, labels, "quality", class_rows, class_bytes)
-    return vectors, Network(pooled(texts, vectors).astype(np.float64), np.asarray(wanted, np.float64))
+
+    def train(texts, wanted):
+        return vars(Network(pooled(texts, vectors).astype(np.float64), np.asarray(wanted, np.float64)))
+
+    network = Network.__new__(Network)
+    vars(network).update(train_in_task(training_sample(docs, labels, "quality", class_rows, class_bytes), train))
+    return vectors, network
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, Network], threshold: float = THRESHOLD) -> DataFrame:

@@ -2,7 +2,7 @@
 
 A word is the bag of the byte n-grams of its lower-cased spelling with a space at each
 end; its vector is the mean of theirs, a text's vector the mean of its words'. The
-embeddings and the softmax are trained together in numpy on the driver, on a bounded
+embeddings and the softmax are trained together in numpy, in one task, on a bounded
 sample. A misspelling shares most n-grams with the word it comes from.
 """
 
@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .labelled import held_out, training_sample
+from .labelled import held_out, train_in_task, training_sample
 from .textops import _ODD, _PLAIN, _Powers, buffers, is_white, mix, slices, word_hashes, words
 
 ORDERS = (3, 5)
@@ -209,7 +209,7 @@ def _scorer(scores: np.ndarray, bias: float, column: str):
 
 def fit(docs: DataFrame, labels: DataFrame, class_rows: tuple = CLASS_ROWS, class_bytes: tuple = CLASS_BYTES):
     """(bucket scores, bias) from the labels outside the held-out fold; runs jobs."""
-    return train(*training_sample(docs, labels, "toxic", class_rows, class_bytes))
+    return train_in_task(training_sample(docs, labels, "toxic", class_rows, class_bytes), train)
 
 
 def score(docs: DataFrame, model: tuple[np.ndarray, float], threshold: float = THRESHOLD) -> DataFrame:

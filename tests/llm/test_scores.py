@@ -94,13 +94,13 @@ def test_scores_of_slices_equal_scores_of_single_texts():
 def test_the_training_sample_is_bounded_and_keeps_the_fold_out(spark):
     rows, labels = corpus(300)
     docs, marks = docs_of(spark, rows), labels_of(spark, labels)
-    texts, wanted = training_sample(docs, marks, "toxic", (30, 10), (10**6, 10**6))
+    sample = training_sample(docs, marks, "toxic", (30, 10), (10**6, 10**6)).collect()
+    texts, wanted = [r["text"] for r in sample], [r["label"] for r in sample]
     assert wanted.count(0) == 30 and wanted.count(1) == 10
     apart = {r["doc_id"] for r in docs.filter(held_out(docs["doc_id"])).collect()}
     by_text = {t: i for i, t in rows}
-    assert not apart & {by_text[t] for t in texts.to_pylist()}
-    few, _ = training_sample(docs, marks, "toxic", (30, 10), (1, 1))
-    assert len(few) == 2
+    assert not apart & {by_text[t] for t in texts}
+    assert training_sample(docs, marks, "toxic", (30, 10), (1, 1)).count() == 2
 
 
 def test_toxic_rows_go_and_the_rest_keeps_its_columns(spark):
