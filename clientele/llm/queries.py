@@ -8,7 +8,7 @@ from clientele.sources.staging import new_folder
 from . import quality, sql, token_counts, toxicity
 from .exact_dedup import exact_duplicates
 from .html_wrapper import main_text
-from .jobs import stage
+from .jobs import HIDDEN, member_filter, stage, with_maybe
 from .mixing import mix
 from .multiprobe import nearest
 from .ngram_join import near_duplicates
@@ -65,8 +65,10 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     keepers = prints.groupBy("sha").agg(F.max("doc_id").alias("keep_id"))
     copies = prints.join(keepers, "sha").filter("doc_id < keep_id").select("doc_id")
     gone = stage(copies, "copies")
-    revised_docs = docs.join(low, "doc_id", "left_semi").withColumn("text", revised_text)
-    after = token_counts.counted(revised_docs, versions).join(gone, "doc_id", "left_anti")
+    # Only counts are joined; texts that can't be among the revised ones are not even counted.
+    maybe = with_maybe(docs, "doc_id", member_filter(low, "doc_id")).filter(HIDDEN + "maybe")
+    recounted = stage(token_counts.counted(maybe.withColumn("text", revised_text), versions), "recounts")
+    after = recounted.join(low, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
     before = loaded.join(low, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
 
     ledger = token_counts.Ledger(spark, new_folder(spark, "llm-ledger"))
