@@ -190,7 +190,7 @@ def score(docs: DataFrame, model: tuple[np.ndarray, Network], threshold: float =
     """One row per row of ``docs``: doc_id, held_out, score, predicted.
 
     A null, empty or blank text has zero features and gets the network's score of them.
-    Repeated rows get equal scores; other columns are not read; an empty table gives no
+    Repeated rows get equal scores, but for rounding in the last digit; other columns are not read; an empty table gives no
     rows. Without labels of both classes every text gets the share of label 1.
     """
     vectors, network = model
