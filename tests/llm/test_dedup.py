@@ -280,3 +280,35 @@ def test_spans_of_messy_rows(spark):
     assert len(found) == len(MESSY)
     assert {r["text"] for r in found if r["doc_id"] in (1, 3, 4, 10)} == {"a b c", None, "", " \t\n"}
     assert not any(r["changed"] for r in found if r["doc_id"] is None)
+
+
+def brute_stretches(rows, size):
+    """What is left of each text when every later place of ``size`` equal words goes."""
+    places = collections.defaultdict(set)
+    texts = {doc: WORD.findall(text or "") for doc, text in rows}
+    for doc, own in texts.items():
+        for i in range(len(own) - size + 1):
+            places[tuple(own[i : i + size])].add((doc, i))
+    gone = collections.defaultdict(set)
+    for found in places.values():
+        (keep, at), *later = sorted(found)
+        for doc, i in later:
+            gone[doc] |= set(range(max(i, at + size) if doc == keep else i, i + size))
+    return {doc: [w for k, w in enumerate(own) if k not in gone[doc]] for doc, own in texts.items()}
+
+
+def test_stretches_of_fifty_words_go_wherever_sentences_end(spark):
+    rng = random.Random(7)
+    own = lambda n: " ".join(f"u{rng.getrandbits(60)}" for _ in range(n))
+    passages = [own(n) for n in (49, 50, 51, 73, 200)] + ["one two " * 60]
+    rows = [(i, f"{own(3)} {p} {own(5)}") for i, p in enumerate(passages)]
+    rows += [(10 + i, f"{own(20)} {p}\t{own(9)}") for i, p in enumerate(passages)]
+    whole = own(80)
+    rows += [(30, whole), (31, whole.replace(" ", "\n", 1)), (32, whole + "."), (33, own(400)), (34, f"{own(2)}, {passages[4]}. {passages[3]}")]
+    found = {r["doc_id"]: r for r in dedup_spans(frame(spark, rows)).collect()}
+    want = brute_stretches(rows, 50)
+    for doc, text in rows:
+        assert WORD.findall(found[doc]["text"]) == want[doc], doc
+        assert found[doc]["changed"] == (len(want[doc]) < len(WORD.findall(text)))
+        assert found[doc]["changed"] or found[doc]["text"] == text
+    assert want[31] == [] and len(want[10]) == 78 and len(want[11]) == 29 and len(want[32]) < 2
