@@ -163,13 +163,22 @@ def _sums(group: list) -> tuple[int, int]:
     return chars, linked
 
 
-def _has_centre(group: list) -> bool:
-    if _outside(group[TOKEN]):
+def _has_text(node: Node) -> bool:
+    return any(_has_text(kid) if isinstance(kid, Node) else "".join(kid[0]).strip() for kid in node.kids)
+
+
+def _is_centre(token: str) -> bool:
+    name, _, marks = token.partition(".")
+    return name in CENTRE or "main" in marks.split(".")
+
+
+def _has_centre(node: Node) -> bool:
+    """Whether the page itself marks an article that holds text."""
+    if _outside(node.token):
         return False
-    name, _, marks = group[TOKEN].partition(".")
-    if (name in CENTRE or "main" in marks.split(".")) and _sums(group)[0]:
+    if _is_centre(node.token) and _has_text(node):
         return True
-    return any(_has_centre(g) for g in group[KIDS])
+    return any(_has_centre(kid) for kid in node.kids if isinstance(kid, Node))
 
 
 def _varies(group: list) -> bool:
@@ -183,12 +192,13 @@ class Reader:
 
     def __init__(self, wrapper: list):
         self.wrapper = wrapper
-        self.centre = _has_centre(wrapper)
         # Where all pages are alike, being alike tells nothing.
         self.varied = _varies(wrapper)
 
     def blocks(self, page: Node) -> list[str]:
         out = []
+        # Templates of one host differ, so each page tells for itself.
+        self.centre = _has_centre(page)
         self._walk(page, self.wrapper, not self.centre, out)
         return out
 
@@ -212,8 +222,7 @@ class Reader:
                 continue
             if _outside(token):
                 continue
-            name, _, marks = token.partition(".")
-            centre = inside or name in CENTRE or "main" in marks.split(".")
+            centre = inside or _is_centre(token)
             if not self.centre and own and self._links(own):
                 continue
             self._walk(kid, own, centre, out)
@@ -312,7 +321,7 @@ def main_text(pages: DataFrame, salts: int = SALTS) -> DataFrame:
 
     Blocks of the article in page order, one a line; white space inside a block is one
     space, character references are decoded. The article is what lies in ``article`` or
-    ``main`` elements where the host's pages have them, else all text that is neither link
+    ``main`` elements where the page has them, else all text that is neither link
     lists nor the same on all pages of the host (of three or more). Menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out
     by element and by words of class, id and role. A null or empty html gives an empty

@@ -89,3 +89,11 @@ def test_pages_table(spark):
     assert all(r["n_chars"] == len(r["text"]) for r in found)
     assert wrappers(pages).count() == 4
     assert main_text(pages.limit(0)).collect() == []
+
+
+def test_pages_without_an_article_keep_their_text_beside_pages_with_one():
+    pages = [page(f"T{i}", [f"a{i}", f"b{i}"], article=i % 2 == 0) for i in range(8)]
+    assert text_of(pages, pages[0]) == ["T0", "a0", "b0"]
+    assert text_of(pages, pages[1]) == ["a1", "b1"]
+    alone = [page("T", ["x"]), "<p>one</p><p>two</p>"]
+    assert text_of(alone, alone[1]) == ["one", "two"]
