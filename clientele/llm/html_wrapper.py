@@ -9,6 +9,7 @@ wrappers are shuffled. The wrapper also sums how much text and link text its gro
 The host's wrapper then says which groups are the article, and each page is read along it.
 """
 
+import functools
 import html
 import json
 import zlib
@@ -40,12 +41,24 @@ OUTSIDE_WORDS = frozenset(
     "widget widgets toolbar skip hidden".split()
 )
 CENTRE = frozenset(("article", "main"))
+# Elements that hold a page or an article, whatever words their class, id or role has.
+WHOLE = frozenset(("html", "body", "article", "main"))
+# What readers say varies as the article does, so a container of these words stays outside.
+REPLY_WORDS = frozenset("comment comments disqus reply replies respond".split())
 TEXT = "#"
+OPEN, DOUBTFUL, SHUT = range(3)
 
 
-def _outside(token: str) -> bool:
+@functools.lru_cache(1 << 14)
+def _kind(token: str) -> int:
+    """Whether an element may hold article text; doubtful where only one word or a form speaks against it."""
     name, _, marks = token.partition(".")
-    return name in OUTSIDE or not OUTSIDE_WORDS.isdisjoint(marks.split("."))
+    if name in WHOLE:
+        return OPEN
+    found = OUTSIDE_WORDS.intersection(marks.split("."))
+    if name in OUTSIDE and name != "form" or found & REPLY_WORDS or len(found) > 1:
+        return SHUT
+    return DOUBTFUL if found or name == "form" else OPEN
 
 
 # A wrapper group is [token, pages, repeated, optional, characters, link characters, texts, groups]. The texts
@@ -172,19 +185,21 @@ def _is_centre(token: str) -> bool:
     return name in CENTRE or "main" in marks.split(".")
 
 
-def _has_centre(node: Node) -> bool:
-    """Whether the page itself marks an article that holds text."""
-    if _outside(node.token):
-        return False
-    if _is_centre(node.token) and _has_text(node):
-        return True
-    return any(_has_centre(kid) for kid in node.kids if isinstance(kid, Node))
+def _unlinked(group: list) -> int:
+    """Characters outside of links in all that is not surely outside an article."""
+    if group[TOKEN] != TEXT and _kind(group[TOKEN]) == SHUT:
+        return 0
+    return group[CHARS] - group[LINKED] + sum(_unlinked(g) for g in group[KIDS])
 
 
-def _varies(group: list) -> bool:
+def _varies(group: list, most: int) -> bool:
+    """Whether pages differ in a text of the group; doubtful groups count that hold over half of ``most``."""
     if group[TOKEN] == TEXT:
         return group[SAME][0]
-    return not _outside(group[TOKEN]) and any(_varies(g) for g in group[KIDS])
+    kind = _kind(group[TOKEN])
+    if kind == SHUT or kind == DOUBTFUL and 2 * _unlinked(group) <= most:
+        return False
+    return any(_varies(g, most) for g in group[KIDS])
 
 
 class Reader:
@@ -193,16 +208,20 @@ class Reader:
     def __init__(self, wrapper: list):
         self.wrapper = wrapper
         # Where all pages are alike, being alike tells nothing.
-        self.varied = _varies(wrapper)
+        self.varied = _varies(wrapper, _unlinked(wrapper))
 
     def blocks(self, page: Node) -> list[str]:
+        self.weights = {}
+        whole = self._weigh(page, self.wrapper)
+        # Templates of one host differ, so each page tells for itself; doubtful elements only where no other does.
+        strict = self._has_centre(page, None)
+        self.centre = strict or self._has_centre(page, whole)
         out = []
-        # Templates of one host differ, so each page tells for itself.
-        self.centre = _has_centre(page)
-        self._walk(page, self.wrapper, not self.centre, out)
+        self._walk(page, self.wrapper, not self.centre, None if strict else whole, out)
         return out
 
-    def _walk(self, node: Node, group: list | None, inside: bool, out: list) -> None:
+    def _pairs(self, node: Node, group: list | None):
+        """The node's kids, each with its group."""
         groups = _flat(group[KIDS]) if group else []
         at = 0
         for kid in node.kids:
@@ -213,19 +232,51 @@ class Reader:
                 place = next((i for i in range(at) if groups[i][TOKEN] == token), None)
             else:
                 at = place
-            own = groups[place] if place is not None else None
+            yield kid, token, groups[place] if place is not None else None
+
+    def _weigh(self, node: Node, group: list | None) -> int:
+        """Unlinked characters that tell pages of the host apart, noted for each element."""
+        total = 0
+        for kid, token, own in self._pairs(node, group):
+            if isinstance(kid, Node):
+                if _kind(token) != SHUT:
+                    total += self._weigh(kid, own)
+            elif not self.varied or own is None or own[SAME][0]:
+                chars = len("".join(kid[0]).strip())
+                total += chars - min(kid[1], chars)
+        self.weights[id(node)] = total
+        return total
+
+    def _outside(self, node: Node, token: str, whole: int | None) -> bool:
+        """Evidence against a single word: the element holds over half of the ``whole``."""
+        kind = _kind(token)
+        return kind == SHUT or kind == DOUBTFUL and (whole is None or 2 * self.weights[id(node)] <= whole)
+
+    def _has_centre(self, node: Node, whole: int | None) -> bool:
+        """Whether the page itself marks an article that holds text."""
+        for kid in node.kids:
+            if isinstance(kid, Node):
+                token = kid.token
+                if not self._outside(kid, token, whole):
+                    if _is_centre(token) and _has_text(kid) or self._has_centre(kid, whole):
+                        return True
+        return False
+
+    def _walk(self, node: Node, group: list | None, inside: bool, whole: int | None, out: list) -> None:
+        for kid, token, own in self._pairs(node, group):
             if not isinstance(kid, Node):
                 if inside and not self._boilerplate(own, kid):
                     text = " ".join(html.unescape("".join(kid[0])).split())
                     if text:
                         out.append(text)
                 continue
-            if _outside(token):
+            if self._outside(kid, token, whole):
                 continue
-            centre = inside or _is_centre(token)
+            entered = self.centre and not inside and _is_centre(token)
             if not self.centre and own and self._links(own):
                 continue
-            self._walk(kid, own, centre, out)
+            # Inside an article, half of the article decides.
+            self._walk(kid, own, inside or entered, self.weights[id(kid)] if entered else whole, out)
 
     def _boilerplate(self, group: list | None, run: list) -> bool:
         """Outside of a marked article: text that all pages of the host share."""
@@ -324,7 +375,10 @@ def main_text(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     ``main`` elements where the page has them, else all text that is neither link
     lists nor the same on all pages of the host (of three or more). Menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out
-    by element and by words of class, id and role. A null or empty html gives an empty
+    by element and by words of class, id and role. Such words on html, body, article and
+    main mean nothing; a form or an element with one such word (comments apart) is read
+    where it holds over half of the page's, or inside a marked article the article's,
+    unlinked text that tells the host's pages apart. A null or empty html gives an empty
     text; pages without a host in their url share a wrapper; repeated rows give equal
     texts; other columns are not read; an empty table gives no rows.
     """

@@ -97,3 +97,24 @@ def test_pages_without_an_article_keep_their_text_beside_pages_with_one():
     assert text_of(pages, pages[1]) == ["a1", "b1"]
     alone = [page("T", ["x"]), "<p>one</p><p>two</p>"]
     assert text_of(alone, alone[1]) == ["one", "two"]
+
+
+@pytest.mark.parametrize(
+    "tags",
+    [
+        ["body class=no-sidebar", "article"], ["body class='search-results'", "div"], ["body", "main class=with-sidebar"],
+        ["body", "article class='has-comments'"], ["form id=aspnet", "article"], ["form", "div"],
+        ["div class='overflow-hidden'", "main"], ["div class=page-sidebar", "div"], ["main", "div class='social'"],
+        ["body", "div data-id=sidebar data-role='menu'"],
+    ],
+)
+def test_a_word_on_what_holds_the_article_does_not_lose_it(tags):
+    def wrapped(i):
+        body = f"<h1>T{i}</h1><p>text {i} of the article</p><p>and {i} more</p>"
+        for tag in reversed(tags):
+            body = f"<nav>n{i}</nav><{tag}>{body}<div class=ad>buy{i}</div><div class='comment'>long comment {i} by a reader, longer than the article itself, and more</div></{tag.split()[0]}>"
+        return f"<html>{body}<footer>f</footer></html>"
+
+    pages = [wrapped(i) for i in range(5)]
+    assert text_of(pages, pages[3]) == ["T3", "text 3 of the article", "and 3 more"]
+    assert text_of(pages[:1], pages[0]) == ["T0", "text 0 of the article", "and 0 more"]
