@@ -27,6 +27,8 @@ FANIN = 64
 HOSTS_HELD = 2000
 LONGEST_GROUP = 4
 FEW_PAGES = 3
+# Pages of one template that must share a text where the host has other templates.
+MANY_PAGES = 20
 
 # Elements and words of class, id or role that never belong to an article.
 OUTSIDE = frozenset(
@@ -208,7 +210,25 @@ class Reader:
     def __init__(self, wrapper: list):
         self.wrapper = wrapper
         # Where all pages are alike, being alike tells nothing.
-        self.varied = _varies(wrapper, _unlinked(wrapper))
+        self.most = _unlinked(wrapper)
+        self.varied = _varies(wrapper, self.most)
+        self.shared = set()
+        self._find_shared(wrapper, [])
+
+    def _find_shared(self, group: list, above: list) -> None:
+        """Notes the texts whose being alike tells that they are no article.
+
+        They stand on nearly all pages of the host, or on many pages that differ elsewhere:
+        in the outermost element that has hardly more pages than the text.
+        """
+        if group[TOKEN] == TEXT:
+            pages = group[PAGES]
+            host = 10 * pages >= 9 * self.wrapper[PAGES]
+            template = next((g for g in above if 10 * pages >= 9 * g[PAGES]), group)
+            if pages >= FEW_PAGES and host or pages >= MANY_PAGES and _varies(template, self.most):
+                self.shared.add(id(group))
+        for g in group[KIDS]:
+            self._find_shared(g, [*above, group])
 
     def blocks(self, page: Node) -> list[str]:
         self.weights = {}
@@ -279,8 +299,8 @@ class Reader:
             self._walk(kid, own, inside or entered, self.weights[id(kid)] if entered else whole, out)
 
     def _boilerplate(self, group: list | None, run: list) -> bool:
-        """Outside of a marked article: text that all pages of the host share."""
-        if self.centre or not self.varied or not group or group[PAGES] < FEW_PAGES:
+        """Outside of a marked article: text that all pages of the host or template share."""
+        if self.centre or not self.varied or not group or id(group) not in self.shared:
             return False
         return hash_text("".join(run[0]).strip()) in group[SAME][1]
 
@@ -373,7 +393,8 @@ def main_text(pages: DataFrame, salts: int = SALTS) -> DataFrame:
     Blocks of the article in page order, one a line; white space inside a block is one
     space, character references are decoded. The article is what lies in ``article`` or
     ``main`` elements where the page has them, else all text that is neither link
-    lists nor the same on all pages of the host (of three or more). Menus, headers,
+    lists nor the same on all pages of the host (of three or more) that have its place in
+    the page, if these are nine in ten or at least 20 that differ elsewhere. Menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out
     by element and by words of class, id and role. Such words on html, body, article and
     main mean nothing; a form or an element with one such word (comments apart) is read

@@ -118,3 +118,14 @@ def test_a_word_on_what_holds_the_article_does_not_lose_it(tags):
     pages = [wrapped(i) for i in range(5)]
     assert text_of(pages, pages[3]) == ["T3", "text 3 of the article", "and 3 more"]
     assert text_of(pages[:1], pages[0]) == ["T0", "text 0 of the article", "and 0 more"]
+
+
+def test_what_only_copies_of_one_page_hold_is_no_boilerplate():
+    extra = "<pre>code</pre><table><tr><td>cell</table><blockquote>said</blockquote>"
+    pages = [page(f"T{i}", [f"only {i}"], article=False) for i in range(40)]
+    copy = page("T", ["only c"], article=False).replace("<form>", extra + "<form>")
+    assert text_of(pages + [copy] * 3, copy) == ["only c", "code", "cell", "said"]
+    assert text_of(pages + [copy] * 3, pages[5]) == ["only 5"]
+    # The second template's own notice goes, as its other text differs.
+    second = [f"<body><section><p>Terms apply</p><h2>h{i}</h2></section></body>" for i in range(25)]
+    assert text_of(pages + second, second[4]) == ["h4"]
