@@ -15,6 +15,27 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % FOLDS == 0, F.lit(False))
 
 
+def _fitting(known: DataFrame, value: int, rows: int, room: int) -> list[tuple]:
+    """(doc_id, label, h) of one class, read by at most ``rows`` candidates at a time."""
+    found, least, longest, after = [], room // 100, room // 10, None
+    while len(found) < rows and (room > least or not found):
+        fits = known.filter(F.col("size") <= min(room, longest))
+        if after:
+            fits = fits.filter((F.col("h") > after[0]) | ((F.col("h") == after[0]) & (F.col("doc_id") > after[1])))
+        most = rows - len(found)
+        read = fits.orderBy("h", "doc_id").limit(most).collect()
+        for row in read:
+            if row["size"] <= room and (room > least or not found):
+                room -= row["size"]
+                found.append((row["doc_id"], value, row["h"]))
+        if len(read) < most:
+            break
+        after = (read[-1]["h"], read[-1]["doc_id"])
+    if not found and rows:
+        found = [(r["doc_id"], value, r["h"]) for r in known.orderBy("size", "h", "doc_id").limit(1).collect()]
+    return found
+
+
 def training_sample(
     docs: DataFrame, labels: DataFrame, label: str, class_rows: tuple[int, int], class_bytes: tuple[int, int]
 ) -> DataFrame | None:
@@ -22,8 +43,10 @@ def training_sample(
 
     Rows come in order of a hash of the doc_id, so the sample is the same in any
     partitioning. Texts are whole. Labels other than 0 and 1 and documents with both
-    labels are left out. The first document of a class is taken whatever its size.
-    None where no row is labelled. ``h`` and ``id`` give the order.
+    labels are left out. A document that does not fit into the bytes left, or takes over a
+    tenth of all bytes of its class, is passed over and the next ones are tried, until the rows or all but a hundredth of the bytes are
+    used; the last hundredth would only draw short texts. Where no document of a class
+    fits, its smallest is taken whatever its size. None where no row is labelled. ``h`` and ``id`` give the order.
     """
     marks = (
         labels.filter(F.col(label).isin(0, 1))
@@ -39,13 +62,7 @@ def training_sample(
     known = known.join(marks, "doc_id").select("doc_id", "label", "size", F.xxhash64("doc_id").alias("h"))
     chosen = []
     for value in (0, 1):
-        first = known.filter(F.col("label") == value).orderBy("h", "doc_id").limit(class_rows[value]).collect()
-        total = 0
-        for i, row in enumerate(sorted(first, key=lambda r: (r["h"], r["doc_id"]))):
-            total += row["size"]
-            if i and total > class_bytes[value]:
-                break
-            chosen.append((row["doc_id"], value, row["h"]))
+        chosen += _fitting(known.filter(F.col("label") == value), value, class_rows[value], class_bytes[value])
     if not chosen:
         return None
     # At most the sum of class_rows ids: a proven bound for the broadcast.

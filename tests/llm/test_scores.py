@@ -160,3 +160,21 @@ def test_token_counts_of_no_rows(spark, tmp_path):
     ledger = token_counts.Ledger(spark, str(tmp_path / "log"))
     ledger.commit("none", token_counts.inserts(counts(spark, COUNTED).limit(0)))
     assert totals(ledger) == []
+
+
+def test_a_document_too_long_for_the_sample_is_passed_over(spark):
+    rows = [(i, "x" * 100) for i in range(200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
+    taken = lambda rows, most: sorted(
+        (r["h"], r["id"], r["label"])
+        for r in training_sample(spark.createDataFrame(rows, "doc_id long, text string"), labels, "toxic", (20, 20), (most, most)).collect()
+    )
+    plain = taken(rows, 10_000)
+    assert [sum(label == v for _, _, label in plain) for v in (0, 1)] == [20, 20]
+    for place in (0, 7):
+        long = {[i for _, i, label in plain if label == v][place] for v in (0, 1)}
+        for size in (2_450, 9_500):
+            found = taken([(i, "x" * size if i in long else t) for i, t in rows], 2_500)
+            assert [sum(label == v for _, _, label in found) for v in (0, 1)] == [20, 20]
+            assert not long & {i for _, i, _ in found}
+    assert len(taken(rows, 50)) == 2
