@@ -178,3 +178,7 @@ def test_a_document_too_long_for_the_sample_is_passed_over(spark):
             assert [sum(label == v for _, _, label in found) for v in (0, 1)] == [20, 20]
             assert not long & {i for _, i, _ in found}
     assert len(taken(rows, 50)) == 2
+
+
+def test_toxicity_trains_on_the_bytes_it_had_before_the_driver_was_short_of_memory():
+    assert toxicity.CLASS_BYTES == (20_000_000, 10_000_000)
