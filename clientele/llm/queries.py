@@ -13,6 +13,7 @@ from .mixing import mix
 from .multiprobe import nearest
 from .ngram_join import near_duplicates
 from .packing import pack
+from .prefix_trie import conversation_trie
 from .span_dedup import dedup_spans
 from .whitening import whiten
 
@@ -98,14 +99,28 @@ def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(_table(spark, sf_dir, "documents"))
 
 
+def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trie = conversation_trie(_table(spark, sf_dir, "conversations"), family=20, heads=4)
+    return trie.select(
+        "conv_id",
+        F.col("depth").cast("long").alias("depth"),
+        "parent_conv_id",
+        "n_convs",
+        "n_children",
+        "n_leaves",
+        "saved_tokens",
+        "ends_sha256",
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whiten(_table(spark, sf_dir, "embeddings"))
     # A long holds the exact sum up to tables of about 10^8 vectors; beyond, it is null here.
     return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_mixing, op4_exact_dedup, op5_html_wrapper, op6_token_counts, op7_toxicity, op8_multiprobe, op9_span_dedup, op10_ngram_join, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_mixing, op4_exact_dedup, op5_html_wrapper, op6_token_counts, op7_toxicity, op8_multiprobe, op9_span_dedup, op10_ngram_join, op11_prefix_trie, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_mixing": sql.mixing(), "op4_exact_dedup": sql.exact_dedup(), "op6_token_counts": sql.token_counts()}
+    return {"op3_mixing": sql.mixing(), "op4_exact_dedup": sql.exact_dedup(), "op6_token_counts": sql.token_counts(), "op11_prefix_trie": sql.prefix_trie()}

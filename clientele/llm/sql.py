@@ -80,3 +80,48 @@ final AS (
   FROM kept)
 SELECT source, lang, version, count(*) AS documents, CAST(sum(n) AS BIGINT) AS tokens
 FROM ({counts}) GROUP BY source, lang, version"""
+
+
+def prefix_trie(conversations: str = "conversations") -> str:
+    # The CRC-32 table by its rule: eight halvings, with the polynomial where a bit falls out.
+    halved = "lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END"
+    return f"""
+WITH crc AS MATERIALIZED (
+  SELECT list_transform(range(256), lambda i: list_reduce([i, 1, 2, 3, 4, 5, 6, 7, 8], {halved})) AS t),
+said AS (
+  SELECT conv_id, {WORDS.format(text="text")} AS words,
+         sha256(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS name, turn
+  FROM {conversations} WHERE conv_id IS NOT NULL),
+turns AS (
+  SELECT conv_id, words, name, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, name) - 1 AS nth FROM said),
+convs AS (
+  SELECT conv_id, conv_id - conv_id % 20 AS base,
+         xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(conv_id AS VARCHAR), ''),
+                                                                lambda d: CAST(ascii(d) AS BIGINT))),
+                         lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1])), 4294967295) % 4 AS h
+  FROM (SELECT DISTINCT conv_id FROM turns), crc),
+rebuilt AS (
+  SELECT c.conv_id, 0 AS part, nth, words, name FROM convs c JOIN turns ON turns.conv_id = base AND nth < h
+  UNION ALL
+  SELECT c.conv_id, 1, nth, words, name FROM convs c JOIN turns ON turns.conv_id = c.conv_id AND nth >= h),
+prefixes AS (
+  SELECT conv_id, row_number() OVER w AS depth, string_agg(name, '') OVER w AS path, words
+  FROM rebuilt WINDOW w AS (PARTITION BY conv_id ORDER BY part, nth ROWS UNBOUNDED PRECEDING)
+  UNION ALL
+  SELECT conv_id, 0, '', 0 FROM convs),
+last AS (SELECT conv_id, max(depth) AS depth FROM prefixes GROUP BY conv_id),
+ends AS (
+  SELECT path, string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) AS ids
+  FROM prefixes JOIN last USING (conv_id, depth) GROUP BY path),
+nodes AS (
+  SELECT path, depth, min(conv_id) AS conv_id, count(*) AS n_convs, (count(*) - 1) * max(words) AS saved
+  FROM prefixes GROUP BY path, depth),
+kids AS (SELECT left(path, length(path) - 64) AS path, count(*) AS n FROM nodes WHERE depth > 0 GROUP BY 1),
+subtree AS (
+  SELECT left(own, 64 * k) AS path, sum(CASE WHEN kids.n IS NULL THEN 1 ELSE 0 END) AS leaves, sum(saved) AS saved
+  FROM (SELECT path AS own, saved, unnest(range(depth + 1)) AS k FROM nodes) LEFT JOIN kids ON kids.path = own GROUP BY 1)
+SELECT n.conv_id, CAST(n.depth AS BIGINT) AS depth, up.conv_id AS parent_conv_id, n.n_convs,
+       CAST(coalesce(kids.n, 0) AS BIGINT) AS n_children, CAST(leaves AS BIGINT) AS n_leaves,
+       CAST(subtree.saved AS BIGINT) AS saved_tokens, sha256(coalesce(ids, '')) AS ends_sha256
+FROM nodes n JOIN subtree USING (path) LEFT JOIN kids USING (path) LEFT JOIN ends USING (path)
+     LEFT JOIN nodes up ON n.depth > 0 AND up.path = left(n.path, length(n.path) - 64)"""
