@@ -15,6 +15,7 @@ from .ngram_join import near_duplicates
 from .packing import pack
 from .prefix_trie import conversation_trie
 from .span_dedup import dedup_spans
+from .suffix_dedup import repeated_spans
 from .whitening import whiten
 
 
@@ -113,13 +114,24 @@ def op11_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_spans(_table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        F.expr("aggregate(spans, 0L, (n, s) -> n + s.stop - s.start)").alias("n_removed"),
+        F.size("spans").cast("long").alias("n_spans"),
+        "kept_sha256",
+    )
+
+
 def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = whiten(_table(spark, sf_dir, "embeddings"))
     # A long holds the exact sum up to tables of about 10^8 vectors; beyond, it is null here.
     return found.withColumn("deviation", F.expr("try_cast(deviation as bigint)"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_mixing, op4_exact_dedup, op5_html_wrapper, op6_token_counts, op7_toxicity, op8_multiprobe, op9_span_dedup, op10_ngram_join, op11_prefix_trie, op13_whitening)}
+QUERIES = {f.__name__: f for f in (op1_quality, op2_packing, op3_mixing, op4_exact_dedup, op5_html_wrapper, op6_token_counts, op7_toxicity, op8_multiprobe, op9_span_dedup, op10_ngram_join, op11_prefix_trie, op12_suffix_dedup, op13_whitening)}
 
 
 def oracle_sql() -> dict[str, str]:
