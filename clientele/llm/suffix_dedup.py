@@ -17,13 +17,15 @@ from pyspark.sql import functions as F
 
 from .jobs import stage, text_of
 from .suffix_sort import repeated
-from .textops import buffers, mix, slices, word_hashes
+from .textops import _ODD, _PLAIN, _Powers, buffers, slices
 
 LENGTH = 400
 SEED_BYTES = 64
 # Strings of a run, so that a segment is bounded whatever a text repeats.
 RUN = 2_048
-BLOCK_BYTES = 1 << 20
+# Texts read, and segments sorted, at a time: arrays of eight bytes a byte then stay in the processor's cache.
+BLOCK_BYTES = 1 << 16
+SORT_BYTES = 1 << 17
 # Segment bytes that one shard sorts. A key that holds more is dealt by string instead.
 SHARD_BYTES = 8 << 20
 BITMAP_BITS = 25
@@ -34,6 +36,17 @@ VERDICT = "seg binary, low array<int>, high array<int>"
 RANGES = pa.list_(pa.int32())
 
 
+def _seeds(data: np.ndarray, seed: int) -> np.ndarray:
+    """A hash of the ``seed`` bytes from each position, as differences of running sums."""
+    up, down = _Powers.get(len(data))
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum(_PLAIN[data] * up, out=sums[1:])
+    h = (sums[seed:] - sums[:-seed]) * down[: len(data) - seed + 1]
+    h ^= h >> np.uint64(32)
+    h *= np.uint64(_ODD)
+    return h
+
+
 def _least(h: np.ndarray, span: int) -> np.ndarray:
     """The least of each ``span`` neighbours."""
     done = 1
@@ -54,8 +67,7 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple
     none = np.zeros(0, np.int64)
     if len(data) < length:
         return none, none, none, none.astype(bool)
-    begin = np.arange(len(data) - seed + 1)
-    seeds = word_hashes(data, begin, begin + seed)
+    seeds = _seeds(data, seed)
     key = _least(seeds, length - seed + 1)
     inside = np.zeros(len(data) + 1, np.int64)
     long = np.diff(offsets) >= length
@@ -69,9 +81,10 @@ def runs(data: np.ndarray, offsets: np.ndarray, length: int, seed: int) -> tuple
     key = key.view(np.int64)
     new = np.concatenate(([True], (key[1:] != key[:-1]) | (at[1:] != at[:-1] + 1)))
     head = np.flatnonzero(new)
-    new |= (np.arange(len(at)) - head[np.cumsum(new) - 1]) % RUN == 0
-    head = np.flatnonzero(new)
     n = np.diff(np.append(head, len(at)))
+    if n.max() > RUN:
+        head = np.concatenate([np.arange(a, a + m, RUN) for a, m in zip(head.tolist(), n.tolist())])
+        n = np.diff(np.append(head, len(at)))
     again = np.add.reduceat(passed, head) - passed[head + n - 1] > 0
     return at[head], n, key[head], again
 
@@ -145,26 +158,38 @@ def _found(rows: list) -> pa.RecordBatch:
 def _sorted(length: int):
     """Of one shard: the strings that occur in another place as well, of each segment that itself does not."""
 
-    def shard(table: pa.Table) -> pa.Table:
-        segs, parts = table.column("seg").to_pylist(), table.column("bytes").to_pylist()
-        many = table.column("n").to_numpy() > 1
-        data = np.frombuffer(b"".join(parts), np.uint8)
+    def strings(parts: list[bytes], many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(segment, position in it) of the strings found twice."""
         size = np.array([len(p) for p in parts], np.int64)
         count = size - length + 1
         owner = np.repeat(np.arange(len(parts)), count)
-        begin = np.cumsum(size) - size
         inner = np.arange(len(owner)) - np.repeat(np.cumsum(count) - count, count)
-        twice = repeated(data, begin[owner] + inner, length) & ~many[owner]
-        owner, inner = owner[twice], inner[twice]
+        data = np.frombuffer(b"".join(parts), np.uint8)
+        twice = repeated(data, (np.cumsum(size) - size)[owner] + inner, length) & ~many[owner]
+        return owner[twice], inner[twice]
+
+    def shard(table: pa.Table) -> pa.Table:
+        # Equal strings have one key, so segments are sorted some keys at a time.
+        table = table.sort_by("key")
+        parts, many = table.column("bytes").to_pylist(), table.column("n").to_numpy() > 1
+        key, ends = table.column("key").to_numpy(), np.cumsum([len(p) for p in parts])
+        last = np.flatnonzero(np.append(key[1:] != key[:-1], True))
+        full = np.flatnonzero(np.diff(ends[last] // SORT_BYTES, prepend=0, append=ends[-1] // SORT_BYTES + 1)[1:])
+        owner, inner, start = [], [], 0
+        for stop in (last[full] + 1).tolist():
+            who, at = strings(parts[start:stop], many[start:stop])
+            owner.append(who + start)
+            inner.append(at)
+            start = stop
+        owner, inner = np.concatenate(owner), np.concatenate(inner)
         if not len(owner):
             return _verdicts([], [], [])
         new = np.concatenate(([True], (owner[1:] != owner[:-1]) | (inner[1:] != inner[:-1] + 1)))
         low, high = np.flatnonzero(new), np.append(np.flatnonzero(new)[1:], len(owner)) - 1
         mine = owner[low]
         cut = np.flatnonzero(np.concatenate(([True], mine[1:] != mine[:-1])))
-        return _verdicts(
-            [segs[i] for i in mine[cut]], np.split(inner[low], cut[1:]), np.split(inner[high], cut[1:])
-        )
+        segs = table.column("seg").take(pa.array(mine[cut])).to_pylist()
+        return _verdicts(segs, np.split(inner[low], cut[1:]), np.split(inner[high], cut[1:]))
 
     return shard
 
@@ -271,7 +296,7 @@ def repeated_spans(
     shard = F.expr(f"pmod(xxhash64(key), {shards})")
     sorted_ = (
         compared.filter(F.col("size") <= shard_bytes)
-        .select("seg", "n", "bytes", shard.alias("shard"))
+        .select("seg", "key", "n", "bytes", shard.alias("shard"))
         .groupBy("shard")
         .applyInArrow(_sorted(length), VERDICT)
     )
