@@ -61,12 +61,16 @@ def _packed(batches):
 
 def _unpacked(column: pa.Array, dimension: int) -> np.ndarray:
     """The vectors of a packed column, as int64 rows; their order is not kept."""
-    sizes = np.diff(np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1])
+    bounds = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+    data, sizes = np.frombuffer(column.buffers()[2], np.uint8), np.diff(bounds)
     out = []
     for size in np.unique(sizes):
-        rows = column.filter(pa.array(sizes == size)) if (sizes != size).any() else column
-        width = int(size) // dimension
-        out.append(np.frombuffer(b"".join(rows.to_pylist()), f"<i{width}").reshape(-1, dimension).astype(np.int64))
+        at = bounds[:-1][sizes == size]
+        if len(at) == len(sizes):
+            rows = data[bounds[0] : bounds[-1]]
+        else:
+            rows = data[at[:, None] + np.arange(size)]
+        out.append(rows.ravel().view(f"<i{int(size) // dimension}").reshape(-1, dimension).astype(np.int64))
     return np.concatenate(out) if out else np.zeros((0, dimension), np.int64)
 
 
