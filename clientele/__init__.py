@@ -1,8 +1,10 @@
 """Customer value and churn analytics as PySpark DataFrame operators."""
 
+from .operators.activity import active_customers, buyer_bitmaps, customer_numbers, daily_sales, trend_of_bitmaps
 from .operators.charts import heatmap, kpis, kpis_display, label_axes, segment_counts, segment_spend
 from .operators.checks import duplicate_keys, null_counts, orphan_keys, unexpected_values
 from .operators.churn import ChurnResult, apply_churn, fit_churn, score_churn
+from .operators.cube import FilteredCube, filter_cube
 from .operators.features import RFM_MEASURES, rfm_features, scale_features, snapshot_date
 from .operators.filters import (
     category_options,
@@ -11,27 +13,47 @@ from .operators.filters import (
     filter_orders,
     search_customers,
 )
+from .operators.gate import admit
 from .operators.joins import hot_keys, join_to_unique
 from .operators.ranking import global_ranks, quartile_cuts, quartile_score
 from .operators.report import export_report, report_display, risk_report, with_headings
-from .operators.summary import customer_summary, monthly_sales, monthly_trend, order_details
+from .operators.summary import (
+    customer_state,
+    customer_summary,
+    merged_state,
+    monthly_sales,
+    monthly_trend,
+    order_details,
+    summary_of_state,
+)
 from .plans.pipeline import Dashboard, load_dashboard, rfm, rfm_and_churn, staged_features, with_scores
+from .plans.refresh import ShopState
+from .sources.buckets import Buckets, load_bucketed
 from .sources.staging import stage
-from .sources.storage import export_csv, load_tables, read_tables
+from .sources.storage import export_csv, load_tables, read_quarantine, read_tables
 
 __all__ = [
-    "ChurnResult",
-    "Dashboard",
+    "active_customers",
+    "admit",
     "apply_churn",
+    "Buckets",
+    "buyer_bitmaps",
     "category_options",
+    "ChurnResult",
+    "customer_numbers",
+    "customer_state",
     "customer_summary",
+    "daily_sales",
+    "Dashboard",
     "duplicate_keys",
     "export_csv",
     "export_report",
+    "filter_cube",
     "filter_customers",
-    "fit_churn",
     "filter_options",
     "filter_orders",
+    "FilteredCube",
+    "fit_churn",
     "global_ranks",
     "heatmap",
     "hot_keys",
@@ -39,8 +61,10 @@ __all__ = [
     "kpis",
     "kpis_display",
     "label_axes",
+    "load_bucketed",
     "load_dashboard",
     "load_tables",
+    "merged_state",
     "monthly_sales",
     "monthly_trend",
     "null_counts",
@@ -48,6 +72,7 @@ __all__ = [
     "orphan_keys",
     "quartile_cuts",
     "quartile_score",
+    "read_quarantine",
     "read_tables",
     "report_display",
     "rfm",
@@ -60,9 +85,12 @@ __all__ = [
     "search_customers",
     "segment_counts",
     "segment_spend",
+    "ShopState",
     "snapshot_date",
     "stage",
     "staged_features",
+    "summary_of_state",
+    "trend_of_bitmaps",
     "unexpected_values",
     "with_headings",
     "with_scores",

@@ -15,10 +15,19 @@ def exact_sum(amount: str, decimals: int = DECIMALS) -> str:
     far from overflow over trillions of rows and costs a tenth of a DECIMAL sum. An
     amount times ``10**decimals`` must fit a BIGINT.
     """
+    high, low = unit_sums(amount, decimals)
+    return from_units(high, low, decimals)
+
+
+def unit_sums(amount: str, decimals: int = DECIMALS) -> tuple[str, str]:
+    """The two BIGINT sums behind ``exact_sum``; sums of several parts add up to those of the whole."""
     units = f"cast(rint(({amount}) * {10**decimals}D) as bigint)"
-    high = f"cast(sum(shiftright({units}, {LOW_BITS})) as decimal(19,0))"
-    low = f"cast(sum({units} & {2**LOW_BITS - 1}) as decimal(19,0))"
-    whole = f"{high} * cast({2**LOW_BITS} as decimal(7,0)) + {low}"
+    return f"sum(shiftright({units}, {LOW_BITS}))", f"sum({units} & {2**LOW_BITS - 1})"
+
+
+def from_units(high: str, low: str, decimals: int = DECIMALS) -> str:
+    """The amount as DOUBLE of two sums by ``unit_sums``."""
+    whole = f"cast({high} as decimal(19,0)) * cast({2**LOW_BITS} as decimal(7,0)) + cast({low} as decimal(19,0))"
     return f"cast({whole} as double) / {10**decimals}D"
 
 

@@ -6,36 +6,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed_values as fv
-from ..functions.money import exact_sum, ratio
+from ..functions.money import exact_sum, from_units, ratio, unit_sums
 from .filters import filter_orders
 from .joins import hot_keys, join_to_unique
 
 
-def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """One row per customer, with or without orders.
-
-    Orders are reduced to one row per customer before the join, so only that row
-    crosses it however many orders a customer has; ``customer_id`` must be unique
-    in ``customers``.
-    """
-    done = f"status = '{fv.COMPLETED}'"
-    returned = f"status = '{fv.RETURNED}'"
-    done_amount = f"CASE WHEN {done} THEN amount END"
-    done_date = f"CASE WHEN {done} THEN order_date END"
-    measures = {
-        "completed": f"count_if({done})",
-        "spent": exact_sum(done_amount),
-        "amounts": f"count({done_amount})",
-        "last_order_date": f"max({done_date})",
-        "first_order_date": f"min({done_date})",
-        "returned": f"count_if({returned})",
-    }
-    per_customer = (
+# What is kept of a customer's orders: parts of it, from any split of the orders, add up.
+STATE = {
+    "completed": "sum",
+    "spent_high": "sum",
+    "spent_low": "sum",
+    "amounts": "sum",
+    "last_order_date": "max",
+    "first_order_date": "min",
+    "returned": "sum",
+}
+
+
+def customer_state(orders: DataFrame) -> DataFrame:
+    """customer_id and the STATE columns of every customer with completed or returned orders."""
+    done, returned = f"status = '{fv.COMPLETED}'", f"status = '{fv.RETURNED}'"
+    done_amount, done_date = (f"CASE WHEN {done} THEN {c} END" for c in ("amount", "order_date"))
+    high, low = unit_sums(done_amount)
+    measures = [f"count_if({done})", high, low, f"count({done_amount})", f"max({done_date})", f"min({done_date})"]
+    measures.append(f"count_if({returned})")
+    return (
         orders.where(f"{done} OR {returned}")
         .groupBy("customer_id")
-        .agg(*[F.expr(f"{text} AS {name}") for name, text in measures.items()])
+        .agg(*[F.expr(f"{text} AS {name}") for name, text in zip(STATE, measures)])
     )
-    return customers.join(per_customer, "customer_id", "left").selectExpr(
+
+
+def merged_state(parts: DataFrame) -> DataFrame:
+    """One row per customer from any number of partial ones."""
+    return parts.groupBy("customer_id").agg(*[F.expr(f"{how}({name}) AS {name}") for name, how in STATE.items()])
+
+
+def summary_of_state(customers: DataFrame, state: DataFrame) -> DataFrame:
+    """The customer summary from a merged state."""
+    spent = from_units("spent_high", "spent_low")
+    return customers.join(state, "customer_id", "left").selectExpr(
         "customer_id",
         "name",
         "email",
@@ -43,14 +53,24 @@ def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
         "country",
         "join_date",
         "coalesce(completed, 0L) AS total_orders",
-        "coalesce(spent, 0D) AS total_spent",
-        f"coalesce({ratio('spent', 'amounts')}, 0D) AS avg_order_value",
+        f"coalesce({spent}, 0D) AS total_spent",
+        f"coalesce({ratio(spent, 'amounts')}, 0D) AS avg_order_value",
         "last_order_date",
         "first_order_date",
         "coalesce(returned, 0L) AS returned_orders",
     )
 
 
+def customer_summary(customers: DataFrame, orders: DataFrame) -> DataFrame:
+    """One row per customer, with or without orders.
+
+    Orders are reduced to one row per customer before the join, so only that row
+    crosses it however many orders a customer has; ``customer_id`` must be unique
+    in ``customers``.
+    """
+    return summary_of_state(customers, customer_state(orders))
+
+
 def _by_month(orders: DataFrame) -> DataFrame:
     # Months are grouped as dates; text is made for the few result rows only.
     measures = {
