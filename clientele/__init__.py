@@ -13,6 +13,7 @@ from .operators.filters import (
     filter_orders,
     search_customers,
 )
+from .operators.forest import forest_nodes, node_importances, probability_sql, score_by_nodes
 from .operators.gate import admit
 from .operators.joins import hot_keys, join_to_unique
 from .operators.ranking import global_ranks, quartile_cuts, quartile_score
@@ -26,9 +27,11 @@ from .operators.summary import (
     order_details,
     summary_of_state,
 )
+from .plans.models import ModelMismatch, SavedChurn, save_churn
 from .plans.pipeline import Dashboard, load_dashboard, rfm, rfm_and_churn, staged_features, with_scores
 from .plans.refresh import ShopState
 from .sources.buckets import Buckets, load_bucketed
+from .sources.catalogue import Catalogue
 from .sources.staging import stage
 from .sources.storage import export_csv, load_tables, read_quarantine, read_tables
 
@@ -38,6 +41,7 @@ __all__ = [
     "apply_churn",
     "Buckets",
     "buyer_bitmaps",
+    "Catalogue",
     "category_options",
     "ChurnResult",
     "customer_numbers",
@@ -54,6 +58,7 @@ __all__ = [
     "filter_orders",
     "FilteredCube",
     "fit_churn",
+    "forest_nodes",
     "global_ranks",
     "heatmap",
     "hot_keys",
@@ -65,11 +70,14 @@ __all__ = [
     "load_dashboard",
     "load_tables",
     "merged_state",
+    "ModelMismatch",
     "monthly_sales",
     "monthly_trend",
+    "node_importances",
     "null_counts",
     "order_details",
     "orphan_keys",
+    "probability_sql",
     "quartile_cuts",
     "quartile_score",
     "read_quarantine",
@@ -80,7 +88,10 @@ __all__ = [
     "rfm_features",
     "RFM_MEASURES",
     "risk_report",
+    "save_churn",
+    "SavedChurn",
     "scale_features",
+    "score_by_nodes",
     "score_churn",
     "search_customers",
     "segment_counts",

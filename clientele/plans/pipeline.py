@@ -1,6 +1,7 @@
 """The jobs that chain the operators: customer value, churn and the dashboard load."""
 
 import datetime
+from collections.abc import Callable
 from typing import NamedTuple
 
 from pyspark.sql import DataFrame
@@ -12,6 +13,7 @@ from ..operators.churn import ChurnResult, score_churn
 from ..operators.features import RFM_MEASURES, rfm_features, snapshot_date
 from ..operators.ranking import quartile_cuts, quartile_score
 from ..operators.summary import customer_summary, monthly_sales, order_details
+from ..sources.catalogue import Catalogue
 from ..sources.staging import stage
 
 
@@ -80,15 +82,33 @@ class Dashboard(NamedTuple):
     importances: DataFrame
 
 
-def load_dashboard(customers: DataFrame, orders: DataFrame) -> Dashboard:
+def load_dashboard(
+    customers: DataFrame, orders: DataFrame, catalogue: Catalogue | None = None, version: str = "1"
+) -> Dashboard:
     """All frames of the dashboard, the scored customers staged for reuse.
 
-    Call it again to refresh; frames of an earlier call stay as they were.
+    Call it again to refresh; frames of an earlier call stay as they were. With a ``catalogue`` a
+    call finds what an earlier one, of any session, made of the same ``version`` of the tables, runs no
+    job and recomputes once that has expired.
     """
-    churn = rfm_and_churn(customer_summary(customers, orders))
+    churn: list[ChurnResult] = []
+
+    def fitted() -> ChurnResult:
+        if not churn:
+            churn.append(rfm_and_churn(customer_summary(customers, orders)))
+        return churn[0]
+
+    parts: dict[str, Callable[[], DataFrame]] = {
+        "scored": lambda: fitted().customers,
+        "monthly": lambda: monthly_sales(orders),
+        "importances": lambda: fitted().importances,
+    }
+    if catalogue is None:
+        found = {"scored": stage(parts["scored"](), "scored"), "monthly": parts["monthly"](), "importances": parts["importances"]()}
+    else:
+        found = {name: catalogue.get(name, version, build) for name, build in parts.items()}
+        found["monthly"] = found["monthly"].orderBy("year_month")
+        found["importances"] = found["importances"].orderBy("importance", "feature")
     return Dashboard(
-        stage(churn.customers, "scored"),
-        monthly_sales(orders),
-        order_details(customers, orders, ordered=False),
-        churn.importances,
+        found["scored"], found["monthly"], order_details(customers, orders, ordered=False, split_hot=catalogue is None), found["importances"]
     )

@@ -16,27 +16,41 @@ class Taken(Exception):
     """Another writer committed first."""
 
 
+class Missing(Exception):
+    """There is no such commit, or not any more."""
+
+
 def _open(spark: SparkSession, root: str):
     path = spark._jvm.org.apache.hadoop.fs.Path(root)
     return path, path.getFileSystem(spark._jsc.hadoopConfiguration())
 
 
-def numbers(spark: SparkSession, root: str, kind: str) -> list[int]:
-    """The commits of ``kind`` under ``root``, in order."""
+def kinds(spark: SparkSession, root: str) -> dict[str, list[int]]:
+    """The numbers of all commits under ``root`` by kind, in order."""
     path, files = _open(spark, root)
     if not files.exists(path):
-        return []
-    found = []
+        return {}
+    found: dict[str, list[int]] = {}
     for status in files.listStatus(path):
-        name, _, number = status.getPath().getName().partition("=")
-        if name == kind and number.isdigit() and status.isFile():
-            found.append(int(number))
-    return sorted(found)
+        kind, _, number = status.getPath().getName().partition("=")
+        if number.isdigit() and status.isFile():
+            found.setdefault(kind, []).append(int(number))
+    return {kind: sorted(taken) for kind, taken in found.items()}
+
+
+def numbers(spark: SparkSession, root: str, kind: str) -> list[int]:
+    """The commits of ``kind`` under ``root``, in order."""
+    return kinds(spark, root).get(kind, [])
 
 
 def read(spark: SparkSession, root: str, kind: str, number: int) -> dict:
     path, files = _open(spark, root)
-    stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(path, f"{kind}={number}"))
+    try:
+        stream = files.open(spark._jvm.org.apache.hadoop.fs.Path(path, f"{kind}={number}"))
+    except Py4JJavaError as error:
+        if "FileNotFound" in error.java_exception.getClass().getName():
+            raise Missing(f"{kind}={number}") from error
+        raise
     try:
         return json.loads(spark._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
     finally:
@@ -68,9 +82,10 @@ def publish(spark: SparkSession, root: str, kind: str, number: int, entry: dict)
         files.delete(draft, False)
 
 
-def remove(spark: SparkSession, folder: str) -> None:
+def remove(spark: SparkSession, folder: str) -> bool:
+    """Delete a folder or file; False where there is none."""
     path, files = _open(spark, folder)
-    files.delete(path, True)
+    return files.delete(path, True)
 
 
 def _array(spark: SparkSession, kind):
