@@ -18,6 +18,7 @@ from .operators.gate import admit
 from .operators.joins import hot_keys, join_to_unique
 from .operators.ranking import global_ranks, quartile_cuts, quartile_score
 from .operators.report import export_report, report_display, risk_report, with_headings
+from .operators.search_index import gram_sizes, indexed_search, search_index, store_index
 from .operators.summary import (
     customer_state,
     customer_summary,
@@ -60,8 +61,10 @@ __all__ = [
     "fit_churn",
     "forest_nodes",
     "global_ranks",
+    "gram_sizes",
     "heatmap",
     "hot_keys",
+    "indexed_search",
     "join_to_unique",
     "kpis",
     "kpis_display",
@@ -94,12 +97,14 @@ __all__ = [
     "score_by_nodes",
     "score_churn",
     "search_customers",
+    "search_index",
     "segment_counts",
     "segment_spend",
     "ShopState",
     "snapshot_date",
     "stage",
     "staged_features",
+    "store_index",
     "summary_of_state",
     "trend_of_bitmaps",
     "unexpected_values",
