@@ -30,6 +30,10 @@ TOKEN = re.compile(
 ATTRIBUTE = re.compile(r"""(?<![\w-])(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 
 
+# Elements nested deeper lie side by side, so that a tree of any page can be walked.
+DEEPEST = 200
+
+
 class Node:
     """A block element. ``kids`` holds nodes and text runs, a run as [raw text, characters inside links]."""
 
@@ -51,10 +55,15 @@ def _marks(rest: str) -> str:
     return ".".join(sorted(found))
 
 
-def parse(html: str) -> Node:
-    """The page's tree below a node named ``#page``."""
+def parse(html: str, shut=lambda token: False) -> Node:
+    """The page's tree below a node named ``#page``.
+
+    From ``DEEPEST`` levels on an element is a mark between the texts before, in and after it. Only an element
+    that ``shut`` says is left out still holds its text, with all that is nested in it.
+    """
     root = Node("#page")
     stack, links, at, end = [root], 0, 0, len(html)
+    beside = []  # names of the open elements that lie side by side
     while at < end:
         m = TOKEN.match(html, at)
         at = m.end()
@@ -74,10 +83,15 @@ def parse(html: str) -> Node:
         if m["end"] or m["end2"]:
             if name == "a":
                 links = max(links - 1, 0)
-            if name not in INLINE:
+            if name not in INLINE and name in beside:
+                del beside[len(beside) - 1 - beside[::-1].index(name) :]
+                stack[-1].kids.append(Node("#end"))
+                links = 0
+            elif name not in INLINE:
                 for i in range(len(stack) - 1, 0, -1):
                     if stack[i].name == name:
                         del stack[i:]
+                        beside.clear()
                         links = 0
                         break
             continue
@@ -107,6 +121,9 @@ def parse(html: str) -> Node:
         node = Node(name, _marks(rest) if rest else "")
         stack[-1].kids.append(node)
         if name not in VOID and not rest.endswith("/"):
-            stack.append(node)
+            if len(stack) < DEEPEST or len(stack) == DEEPEST and shut(node.token):
+                stack.append(node)
+            else:
+                beside.append(name)
             links = 0
     return root

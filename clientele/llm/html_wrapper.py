@@ -9,7 +9,6 @@ wrappers are shuffled. The wrapper also sums how much text and link text its gro
 The host's wrapper then says which groups are the article, and each page is read along it.
 """
 
-import functools
 import html
 import json
 import zlib
@@ -51,9 +50,21 @@ TEXT = "#"
 OPEN, DOUBTFUL, SHUT = range(3)
 
 
-@functools.lru_cache(1 << 14)
+_KINDS: dict[str, int] = {}
+
+
 def _kind(token: str) -> int:
-    """Whether an element may hold article text; doubtful where only one word or a form speaks against it."""
+    """Whether an element may hold article text, kept for the tokens met lately."""
+    kind = _KINDS.get(token)
+    if kind is None:
+        if len(_KINDS) >= 1 << 14:
+            _KINDS.clear()
+        kind = _KINDS[token] = _judged(token)
+    return kind
+
+
+def _judged(token: str) -> int:
+    """Doubtful is an element where only one word or a form speaks against it."""
     name, _, marks = token.partition(".")
     if name in WHOLE:
         return OPEN
@@ -63,6 +74,10 @@ def _kind(token: str) -> int:
     return DOUBTFUL if found or name == "form" else OPEN
 
 
+def _shut(token: str) -> bool:
+    return _kind(token) == SHUT
+
+
 # A wrapper group is [token, pages, repeated, optional, characters, link characters, texts, groups]. The texts
 # of a slot are [whether pages differ in them, hashes of those that every page has].
 TOKEN, PAGES, MANY, MAYBE, CHARS, LINKED, SAME, KIDS = range(8)
@@ -339,7 +354,7 @@ def _own_wrappers(batches):
 
     for batch in batches:
         for host, text in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist()):
-            own = wrapper_of(parse(text))
+            own = wrapper_of(parse(text, _shut))
             held[host] = align(held[host], own) if host in held else own
             if len(held) >= HOSTS_HELD:
                 yield send()
@@ -381,7 +396,7 @@ def _read(batches):
                 if len(readers) >= 256:
                     readers.clear()
                 reader = readers[wrapper] = Reader(json.loads(wrapper))
-            texts.append("\n".join(reader.blocks(parse(text))))
+            texts.append("\n".join(reader.blocks(parse(text, _shut))))
         yield pa.RecordBatch.from_arrays(
             [batch.column("page_id"), batch.column("url"), pa.array(texts, pa.string())], ["page_id", "url", "text"]
         )

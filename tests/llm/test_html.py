@@ -129,3 +129,23 @@ def test_what_only_copies_of_one_page_hold_is_no_boilerplate():
     # The second template's own notice goes, as its other text differs.
     second = [f"<body><section><p>Terms apply</p><h2>h{i}</h2></section></body>" for i in range(25)]
     assert text_of(pages + second, second[4]) == ["h4"]
+
+
+def test_pages_nested_ten_thousand_deep(spark):
+    deep = "<article><p>start</p>" + "<div>" * 10_000 + "<p>deep</p><nav>menu <b>more</b><div>there</div></nav>tail" + "</div>" * 10_000 + "<p>after</p></article>"
+    pages = [(1, "http://h/1", deep), (2, "http://h/2", "<div>" * 10_000 + "open"), (3, "http://h/3", "<article>plain</article>")]
+    found = {r["page_id"]: r["text"] for r in main_text(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()}
+    assert found == {1: "start\ndeep\ntail\nafter", 2: "open", 3: "plain"}
+
+
+def test_functions_travel_without_the_package():
+    """What tasks run is pickled whole, so that workers need no copy of this package."""
+    import pickletools
+
+    from pyspark import cloudpickle
+
+    from clientele.llm import html_wrapper
+
+    shipped = cloudpickle.dumps(html_wrapper._own_wrappers)
+    loaded = {arg for op, arg, _ in pickletools.genops(shipped) if op.name in ("GLOBAL", "SHORT_BINUNICODE") and isinstance(arg, str)}
+    assert "_kind" in loaded and "lru_cache" not in loaded
