@@ -25,7 +25,7 @@ ANSWERS = "chunk long, owner int, dup binary"
 ENTRIES = "doc_id long, sha binary, row long, suspect boolean"
 
 
-def _sender(width: int, owners: int, chunk_rows: int):
+def _sender(width: int, owner_bits: int, chunk_rows: int):
     def packets(chunk: int, ids: list, shas: list):
         ids = pa.chunked_array(ids).combine_chunks()
         raw = np.frombuffer(b"".join(shas), np.uint8).reshape(-1, 32)
@@ -34,12 +34,12 @@ def _sender(width: int, owners: int, chunk_rows: int):
         prints, raw = prints[order].astype(np.int64), raw[order]
         first = np.flatnonzero(np.concatenate(([True], prints[1:] != prints[:-1])))
         distinct, counts = prints[first], np.diff(np.append(first, len(prints)))
-        owner = (distinct * owners) >> width
+        owner = distinct >> (width - owner_bits)
         cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1], [True])))
         rows = np.append(first, len(prints))
         for a, b in zip(cuts[:-1], cuts[1:]):
-            low = -((-int(owner[a]) << width) // owners)
-            k = divisor_bits(width, max(b - a, 1) * owners)
+            low = int(owner[a]) << (width - owner_bits)
+            k = divisor_bits(width, int(max(b - a, 1)) << owner_bits)
             lo, hi = rows[a], rows[b]
             yield {
                 "chunk": chunk,
@@ -142,12 +142,13 @@ def exact_duplicates(
     """
     rows = docs.count()
     width = min(60, max(16, int(np.ceil(np.log2(rows + 2))) + slack_bits))
+    # An owner takes the fingerprints of one prefix, so there are a power of two of them.
     owners = max(partitions(docs), -(-rows // owner_rows))
-    owners = min(owners, 1 << (width - 8))
+    owner_bits = min((owners - 1).bit_length(), width - 8)
     narrow = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"), F.unhex(F.sha2(text_of(docs), 256)).alias("sha")
     )
-    packets = stage(narrow.mapInArrow(_sender(width, owners, chunk_rows), PACKETS), "packets")
+    packets = stage(narrow.mapInArrow(_sender(width, owner_bits, chunk_rows), PACKETS), "packets")
     answers = (
         packets.select("chunk", "owner", "n", "k", "code", "many").groupBy("owner").applyInArrow(_answer, ANSWERS)
     )
@@ -203,11 +204,11 @@ def drop_exact_duplicates(docs: DataFrame, **options) -> DataFrame:
     marked = with_maybe(named, key, member_filter(found, "doc_id"))
     sure = marked.filter(~F.col(HIDDEN + "maybe")).drop(key, HIDDEN + "maybe")
     asked = marked.filter(HIDDEN + "maybe").withColumn(sha, F.sha2(text_of(docs), 256))
-    kept = found.groupBy(F.col("doc_id").alias("a"), F.col("text_sha256").alias("b")).agg(F.max("kept").alias("stays"))
-    joined = asked.join(kept, (F.col(key).eqNullSafe(F.col("a"))) & (F.col(sha) == F.col("b")), "left")
-    nth = HIDDEN + "nth"
-    in_group = F.col("stays").isNotNull()
-    ranked = joined.filter(F.coalesce("stays", F.lit(True))).withColumn(
+    own, text, stays, nth = (HIDDEN + c for c in ("own", "text", "stays", "nth"))
+    kept = found.groupBy(F.col("doc_id").alias(own), F.col("text_sha256").alias(text)).agg(F.max("kept").alias(stays))
+    joined = asked.join(kept, (F.col(key).eqNullSafe(F.col(own))) & (F.col(sha) == F.col(text)), "left")
+    in_group = F.col(stays).isNotNull()
+    ranked = joined.filter(F.coalesce(stays, F.lit(True))).withColumn(
         nth, F.expr(f"row_number() over (partition by `{key}`, `{sha}` order by xxhash64(`{sha}`))")
     )
     rest = ranked.filter(~in_group | (F.col(nth) == 1)).select(*[ranked[c] for c in docs.columns])
