@@ -63,20 +63,27 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     low = labels.filter("quality = 0").select("doc_id").distinct()
     revised_text = F.regexp_replace("text", sql.SYMBOLS, "")
 
-    loaded = stage(token_counts.counted(docs, versions), "counts")
-    prints = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("sha"))
+    # A document is told by its id and its text, as either may repeat.
+    named = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
+    keys = ("doc_id", "sha")
+    loaded = stage(token_counts.counted(named, versions, keys), "counts")
+    prints = named.select(*keys)
     keepers = prints.groupBy("sha").agg(F.max("doc_id").alias("keep_id"))
-    copies = prints.join(keepers, "sha").filter("doc_id < keep_id").select("doc_id")
-    gone = stage(copies, "copies")
+    copies = prints.join(keepers, "sha").filter("not doc_id <=> keep_id").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
+    gone = stage(copies.distinct(), "copies")
+
+    def split(counts: DataFrame, how: str) -> DataFrame:
+        return counts.join(gone, F.expr("doc_id <=> gone_id and sha = gone_sha"), how)
+
     # Only counts are joined; texts that can't be among the revised ones are not even counted.
-    maybe = with_maybe(docs, "doc_id", member_filter(low, "doc_id")).filter(HIDDEN + "maybe")
-    recounted = stage(token_counts.counted(maybe.withColumn("text", revised_text), versions), "recounts")
-    after = recounted.join(low, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
-    before = loaded.join(low, "doc_id", "left_semi").join(gone, "doc_id", "left_anti")
+    maybe = with_maybe(named, "doc_id", member_filter(low, "doc_id")).filter(HIDDEN + "maybe")
+    recounted = stage(token_counts.counted(maybe.withColumn("text", revised_text), versions, keys), "recounts")
+    after = split(recounted.join(low, "doc_id", "left_semi"), "left_anti")
+    before = split(loaded.join(low, "doc_id", "left_semi"), "left_anti")
 
     ledger = token_counts.Ledger(spark, new_folder(spark, "llm-ledger"))
     ledger.commit("load", token_counts.inserts(loaded))
-    ledger.commit("copies", token_counts.deletes(loaded.join(gone, "doc_id", "left_semi")))
+    ledger.commit("copies", token_counts.deletes(split(loaded, "left_semi")))
     ledger.compact("first")
     ledger.commit("symbols", token_counts.revisions(before, after))
     ledger.commit("load", token_counts.inserts(loaded))

@@ -72,7 +72,7 @@ def token_counts() -> str:
     return f"""
 WITH kept AS (
   SELECT doc_id, source, lang, coalesce(text, '') AS text FROM documents
-  QUALIFY doc_id = max(doc_id) OVER (PARTITION BY coalesce(text, ''))),
+  QUALIFY doc_id IS NOT DISTINCT FROM max(doc_id) OVER (PARTITION BY coalesce(text, ''))),
 final AS (
   SELECT source, lang,
          CASE WHEN doc_id IN (SELECT doc_id FROM labels WHERE quality = 0)

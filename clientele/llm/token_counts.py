@@ -7,12 +7,13 @@ that is sent again, after a failure or by mistake, changes nothing. Totals are s
 the log and its last compaction.
 """
 
+from collections.abc import Sequence
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .jobs import text_of
+from .jobs import HIDDEN, text_of
 
 GROUP = ["source", "lang", "version"]
 SUMS = ["documents", "tokens"]
@@ -30,13 +31,18 @@ def counter(version: str) -> Column:
     return F.regexp_count(F.coalesce(F.col("text"), F.lit("")), F.lit(VERSIONS[version])).cast("long")
 
 
-def counted(docs: DataFrame, versions: list[str]) -> DataFrame:
-    """(doc_id, source, lang, version, tokens): one row per document and version."""
+def counted(docs: DataFrame, versions: list[str], keys: Sequence[str] = ("doc_id",)) -> DataFrame:
+    """(``keys``, source, lang, version, tokens): one row per row of ``docs`` and version.
+
+    Null and empty texts have no tokens and count as documents; null sources and languages are groups of their own; rows
+    that repeat count each. ``keys`` are carried along to tell documents apart; other columns are not read.
+    """
     each = F.explode(F.array(*[F.struct(F.lit(v).alias("version"), counter(v).alias("tokens")) for v in versions]))
     rows = docs.select(
-        docs["doc_id"].alias("doc_id"), docs["source"].alias("source"), docs["lang"].alias("lang"), text_of(docs).alias("text")
+        *[docs[k].alias(HIDDEN + k) for k in keys], docs["source"].alias("source"), docs["lang"].alias("lang"), text_of(docs).alias("text")
     )
-    return rows.select("doc_id", "source", "lang", each.alias("c")).select("doc_id", "source", "lang", "c.*")
+    names = [F.col(HIDDEN + k).alias(k) for k in keys]
+    return rows.select(*names, "source", "lang", each.alias("c")).select(*keys, "source", "lang", "c.*")
 
 
 def inserts(counts: DataFrame) -> DataFrame:

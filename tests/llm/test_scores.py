@@ -182,3 +182,24 @@ def test_a_document_too_long_for_the_sample_is_passed_over(spark):
 
 def test_toxicity_trains_on_the_bytes_it_had_before_the_driver_was_short_of_memory():
     assert toxicity.CLASS_BYTES == (20_000_000, 10_000_000)
+
+
+def test_token_counts_tell_documents_by_id_and_text(spark, tmp_path):
+    """The query on a table where ids and texts repeat: copies go, everything else counts."""
+    from clientele.llm.queries import op6_token_counts
+
+    docs = [(1, "x x"), (5, "x x"), (1, "other text here"), (None, "lonely text"), (None, None), (7, ""), (8, "low $$ one"), (8, "low two")]
+    spark.createDataFrame([(i, t, "en", "s") for i, t in docs], "doc_id long, text string, lang string, source string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(8, 0, 0), (1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    found = {r["version"]: (r["documents"], r["tokens"]) for r in op6_token_counts(spark, str(tmp_path)).collect()}
+    assert found["words-1"] == (6, 2 + 3 + 2 + 0 + 2 + 2)
+    import duckdb
+
+    from clientele.llm import sql
+
+    connection = duckdb.connect()
+    for name in ("documents", "labels"):
+        connection.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet/*.parquet'")
+    result = connection.execute(sql.token_counts())
+    names = [c[0] for c in result.description]
+    assert {r[names.index("version")]: (r[names.index("documents")], r[names.index("tokens")]) for r in result.fetchall()} == found
