@@ -46,16 +46,3 @@ def with_maybe(df: DataFrame, key: str, bitmap: DataFrame) -> DataFrame:
     joined = df.withColumn(HIDDEN + "word", word).join(F.broadcast(bitmap), HIDDEN + "word", "left")
     hit = F.expr(f"coalesce((shiftrightunsigned({HIDDEN}mask, cast({h} & 63 as int)) & 1L) = 1L, false)")
     return joined.withColumn(HIDDEN + "maybe", hit).drop(HIDDEN + "word", HIDDEN + "mask")
-
-
-def without_ids(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``gone``; a row with a null doc_id stays.
-
-    Only rows that the bounded bitmap can't rule out are shuffled.
-    """
-    key = HIDDEN + "id"
-    marked = with_maybe(docs.withColumn(key, docs["doc_id"].cast("long")), key, member_filter(gone, "doc_id"))
-    names = gone.select(F.col("doc_id").cast("long").alias(key)).distinct()
-    sure = marked.filter(~F.col(HIDDEN + "maybe")).select(*docs.columns)
-    asked = marked.filter(HIDDEN + "maybe").join(names, key, "left_anti").select(*docs.columns)
-    return sure.unionByName(asked)

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import components
-from .jobs import HIDDEN, member_filter, partitions, stage, text_of, with_maybe, without_ids
+from .jobs import HIDDEN, member_filter, partitions, stage, text_of, with_maybe
 from .signature_tree import links
 from .textops import buffers, mix, shingles, slices
 
@@ -29,7 +29,7 @@ NUM, DEN = 9, 10
 CHUNK_TOKENS = 4_000_000
 BLOCK_TOKENS = 2_000_000
 
-DOC, KEY, EDGE = 0, 1, 2
+DOC, KEY, EDGE, NAMELESS = 0, 1, 2, 3
 
 
 def size_bands(num: int, den: int, most: int) -> np.ndarray:
@@ -100,7 +100,7 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
     def rows(kind, x, y, n):
         m = len(x)
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(m, kind, np.int8)), x, y, n], ["kind", "x", "y", "n"]
+            [pa.array(np.broadcast_to(np.int8(kind), m)), x, y, n], ["kind", "x", "y", "n"]
         )
 
     def merge(held):
@@ -126,12 +126,13 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
         held, seen, tokens_held = [], set(), 0
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            ids = batch.column("doc_id")
+            ids = batch.column("name")
+            kinds = np.where(batch.column("nameless").to_numpy(zero_copy_only=False), NAMELESS, DOC).astype(np.int8)
             for i, j in slices(offsets):
                 tokens, bounds, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
                 sizes, names = np.diff(bounds), _set_ids(tokens, bounds)
                 yield rows(
-                    DOC,
+                    kinds[i:j],
                     ids.slice(i, j - i),
                     pa.array(names, mask=sizes == 0),
                     pa.array(sizes.astype(np.int32)),
@@ -209,18 +210,23 @@ def near_duplicates(
     cut at ASCII white space; with fewer words, the whole sequence as one. Documents are
     linked when ``den * |A and B| >= num * |A or B|``. ``component_id`` is the smallest
     doc_id that links reach, its own included. Null and blank texts have an empty set and
-    no link. A row with a null doc_id has the component of the rows with an equal set; a set
-    that only such rows have is not linked and its component is null.
+    no link. A row with a null doc_id links like any other; where no row of a component has a
+    doc_id its component_id is null. Very long texts are cut into shingles whole.
     Repeated rows give repeated result rows; other columns are not read; an empty table
     gives no rows. Sets are told apart by 64-bit hashes of their tokens. Runs jobs.
     """
     spark = docs.sparkSession
-    texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), text_of(docs).alias("text"))
+    # A row without an id is found again by a hash of its text; what is loaded is held against its set anyway.
+    own, text = docs["doc_id"].cast("long"), text_of(docs)
+    texts = docs.select(F.coalesce(own, F.xxhash64(text)).alias("name"), own.isNull().alias("nameless"), text.alias("text"))
     first = stage(
         texts.mapInArrow(_first_pass(shingle, num, den, chunk_tokens), "kind byte, x long, y long, n int"), "sets"
     )
-    rows = first.filter(F.col("kind") == DOC).select(
-        F.col("x").alias("doc_id"), F.col("y").alias("set"), F.col("n").alias("n_shingles")
+    rows = first.filter(F.col("kind").isin(DOC, NAMELESS)).select(
+        F.col("x").alias("name"),
+        F.when(F.col("kind") == DOC, F.col("x")).alias("doc_id"),
+        F.col("y").alias("set"),
+        F.col("n").alias("n_shingles"),
     )
     keyed = first.filter(F.col("kind") == KEY).select(F.col("x").alias("key"), F.col("y").alias("set"))
     # A chunk sends a key once, so the rows of a key are at most the chunks.
@@ -231,10 +237,10 @@ def near_duplicates(
 
     # One document of each candidate set brings its text; the band bounds its block.
     members = (
-        rows.filter("set is not null and doc_id is not null")
+        rows.filter("set is not null")
         .join(clusters, rows["set"] == clusters["node"])
         .groupBy("set")
-        .agg(F.min("doc_id").alias("doc_id"), F.max("n_shingles").alias("n"), F.max("component").alias("cluster"))
+        .agg(F.min("name").alias("name"), F.max("n_shingles").alias("n"), F.max("component").alias("cluster"))
     )
     step = float(np.log(den / num))
     members = stage(members.withColumn("band", F.floor(F.log("n") / step).cast("int")), "candidates")
@@ -244,10 +250,10 @@ def near_duplicates(
     placed = (
         members.join(room, ["cluster", "band"])
         .withColumn("slot", F.expr("pmod(xxhash64(`set`), blocks)"))
-        .select("set", "doc_id", "cluster", "n", "band", F.expr("band * 4294967296L + slot").alias("block"))
+        .select("set", "name", "cluster", "n", "band", F.expr("band * 4294967296L + slot").alias("block"))
     )
-    asked = with_maybe(texts, "doc_id", member_filter(members, "doc_id")).filter(HIDDEN + "maybe")
-    loaded = stage(placed.join(asked.select("doc_id", "text"), "doc_id").drop("doc_id"), "members")
+    asked = with_maybe(texts, "name", member_filter(members, "name")).filter(HIDDEN + "maybe")
+    loaded = stage(placed.join(asked.select("name", "text"), "name").drop("name"), "members")
     volume = loaded.agg(F.sum("n")).first()[0] or 0
     bins = max(partitions(docs), -(-volume // block_tokens))
     inside = loaded.select(
@@ -309,9 +315,24 @@ def near_duplicates(
 
 
 def drop_near_duplicates(docs: DataFrame, **options) -> DataFrame:
-    """``docs`` with the smallest doc_id of each component of ``near_duplicates``, all columns as they are.
+    """``docs`` with one document of each component of ``near_duplicates``, all columns as they are.
 
-    Rows that share a doc_id stay or go together; rows with a null doc_id stay.
+    The smallest doc_id stays, one of several texts with it; a null doc_id only where no other is
+    there. A row is told by its doc_id and text, so of two rows that share a doc_id only the near copy
+    goes, and rows that repeat both stay or go together.
     """
-    found = near_duplicates(docs, **options)
-    return without_ids(docs, stage(found.filter("doc_id <> component_id").select("doc_id"), "near-copies"))
+    row, own, first = (HIDDEN + c for c in ("row", "own", "first"))
+    named = docs.withColumn(own, docs["doc_id"].cast("long")).withColumn(row, F.xxhash64(docs["doc_id"].cast("long"), text_of(docs)))
+    found = near_duplicates(named.select(F.col(row).alias("doc_id"), "text"), **options)
+    found = stage(found.filter("component_id is not null").select(F.col("doc_id").alias(row), "component_id").distinct(), "near-rows")
+    several = found.filter(F.col(row) != F.col("component_id")).select("component_id").distinct()
+    rank = F.struct(F.col(own).isNull(), F.col(own), F.col(row))
+    placed = found.join(several, "component_id", "left_semi").join(named.select(row, own).distinct(), row)
+    keepers = placed.groupBy("component_id").agg(F.min(rank).alias(first))
+    gone = stage(placed.join(keepers, "component_id").filter(rank != F.col(first)).select(row, own), "near-copies")
+    gone = gone.toDF(HIDDEN + "gone_row", HIDDEN + "gone_own")
+    marked = with_maybe(named, row, member_filter(gone, HIDDEN + "gone_row"))
+    sure = marked.filter(~F.col(HIDDEN + "maybe")).select(*docs.columns)
+    same = (F.col(row) == F.col(HIDDEN + "gone_row")) & F.col(own).eqNullSafe(F.col(HIDDEN + "gone_own"))
+    asked = marked.filter(HIDDEN + "maybe").join(gone, same, "left_anti")
+    return sure.unionByName(asked.select(*docs.columns))

@@ -114,6 +114,43 @@ def test_dropping_exact_duplicates_keeps_rows_whole(spark):
     assert sorted(texts) == sorted({t or "" for _, t in MESSY})
 
 
+def test_dropping_keeps_columns_of_any_name(spark):
+    docs = spark.createDataFrame([(1, "x", 1, 2, True), (2, "x", 3, 4, False), (2, "y", 5, 6, True)], "doc_id long, text string, a int, b int, stays boolean")
+    for drop in (drop_exact_duplicates, drop_near_duplicates):
+        assert drop(docs).schema == docs.schema
+    assert sorted(map(tuple, drop_exact_duplicates(docs).collect())) == [(2, "x", 3, 4, False), (2, "y", 5, 6, True)]
+
+
+def test_owners_of_wide_fingerprints():
+    """Fingerprints of 46 bits and 2^18 owners, whose product passes 64 bits."""
+    import pyarrow as pa
+
+    from clientele.llm.exact_dedup import _answer, _sender
+
+    shas = [hashlib.sha256(str(i % 900).encode()).digest() for i in range(1000)]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000), pa.int64()), pa.array(shas, pa.binary())], ["doc_id", "sha"])
+    packets = [p for b in _packets(_sender(46, 18, 10_000), batch) for p in b.to_pylist()]
+    assert all(0 <= p["owner"] < 1 << 18 for p in packets)
+    owned = {}
+    for p in packets:
+        owned.setdefault(p["owner"], []).append(p)
+    flagged = 0
+    for own in owned.values():
+        for answer, p in zip(_answer(pa.Table.from_pylist(own)).to_pylist(), own):
+            flagged += int(golomb.unpack(answer["dup"], p["n"]).sum())
+    assert flagged == 100
+
+
+def _packets(run, batch):
+    from unittest import mock
+
+    from clientele.llm import exact_dedup
+
+    with mock.patch.object(exact_dedup.TaskContext, "get") as get:
+        get.return_value.partitionId.return_value = 0
+        return list(run([batch]))
+
+
 def test_exact_duplicates_of_a_hot_text(spark):
     rows = [(i, "hot" if i % 3 else f"t{i // 2}") for i in range(600)]
     found = {r["doc_id"]: r for r in exact_duplicates(frame(spark, rows), chunk_rows=50, owner_rows=20).collect()}
@@ -197,10 +234,26 @@ def test_tree_join_connects_what_pairs_connect(across):
 
 
 def test_near_duplicates_of_messy_rows(spark):
-    rows = [(i, t) for i, t in MESSY if i is not None]
-    assert near_rows(near_duplicates(frame(spark, rows))) == brute_components(rows, 3, 9, 10)
-    found = [r for r in near_duplicates(frame(spark, MESSY)).collect() if r["doc_id"] is None]
-    assert sorted((r["n_shingles"], r["component_id"]) for r in found if r["component_id"]) == [(1, 1)]
+    assert near_rows(near_duplicates(frame(spark, MESSY))) == brute_components(MESSY, 3, 9, 10)
+
+
+def test_rows_without_an_id_carry_links(spark):
+    """Two documents that are linked only through rows without a doc_id."""
+    words = [f"w{i}" for i in range(60)]
+    between = " ".join(words)
+    rows = [(1, " ".join(words[3:])), (None, between), (3, " ".join(words[:-3])), (None, between + " x"), (4, "apart from them")]
+    expected = brute_components(rows, 3, 9, 10)
+    assert near_rows(near_duplicates(frame(spark, rows))) == expected
+    assert (3, 55, 1) in expected
+
+
+def test_near_copies_are_told_by_id_and_text(spark):
+    long = " ".join(f"w{i}" for i in range(80))
+    rows = [(1, long), (2, long + " end"), (2, "a clean text that shares its id"), (None, long + " last"), (None, "only"), (3, None)]
+    kept = drop_near_duplicates(frame(spark, rows), shingle=5, num=4, den=5)
+    assert sorted(((r["doc_id"] or 0, r["text"]) for r in kept.collect()), key=repr) == sorted(
+        [(1, long), (2, "a clean text that shares its id"), (0, "only"), (3, None)], key=repr
+    )
 
 
 @pytest.mark.parametrize(
