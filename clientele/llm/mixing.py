@@ -83,7 +83,7 @@ def _narrow(docs: DataFrame) -> DataFrame:
 
 
 def _thresholds(narrow: DataFrame, weights: tuple, most: int, salts: int) -> DataFrame:
-    """A row for each source: source_size, target, whole passes (times) and hash threshold."""
+    """A row for each source and salt: source_size, target, whole passes (times) and hash threshold."""
     sizes = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     plan = stage(_targets(sizes, weights, most), "targets")
     salted = narrow.withColumn("salt", F.col("h") % salts).alias("n")
@@ -119,7 +119,9 @@ def _thresholds(narrow: DataFrame, weights: tuple, most: int, salts: int) -> Dat
             at = first.selectExpr("source", "if(2 * b.budget > b.words, b.bucket + 1L, b.bucket) as threshold")
         at = stage(at, f"level{level}")
     same = F.col("p.source").eqNullSafe(F.col("t.source"))
-    return plan.alias("p").join(at.alias("t"), same, "left").select("p.*", "t.threshold")
+    found = plan.alias("p").join(at.alias("t"), same, "left").select("p.*", "t.threshold", _spread(salts))
+    # Written, the planner knows its size: a few rows a source are broadcast, a longer table is not.
+    return stage(found, "thresholds")
 
 
 def _copies(most: int, times: str = "times") -> str:
@@ -145,7 +147,7 @@ def mix(
     A hot source is summed before each shuffle and joined over ``salts`` pieces.
     """
     narrow = _narrow(docs)
-    chosen = _thresholds(narrow, weights, most, salts).select("*", _spread(salts)).alias("c")
+    chosen = _thresholds(narrow, weights, most, salts).alias("c")
     rows = narrow.withColumn("salt", F.col("h") % salts).alias("n")
     same = F.col("n.source").eqNullSafe(F.col("c.source")) & (F.col("n.salt") == F.col("c.salt"))
     return (
@@ -159,7 +161,7 @@ def mixed_documents(
     docs: DataFrame, weights: tuple = WEIGHTS, most: int = MOST_REPEATS, salts: int = SALTS
 ) -> DataFrame:
     """``docs`` as the mix takes them: every row as often as ``mix`` says, all columns as they are."""
-    chosen = _thresholds(_narrow(docs), weights, most, salts).select("*", _spread(salts))
+    chosen = _thresholds(_narrow(docs), weights, most, salts)
     names = {c: HIDDEN + c for c in chosen.columns}
     chosen = chosen.select(*[F.col(c).alias(n) for c, n in names.items()])
     h = HIDDEN + "h"
