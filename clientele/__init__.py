@@ -3,7 +3,7 @@
 from .operators.activity import active_customers, buyer_bitmaps, customer_numbers, daily_sales, trend_of_bitmaps
 from .operators.charts import heatmap, kpis, kpis_display, label_axes, segment_counts, segment_spend
 from .operators.checks import duplicate_keys, null_counts, orphan_keys, unexpected_values
-from .operators.churn import ChurnResult, apply_churn, fit_churn, score_churn
+from .operators.churn import ChurnResult, apply_churn, fit_churn, score_churn, training_partitions
 from .operators.cube import FilteredCube, filter_cube
 from .operators.features import RFM_MEASURES, rfm_features, scale_features, snapshot_date
 from .operators.filters import (
@@ -106,6 +106,7 @@ __all__ = [
     "staged_features",
     "store_index",
     "summary_of_state",
+    "training_partitions",
     "trend_of_bitmaps",
     "unexpected_values",
     "with_headings",

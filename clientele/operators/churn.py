@@ -19,8 +19,9 @@ from ..functions.rules import one_decimal, risk_tier
 from ..sources.staging import pin
 
 # Bags are drawn in each partition of the training rows, so their number is part of the
-# model: the same number gives the same forest. More let more tasks share the fit.
+# model: the same number gives the same forest. More rows have more of them to share the fit.
 PARTITIONS = 8
+ROWS_PER_PARTITION = 1_000_000
 # Candidate thresholds per feature.
 SPLIT_BINS = 128
 
@@ -34,7 +35,7 @@ class ChurnResult(NamedTuple):
 def score_churn(
     frame: DataFrame,
     key: str = "customer_id",
-    partitions: int = PARTITIONS,
+    partitions: int | None = None,
     moderate_from: float = fv.MODERATE_FROM_PCT,
     high_from: float = fv.HIGH_FROM_PCT,
 ) -> ChurnResult:
@@ -69,7 +70,12 @@ def apply_churn(
     return ChurnResult(customers, importances.orderBy("importance", "feature"), model)
 
 
-def fit_churn(frame: DataFrame, key: str = "customer_id", partitions: int = PARTITIONS) -> PipelineModel | None:
+def training_partitions(frame: DataFrame) -> int:
+    """The parts that ``fit_churn`` lays ``frame`` out in: by its rows, so that a refit draws the same bags."""
+    return max(PARTITIONS, -(-frame.count() // ROWS_PER_PARTITION))
+
+
+def fit_churn(frame: DataFrame, key: str = "customer_id", partitions: int | None = None) -> PipelineModel | None:
     """The forest fitted on all rows of ``frame``, or None without rows.
 
     Features go in unscaled: a tree's splits are the same on any increasing function of
@@ -78,6 +84,7 @@ def fit_churn(frame: DataFrame, key: str = "customer_id", partitions: int = PART
     """
     if frame.isEmpty():
         return None
+    partitions = partitions or training_partitions(frame)
     # The metadata says there are two classes even when only one occurs.
     label = F.col("is_churned_target").cast("double").alias("label", metadata={"ml_attr": {"type": "binary"}})
     laid_out = frame.select(key, "is_churned_target", *fv.CHURN_FEATURES).repartition(partitions, key)

@@ -9,7 +9,7 @@ from ..sources.staging import stage
 ROWS_PER_TASK = 2_000_000
 # Rows of a barely hot key that the sample shows on average: enough not to miss it.
 SHOWN = 40
-# A longer list of hot keys is not broadcast; the join is then left to adaptive execution.
+# A longer list of hot keys is not broadcast but joined as the planner sees fit.
 MOST_KEYS = 1_000_000
 
 
@@ -23,8 +23,8 @@ def hot_keys(
     """(key, pieces) for the hot keys of ``df``, or None when there are none.
 
     Counts come from a sample of one column, ``shown`` rows for each task's worth. A
-    misjudged key costs speed, never rows. At most total / rows_per_task keys can be hot;
-    beyond ``most_keys`` of them None is returned. Runs jobs: a count and a sample scan.
+    misjudged key costs speed, never rows. At most total / rows_per_task keys can be hot; up to
+    ``most_keys`` of them are marked for broadcasting. Runs jobs: a count and a sample scan.
     """
     total = df.count()
     if total <= rows_per_task:
@@ -38,7 +38,10 @@ def hot_keys(
     pieces = f"cast(greatest(2, ceil(n / {rows_per_task * fraction!r}D)) as int) AS pieces"
     found = keys.groupBy(key).agg(F.expr("count(*) AS n")).where(f"n > {least!r}D").selectExpr(key, pieces)
     found = stage(found, "hot-keys")
-    return found if 0 < found.count() <= most_keys else None
+    n = found.count()
+    if n == 0:
+        return None
+    return F.broadcast(found) if n <= most_keys else found
 
 
 def join_to_unique(
@@ -47,12 +50,11 @@ def join_to_unique(
     """Inner join of ``fact`` to ``dim``, whose ``key`` is unique.
 
     The rows of a hot key are spread over as many tasks as it has pieces, by a hash
-    of column ``spread``, and its one ``dim`` row is repeated for each piece. ``hot`` is
-    broadcast; ``hot_keys`` bounds its length.
+    of column ``spread``, and its one ``dim`` row is repeated for each piece. ``hot_keys``
+    marks a list of bounded length for broadcasting; a longer one meets both sides by a shuffle.
     """
     if hot is None:
         return fact.join(dim, key)
-    hot = F.broadcast(hot)
     # A hash, unlike a random number, gives a retried task the same answer.
     piece = F.expr(f"cast(coalesce(pmod(xxhash64({spread}), pieces), 0) as int)")
     cut = fact.join(hot, key, "left").withColumn("piece", piece).drop("pieces")

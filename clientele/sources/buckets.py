@@ -37,8 +37,8 @@ def load_bucketed(customers: DataFrame, orders: DataFrame, path: str, buckets: i
     if hot is not None:
         # A task of its own for each piece of a hot customer, by a hash that a retry repeats.
         entry["hot"] = f"hot-orders-{version}"
-        orders.join(F.broadcast(hot.select(KEY)), KEY, "left_semi").write.parquet(f"{path}/{entry['hot']}")
-        orders = orders.join(F.broadcast(hot.select(KEY)), KEY, "left_anti")
+        orders.join(hot.select(KEY), KEY, "left_semi").write.parquet(f"{path}/{entry['hot']}")
+        orders = orders.join(hot.select(KEY), KEY, "left_anti")
     for name, df in (("customers", customers), ("orders", orders)):
         entry[name] = f"{name}-{version}"
         # Dealt by the hash of the buckets, so that a task writes one file.

@@ -68,5 +68,12 @@ def test_a_key_of_a_small_share_is_split_when_it_is_too_large_for_a_task(spark):
     assert rows(cl.hot_keys(many, "key", rows_per_task=20)) == [(-1, 8)]
 
 
-def test_more_hot_keys_than_may_be_broadcast_are_left_to_adaptive_execution(spark):
-    assert cl.hot_keys(skewed(spark), "key", rows_per_task=10, most_keys=50) is None
+def test_more_hot_keys_than_may_be_broadcast_are_split_all_the_same(spark):
+    fact = skewed(spark)
+    few, many = (cl.hot_keys(fact, "key", rows_per_task=10, most_keys=n) for n in (10**6, 50))
+    assert many.count() > 50 and rows(many) == rows(few)
+    hints = ["ResolvedHint" in df._jdf.queryExecution().analyzed().toString() for df in (few, many)]
+    assert hints == [True, False]
+    dim = fact.select("key").distinct().selectExpr("key", "key * 2 AS twice")
+    joined = cl.join_to_unique(fact, dim, "key", "row", many)
+    assert rows(joined, "row", "key", "twice") == rows(fact.join(dim, "key"), "row", "key", "twice")
