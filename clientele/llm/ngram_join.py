@@ -3,10 +3,12 @@
 1. Each text becomes a set of 64-bit shingle hashes; equal sets collapse to one.
 2. Candidates, without loss: linked sets of sizes in one or two neighbouring size bands
    differ in at most K tokens, so when the hash space is cut into more than K ranges,
-   they agree in one of them. Each set sends a key for each range and band pair; sets
-   that share a key belong to one candidate cluster.
-3. Each cluster is cut by size band into blocks of bounded tokens, and a signature tree
-   is built over a block. The tree is joined with itself, later with the trees of the
+   they agree in one of them. Each set sends a key for each range and band pair. There are
+   spare ranges, so linked sets share several keys: a set that shares fewer with all
+   others together is no candidate and its keys go. Sets that still share a key belong to
+   one candidate cluster.
+3. Each cluster that exceeds a block is cut by size band into blocks of bounded tokens, and a
+   signature tree is built over a block. The tree is joined with itself, later with the trees of the
    cluster's other blocks whose sizes can match, dropping node pairs by their largest
    possible overlap. What remains is compared token by token.
 4. Links that connect are enough: pairs already connected are not looked at again.
@@ -29,7 +31,7 @@ NUM, DEN = 9, 10
 CHUNK_TOKENS = 4_000_000
 BLOCK_TOKENS = 2_000_000
 
-DOC, KEY, EDGE, NAMELESS = 0, 1, 2, 3
+DOC, KEY, MIDDLE, NAMELESS, NEED = 0, 1, 2, 3, 4
 
 
 def size_bands(num: int, den: int, most: int) -> np.ndarray:
@@ -63,8 +65,12 @@ def parts(starts: np.ndarray, num: int, den: int) -> tuple[np.ndarray, np.ndarra
 
 def band_keys(
     tokens: np.ndarray, bounds: np.ndarray, band: np.ndarray, cuts: np.ndarray, spare: np.ndarray
-) -> tuple[np.ndarray, np.ndarray]:
-    """(keys, set positions): a key for each range of a set's hash space, in the layout of ``band``."""
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(keys, set positions, need): a key for each range of a set's hash space, in the layout of ``band``.
+
+    The lowest bit of a key is that of its layout. ``need`` tells of each set how many of its keys
+    any linked set of the layout shares at least.
+    """
     n = len(bounds) - 1
     count = cuts[band]
     base = np.concatenate(([0], np.cumsum(count)))
@@ -81,7 +87,8 @@ def band_keys(
     keys = mix(total + mix(place + layout) + held.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     empties = np.bincount(whose[held == 0], minlength=n)
     told = (held > 0) | (empties > spare[band])[whose]
-    return keys[told], whose[told]
+    keys = keys & ~np.uint64(1) | (band & 1).astype(np.uint64)[whose]
+    return keys[told], whose[told], 1 + spare[band] - empties
 
 
 def _set_ids(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -104,23 +111,17 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
         )
 
     def merge(held):
-        """Of a chunk: each key once, with its least set, and links of its other sets to that one."""
+        """Of a chunk: each key with its least and its greatest set, which show that it is shared, and apart the sets between."""
         keys, sets = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held])
         if not len(keys):
             return
         order = np.lexsort((sets, keys))
-        ranked, names = keys[order], sets[order]
+        ranked = keys[order]
         new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        first = np.flatnonzero(new)
-        least = names[first][np.cumsum(new) - 1]
-        other = names != least
-        pairs = np.unique(np.stack([names[other], least[other]], axis=1), axis=0) if other.any() else np.zeros((0, 2), np.int64)
-        none = lambda m: pa.nulls(m, pa.int32())
+        ends = new | np.append(new[1:], True)
         # Set by set, as they came: repeated set ids compress well, in the file and in the shuffle.
-        once = np.sort(order[first])
-        yield rows(KEY, pa.array(keys[once].view(np.int64)), pa.array(sets[once]), none(len(once)))
-        if len(pairs):
-            yield rows(EDGE, pa.array(pairs[:, 0].copy()), pa.array(pairs[:, 1].copy()), none(len(pairs)))
+        for kind, at in ((KEY, np.sort(order[ends])), (MIDDLE, np.sort(order[~ends]))):
+            yield rows(kind, pa.array(keys[at].view(np.int64)), pa.array(sets[at]), pa.nulls(len(at), pa.int32()))
 
     def run(batches):
         held, seen, tokens_held = [], set(), 0
@@ -146,8 +147,9 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
                 own_bounds = np.concatenate(([0], np.cumsum(sizes[fresh])))
                 band = np.searchsorted(starts, sizes[fresh], side="right") - 1
                 for layout in (band, band + 1):
-                    keys, whose = band_keys(own, own_bounds, layout, cuts, spare)
+                    keys, whose, need = band_keys(own, own_bounds, layout, cuts, spare)
                     held.append((keys, names[fresh][whose]))
+                    yield rows(NEED, pa.array(names[fresh]), pa.array(need), pa.array((layout & 1).astype(np.int32)))
                     tokens_held += len(keys)
                 if tokens_held * 5 >= chunk_tokens:
                     yield from merge(held)
@@ -196,6 +198,25 @@ def _joiner(shingle: int, num: int, den: int, across: bool):
     return run
 
 
+def _ends(held: DataFrame) -> DataFrame:
+    """(key, low, high) of the keys that several sets hold: their least and greatest set."""
+    return held.groupBy("key").agg(F.min("set").alias("low"), F.max("set").alias("high")).filter("low <> high")
+
+
+def _agreeing(held: DataFrame, need: DataFrame) -> DataFrame:
+    """(key, set) rows of the sets that share as many keys of a layout as a linked set would.
+
+    Nothing linked is lost: both sets of a linked pair hold that many keys in common, which no step takes
+    from them. Keys that no second set holds any more are left out.
+    """
+    layout = F.expr("cast(key & 1 as int)").alias("layout")
+    counts = held.groupBy("set", layout).agg(F.count("*").alias("n"))
+    able = stage(counts.join(need, ["set", "layout"]).filter("n >= need").select("set", "layout"), "able")
+    maybe = with_maybe(held, "set", member_filter(able, "set")).filter(HIDDEN + "maybe").select("key", "set", layout)
+    kept = stage(maybe.join(able, ["set", "layout"]).select("key", "set"), "kept")
+    return stage(kept.join(_ends(kept).select("key"), "key").select("key", "set"), "agreeing")
+
+
 def near_duplicates(
     docs: DataFrame,
     shingle: int = SHINGLE,
@@ -229,10 +250,15 @@ def near_duplicates(
         F.col("n").alias("n_shingles"),
     )
     keyed = first.filter(F.col("kind") == KEY).select(F.col("x").alias("key"), F.col("y").alias("set"))
-    # A chunk sends a key once, so the rows of a key are at most the chunks.
-    shared = keyed.selectExpr("set", "min(set) over (partition by key) as hub").filter("set <> hub")
-    local = first.filter(F.col("kind") == EDGE).select(F.col("x").alias("set"), F.col("y").alias("hub"))
-    candidates = shared.union(local).select(F.col("set").alias("u"), F.col("hub").alias("v"))
+    # A chunk sends a key at most twice, so the rows of a key are at most twice the chunks.
+    least, most = (f"{f}(`set`) over (partition by key)" for f in ("min", "max"))
+    shared = keyed.selectExpr("key", "`set`", f"{least} as low", f"{most} as high").filter("low <> high")
+    middle = first.filter(F.col("kind") == MIDDLE).select(F.col("x").alias("key"), F.col("y").alias("set"))
+    held = stage(shared.select("key", "set").union(middle), "shared")
+    need = first.filter(F.col("kind") == NEED).groupBy(F.col("x").alias("set"), F.col("n").alias("layout"))
+    need = need.agg(F.max("y").alias("need"))
+    held = _agreeing(held, need)
+    candidates = held.join(_ends(held), "key").select(F.col("set").alias("u"), F.col("low").alias("v"))
     clusters = stage(components(candidates), "clusters")
 
     # One document of each candidate set brings its text; the band bounds its block.
@@ -244,13 +270,17 @@ def near_duplicates(
     )
     step = float(np.log(den / num))
     members = stage(members.withColumn("band", F.floor(F.log("n") / step).cast("int")), "candidates")
-    room = members.groupBy("cluster", "band").agg(
-        F.ceil(F.sum("n") / F.lit(float(block_tokens))).cast("long").alias("blocks")
+    room = (
+        members.groupBy("cluster", "band")
+        .agg(F.sum("n").alias("tokens"))
+        .withColumn("whole", F.expr("sum(tokens) over (partition by cluster)"))
+        .withColumn("blocks", F.ceil(F.col("tokens") / F.lit(float(block_tokens))).cast("long"))
     )
     placed = (
         members.join(room, ["cluster", "band"])
         .withColumn("slot", F.expr("pmod(xxhash64(`set`), blocks)"))
-        .select("set", "name", "cluster", "n", "band", F.expr("band * 4294967296L + slot").alias("block"))
+        .withColumn("block", F.expr(f"if(whole <= {block_tokens}, -1L, band * 4294967296L + slot)"))
+        .select("set", "name", "cluster", "n", "band", "block")
     )
     asked = with_maybe(texts, "name", member_filter(members, "name")).filter(HIDDEN + "maybe")
     loaded = stage(placed.join(asked.select("name", "text"), "name").drop("name"), "members")
