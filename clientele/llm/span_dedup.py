@@ -1,16 +1,15 @@
 """Passages that repeat across documents, found by hashing sliding runs of sentences.
 
-A sentence ends at ``. ! ?``, or for long ones' sake at ``, ; :``, before white space, or at
-a line break. Every sentence
-starts a run: the fewest sentences, at least ``sentences``, that hold at least ``words``
-words. Runs are joined globally by hash, the first place of each hash stays, and the
-sentences of all its later places are removed.
-
-A passage whose sentences are too long or too few for a common run, or that other text
-cuts into, is found by its words: every stretch of ``stretch`` words that an earlier place
-holds goes as well. Each such window is named by its anchor, the lowest hash of the
-``GRAM`` words inside it. Equal windows have equal anchors and neighbours mostly share
-one, so anchors are joined first and only windows with a repeated anchor are hashed.
+A sentence ends at ``. ! ?``, or for long ones' sake at ``, ; :``, before white space, at a
+line break, and after every word whose own hash asks for it (one of ``CUT``): so long
+sentences are cut at the same words wherever a passage stands, and text around it spoils
+only its first and last piece. Every sentence starts a run and ends one: the fewest
+sentences, at least ``sentences``, that hold at least ``words`` words. Runs are joined
+globally by hash, the first place of each stays, and the sentences of all its later
+places are removed.
+
+The join first finds the hashes that occur more than once, from hashes alone; only runs
+with one of those send their places, which a second hash tells apart.
 """
 
 import numpy as np
@@ -19,15 +18,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .jobs import HIDDEN, member_filter, stage, with_maybe
-from .textops import _Powers, buffers, mix, slices, word_hashes, words
+from .textops import buffers, mix, slices, word_hashes, words
 
 SENTENCES = 3
 WORDS = 30
-STRETCH = 50
-GRAM = 20
+CUT = 4
 ENDS = b".!?,;:"
 
 
+def cuts_after(hashes: np.ndarray) -> np.ndarray:
+    """Which words end a sentence whatever follows, from the words' hashes."""
+    return mix(hashes ^ np.uint64(0x5851F42D4C957F2D)) % np.uint64(CUT) == 0
+
+
 def sentence_spans(
     data: np.ndarray, offsets: np.ndarray
 ) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -47,278 +50,150 @@ def sentence_spans(
     following = np.append(starts[1:], len(data))
     stop |= breaks[following] > breaks[ends]
     stop |= np.append(rows[1:] != rows[:-1], True)
+    h = word_hashes(data, starts, ends)
+    stop |= cuts_after(h)
     last = np.flatnonzero(stop)
     first = np.concatenate(([0], last[:-1] + 1))
     place = np.arange(n) - np.repeat(first, last - first + 1)
-    h = mix(word_hashes(data, starts, ends) + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+    h = mix(h + place.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h, dtype=np.uint64)))
     return starts[first], ends[last], rows[first], last - first + 1, running[last + 1] - running[first]
 
 
 def runs(rows: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, least: int, words_least: int):
-    """(first sentence, end sentence, hash) of the run that each sentence starts, where the text has one."""
+    """(first sentence, end sentence, hash, second hash) of the runs that sentences start or end within their text."""
     n = len(rows)
+    none = np.zeros(0, np.int64)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return none, none, none, none
     total = np.concatenate(([0], np.cumsum(sizes)))
-    begin = np.arange(n)
-    end = np.maximum(np.searchsorted(total, total[:-1] + words_least, side="left"), begin + least)
-    text_end = np.searchsorted(rows, rows, side="right")
-    begin = begin[end <= text_end]
-    end = end[end <= text_end]
+    here = np.arange(n)
+    end = np.maximum(np.searchsorted(total, total[:-1] + words_least, side="left"), here + least)
+    begin = np.minimum(np.searchsorted(total, total[1:] - words_least, side="right") - 1, here + 1 - least)
+    ahead = end <= np.searchsorted(rows, rows, side="right")
+    back = begin >= np.searchsorted(rows, rows)
+    # A span that one sentence starts and another ends is one run.
+    both = np.concatenate((here[ahead] * (n + 1) + end[ahead], begin[back] * (n + 1) + here[back] + 1))
+    begin, end = np.divmod(np.unique(both), n + 1)
     # Order matters within a run: sums of hashes scrambled with their distance from the run's start.
-    out = np.zeros(len(begin), np.uint64)
+    out = np.zeros((2, len(begin)), np.uint64)
+    other = mix(hashes ^ np.uint64(0xD1B54A32D192ED03))
     longest = int((end - begin).max(initial=0))
     for j in range(longest):
         live = np.flatnonzero(begin + j < end)
-        out[live] = mix(out[live] * np.uint64(0x9FB21C651E98DF25) + hashes[begin[live] + j])
-    return begin, end, out.view(np.int64)
+        at = begin[live] + j
+        out[0, live] = mix(out[0, live] * np.uint64(0x9FB21C651E98DF25) + hashes[at])
+        out[1, live] = mix(out[1, live] * np.uint64(0x9E3779B97F4A7C15) + other[at])
+    return begin, end, out[0].view(np.int64), out[1].view(np.int64)
 
 
-def _run_rows(least: int, words_least: int):
+def _run_rows(least: int, words_least: int, places: bool):
+    """Runs of texts: their hashes alone, or with their places."""
+
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            ids = batch.column("doc_id")
             for i, j in slices(offsets):
                 _, _, rows, sizes, hashes = sentence_spans(
                     data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 )
-                begin, end, h = runs(rows, sizes, hashes, least, words_least)
+                begin, end, h, check = runs(rows, sizes, hashes, least, words_least)
+                if not places:
+                    yield pa.RecordBatch.from_arrays([pa.array(h)], ["run"])
+                    continue
                 first = np.searchsorted(rows, rows[begin])
+                whose = pa.array(rows[begin])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h),
-                        ids.slice(i, j - i).take(pa.array(rows[begin])),
+                        pa.array(check),
+                        batch.column("doc_id").slice(i, j - i).take(whose),
+                        batch.column("text_id").slice(i, j - i).take(whose),
                         pa.array((begin - first).astype(np.int32)),
                         pa.array((end - first).astype(np.int32)),
                     ],
-                    ["run", "doc_id", "first", "stop"],
-                )
-
-    return run
-
-
-def word_runs(h: np.ndarray, size: int) -> np.ndarray:
-    """A hash of the ``size`` words that start at each word, from the words' hashes."""
-    up, down = _Powers.get(len(h))
-    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(h * up, dtype=np.uint64)))
-    return mix((total[size:] - total[:-size]) * down[: len(h) - size + 1])
-
-
-def _lowest(h: np.ndarray, size: int) -> np.ndarray:
-    """Where the first lowest of each ``size`` neighbours is."""
-    at, span = np.arange(len(h)), 1
-    while span < size:
-        step = min(span, size - span)
-        a, b = at[:-step], at[step:]
-        at, span = np.where(h[b] < h[a], b, a), span + step
-    return at
-
-
-def stretches(data: np.ndarray, offsets: np.ndarray, size: int):
-    """(row, first word, hash, anchor's word, anchor) of every window of ``size`` words of a row."""
-    starts, ends, rows = words(data, offsets)
-    n = len(starts) - size + 1
-    if n <= 0:
-        none = np.zeros(0, np.int64)
-        return none, none, none, none, none
-    h = word_hashes(data, starts, ends)
-    gram = min(GRAM, size)
-    grams = word_runs(h, gram)
-    inside = np.flatnonzero(rows[:n] == rows[size - 1 :])
-    low = _lowest(grams, size - gram + 1)[inside]
-    first = np.searchsorted(rows, rows[inside])
-    return (
-        rows[inside],
-        inside - first,
-        word_runs(h, size)[inside].view(np.int64),
-        low - first,
-        grams[low].view(np.int64),
-    )
-
-
-def _anchor_rows(size: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            ids = batch.column("doc_id")
-            for i, j in slices(offsets):
-                rows, _, _, at, anchors = stretches(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-                # Neighbouring windows share an anchor: one row for all of them.
-                new = np.ones(len(rows), bool)
-                new[1:] = (rows[1:] != rows[:-1]) | (at[1:] != at[:-1])
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(anchors[new]),
-                        ids.slice(i, j - i).take(pa.array(rows[new])),
-                        pa.array(at[new].astype(np.int32)),
-                    ],
-                    ["anchor", "doc_id", "first"],
+                    ["run", "again", "doc_id", "text_id", "first", "stop"],
                 )
 
     return run
 
 
-def _window_rows(size: int):
-    def run(batches):
-        for batch in batches:
-            data, offsets = buffers(batch.column("text"))
-            ids = batch.column("doc_id")
-            for i, j in slices(offsets):
-                rows, place, h, _, anchors = stretches(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], size)
-                # An anchor is repeated wherever it stands, so rows need not be told apart.
-                wanted = batch.column("anchors").slice(i, j - i).flatten().to_numpy(zero_copy_only=False)
-                asked = np.isin(anchors, wanted)
-                place = place[asked].astype(np.int32)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        pa.array(h[asked]),
-                        ids.slice(i, j - i).take(pa.array(rows[asked])),
-                        pa.array(place),
-                        pa.array(place + np.int32(size)),
-                    ],
-                    ["run", "doc_id", "first", "stop"],
-                )
-
-    return run
-
-
-def _ranges(gone: np.ndarray) -> list[dict]:
-    """Runs of true values."""
-    edges = np.flatnonzero(np.diff(np.concatenate(([False], gone, [False])).astype(np.int8)))
-    return [{"first": int(x), "stop": int(y)} for x, y in zip(edges[::2], edges[1::2])]
-
-
 def _cut(schema: pa.DataType):
-    """Texts without the sentences of their spans and the words of their windows."""
+    """Texts without the sentences of their spans."""
 
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            spans, windows = batch.column("spans").to_pylist(), batch.column("windows").to_pylist()
-            texts, removed, ranges = [], [], []
+            spans = batch.column("spans").to_pylist()
+            texts, removed = [], []
             for i, j in slices(offsets):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
-                starts, _, rows = words(own, at)
-                _, _, of, sizes, _ = sentence_spans(own, at)
+                starts, _, of, _, _ = sentence_spans(own, at)
                 raw = own.tobytes()
                 for k in range(i, j):
-                    a, b = np.searchsorted(rows, [k - i, k - i + 1])
-                    c, d = np.searchsorted(of, [k - i, k - i + 1])
-                    ends = np.concatenate(([0], np.cumsum(sizes[c:d])))
-                    stretch = np.zeros(b - a, bool)
-                    for window in windows[k] or ():
-                        stretch[window["first"] : window["stop"]] = True
-                    gone = stretch.copy()
-                    for span in spans[k] or ():
-                        gone[ends[min(span["first"], d - c)] : ends[min(span["stop"], d - c)]] = True
-                    # A word goes with the white space after it.
+                    a, b = np.searchsorted(of, [k - i, k - i + 1])
+                    kept = np.ones(b - a, bool)
+                    for span in spans[k]:
+                        kept[span["first"] : span["stop"]] = False
+                    # A sentence goes with the white space after it.
                     edges = np.append(starts[a:b], at[k - i + 1])
-                    kept = [raw[int(at[k - i]) : int(edges[0])]]
-                    kept += [raw[int(edges[r["first"]]) : int(edges[r["stop"]])] for r in _ranges(~gone)]
-                    texts.append(b"".join(kept).decode())
-                    lost = np.concatenate(([0], np.cumsum(gone)))[ends]
-                    removed.append(int((lost[1:] > lost[:-1]).sum()))
-                    ranges.append(_ranges(stretch))
+                    turns = np.flatnonzero(np.diff(np.concatenate(([False], kept, [False])).astype(np.int8)))
+                    parts = [raw[int(at[k - i]) : int(edges[0])]]
+                    parts += [raw[int(edges[x]) : int(edges[y])] for x, y in zip(turns[::2], turns[1::2])]
+                    texts.append(b"".join(parts).decode())
+                    removed.append(int((~kept).sum()))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"),
                     pa.array(texts, pa.string()),
                     pa.array(removed, pa.int32()),
-                    pa.array([x or [] for x in spans], schema),
-                    pa.array(ranges, schema),
+                    pa.array(spans, schema),
                 ],
-                ["doc_id", "text", "n_removed", "spans", "stretches"],
+                ["doc_id", "text", "n_removed", "spans"],
             )
 
     return run
 
 
-def _later(places: DataFrame, name: str) -> DataFrame:
-    """(doc_id, first, stop, keep_id, keep_first) of the places of each run but its first one."""
-    # A run that a third of all documents hold is one row per task here.
-    repeated = stage(
-        places.groupBy("run")
-        .agg(F.min(F.struct("doc_id", "first")).alias("place"), F.count("*").alias("n"))
-        .filter("n > 1")
-        .select("run", F.col("place.doc_id").alias("keep_id"), F.col("place.first").alias("keep_first")),
-        name,
-    )
-    return (
-        with_maybe(places, "run", member_filter(repeated, "run"))
-        .filter(HIDDEN + "maybe")
-        .join(repeated, "run")
-        .filter("doc_id <> keep_id or first <> keep_first")
-    )
-
-
-def _windows(docs: DataFrame, size: int) -> DataFrame:
-    """(run, doc_id, first, stop) of all windows of ``size`` words that may have an equal one."""
-    anchors = stage(docs.mapInArrow(_anchor_rows(size), "anchor long, doc_id long, first int"), "anchors")
-    place = F.struct("doc_id", "first")
-    repeated = stage(
-        anchors.groupBy("anchor").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high").select("anchor"),
-        "repeated-anchors",
-    )
-    asked = stage(
-        with_maybe(anchors, "anchor", member_filter(repeated, "anchor"))
-        .filter(HIDDEN + "maybe")
-        .join(repeated, "anchor")
-        .groupBy("doc_id")
-        .agg(F.collect_set("anchor").alias("anchors")),
-        "asked",
-    )
-    texts = with_maybe(docs, "doc_id", member_filter(asked, "doc_id")).filter(HIDDEN + "maybe").join(asked, "doc_id")
-    return stage(
-        texts.select("doc_id", "text", "anchors").mapInArrow(
-            _window_rows(size), "run long, doc_id long, first int, stop int"
-        ),
-        "windows",
-    )
-
-
-def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS, stretch: int = STRETCH) -> DataFrame:
-    """One row per row of ``docs``: doc_id, text, n_removed, spans, stretches, changed.
+def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS) -> DataFrame:
+    """One row per row of ``docs``: doc_id, text, n_removed, spans, changed.
 
     ``spans`` lists the (first, stop) sentence ranges that repeat an earlier place, in the
-    document or in one of a smaller doc_id, ``stretches`` the (first, stop) word ranges
-    whose every ``stretch`` words do, wherever sentences end; ``text`` is the text without
-    both, n_removed the number of sentences that lost words. Texts of fewer than
-    ``sentences`` sentences or ``words`` words have no run and those of fewer than
-    ``stretch`` words no stretch; null stays null. Of
-    repeated places the one of the smallest doc_id and position stays, and a stretch that
-    overlaps it loses only what lies beyond it. Rows that repeat a
-    doc_id count as one document when their places coincide. A row with a null doc_id
+    document or in one of a smaller doc_id; ``text`` is the text without their sentences,
+    n_removed the number of these. Texts of fewer than ``sentences`` sentences or ``words``
+    words have no run; null stays null. Very long texts are read whole. Of
+    repeated places the one of the smallest doc_id and position stays. Documents are told
+    by doc_id and text: rows that repeat both count as one document and are cut alike, rows
+    that share a doc_id only are documents of their own. A row with a null doc_id
     can't be addressed: it is neither a first place nor cut. An empty table gives no rows;
     other columns are not read. Runs jobs.
     """
-    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"].alias("text"))
+    text = docs["text"]
+    narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
     known = narrow.filter("doc_id is not null and text is not null")
-    places = stage(
-        known.mapInArrow(_run_rows(sentences, words), "run long, doc_id long, first int, stop int"), "runs"
+    hashes = known.select("text").mapInArrow(_run_rows(sentences, words, False), "run long")
+    repeated = stage(hashes.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run"), "repeated")
+    places = known.mapInArrow(
+        _run_rows(sentences, words, True), "run long, again long, doc_id long, text_id long, first int, stop int"
     )
-    ranges = F.sort_array(F.collect_set(F.struct("first", "stop")))
-    spans = stage(_later(places, "repeated").groupBy("doc_id").agg(ranges.alias("spans")), "spans")
-    beyond = F.when(F.col("doc_id") == F.col("keep_id"), F.greatest("first", F.col("keep_first") + stretch))
-    later = _later(_windows(known, stretch), "repeated-windows").withColumn("first", F.coalesce(beyond, "first"))
-    windows = stage(later.groupBy("doc_id").agg(ranges.alias("windows")), "stretches")
-    gone = stage(spans.join(windows, "doc_id", "full"), "gone")
-    marked = with_maybe(narrow, "doc_id", member_filter(gone, "doc_id"))
-    asked = marked.filter(HIDDEN + "maybe").join(gone, "doc_id", "left")
-    found = F.col("spans").isNotNull() | F.col("windows").isNotNull()
+    asked = with_maybe(places, "run", member_filter(repeated, "run")).filter(HIDDEN + "maybe")
+    held = stage(asked.drop(HIDDEN + "maybe").join(repeated, "run"), "places")
+    place = F.struct("doc_id", "text_id", "first")
+    # A run that a third of all documents hold is one row per task here.
+    firsts = held.groupBy("run", "again").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")
+    later = held.join(firsts.select("run", "again", "low"), ["run", "again"]).filter(place != F.col("low"))
+    spans = F.sort_array(F.collect_set(F.struct("first", "stop"))).alias("spans")
+    gone = stage(later.groupBy("doc_id", "text_id").agg(spans), "spans")
+    marked = with_maybe(narrow, "text_id", member_filter(gone, "text_id"))
+    several = marked.filter(HIDDEN + "maybe").join(gone, ["doc_id", "text_id"], "left")
+    found = F.col("spans").isNotNull() & F.col("text").isNotNull()
     empty = "array<struct<first:int,stop:int>>"
-    schema = f"doc_id long, text string, n_removed int, spans {empty}, stretches {empty}"
     arrow = pa.list_(pa.struct([("first", pa.int32()), ("stop", pa.int32())]))
-    # A null text has no sentences to cut.
-    cut = asked.filter(found & F.col("text").isNotNull()).select("doc_id", "text", "spans", "windows")
-    changed = cut.mapInArrow(_cut(arrow), schema)
-    none = F.expr(f"cast(array() as {empty})")
+    changed = several.filter(found).select("doc_id", "text", "spans").mapInArrow(
+        _cut(arrow), f"doc_id long, text string, n_removed int, spans {empty}"
+    )
     same = [
-        part.select("doc_id", "text", F.lit(0).alias("n_removed"), none.alias("spans"), none.alias("stretches"))
-        for part in (
-            marked.filter(~F.col(HIDDEN + "maybe")),
-            asked.filter(~found | F.col("text").isNull()),
-        )
+        part.select("doc_id", "text", F.lit(0).alias("n_removed"), F.expr(f"cast(array() as {empty})").alias("spans"))
+        for part in (marked.filter(~F.col(HIDDEN + "maybe")), several.filter(~found))
     ]
     return changed.unionByName(same[0]).unionByName(same[1]).withColumn("changed", F.col("n_removed") > 0)

@@ -13,7 +13,8 @@ from clientele.llm.components import components
 from clientele.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from clientele.llm.ngram_join import band_keys, drop_near_duplicates, near_duplicates, parts, size_bands
 from clientele.llm.signature_tree import links, needed
-from clientele.llm.span_dedup import dedup_spans
+from clientele.llm.span_dedup import cuts_after, dedup_spans
+from clientele.llm.textops import word_hashes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, sha string, keep_id long, `set` int"
@@ -195,7 +196,7 @@ def test_sets_that_differ_little_share_a_key(num, den):
             b = np.sort(np.concatenate((rng.permutation(a)[gone:], rng.integers(0, 1 << 63, gone, dtype=np.uint64))))
             band = np.searchsorted(starts, [len(a), len(b)], side="right") - 1
             layout = np.array([band.max()] * 2)
-            keys, whose = band_keys(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), layout, cuts, spare)
+            keys, whose, _ = band_keys(np.concatenate((a, b)), np.array([0, len(a), len(a) + len(b)]), layout, cuts, spare)
             assert set(keys[whose == 0]) & set(keys[whose == 1]) or set(a) == set(b)
 
 
@@ -281,12 +282,17 @@ def sentence_texts(text):
     found = list(WORD.finditer(text))
     for i, m in enumerate(found):
         gap = text[m.end() : found[i + 1].start()] if i + 1 < len(found) else "\n"
-        if m[0][-1] in ".!?,;:" or "\n" in gap or "\r" in gap:
+        if m[0][-1] in ".!?,;:" or cuts(m[0]) or "\n" in gap or "\r" in gap:
             out.append([w[0] for w in found[at : i + 1]])
             at = i + 1
     return out
 
 
+def cuts(word):
+    raw = np.frombuffer(word.encode(), np.uint8)
+    return bool(cuts_after(word_hashes(raw, np.array([0]), np.array([len(raw)])))[0])
+
+
 def brute_spans(rows, least, words):
     places = collections.defaultdict(set)
     for doc, text in rows:
@@ -297,6 +303,11 @@ def brute_spans(rows, least, words):
                 total, j = total + len(parts_[j]), j + 1
             if j - i >= least and total >= words:
                 places[tuple(map(tuple, parts_[i:j]))].add((doc, i, j))
+            total, j = 0, i + 1
+            while j > 0 and (i + 1 - j < least or total < words):
+                total, j = total + len(parts_[j - 1]), j - 1
+            if i + 1 - j >= least and total >= words:
+                places[tuple(map(tuple, parts_[j : i + 1]))].add((doc, j, i + 1))
     gone = collections.defaultdict(set)
     for found in places.values():
         for doc, i, j in sorted(found)[1:]:
@@ -335,33 +346,27 @@ def test_spans_of_messy_rows(spark):
     assert not any(r["changed"] for r in found if r["doc_id"] is None)
 
 
-def brute_stretches(rows, size):
-    """What is left of each text when every later place of ``size`` equal words goes."""
-    places = collections.defaultdict(set)
-    texts = {doc: WORD.findall(text or "") for doc, text in rows}
-    for doc, own in texts.items():
-        for i in range(len(own) - size + 1):
-            places[tuple(own[i : i + size])].add((doc, i))
-    gone = collections.defaultdict(set)
-    for found in places.values():
-        (keep, at), *later = sorted(found)
-        for doc, i in later:
-            gone[doc] |= set(range(max(i, at + size) if doc == keep else i, i + size))
-    return {doc: [w for k, w in enumerate(own) if k not in gone[doc]] for doc, own in texts.items()}
+def test_passages_of_fifty_words_are_caught_wherever_sentences_end(spark):
+    rng = random.Random(7)
+    own = lambda n: [f"u{rng.getrandbits(60)}" for _ in range(n)]
+    passages = [own(52 + i % 40) for i in range(120)]
+    rows = [(i, " ".join(own(3) + p + own(5))) for i, p in enumerate(passages)]
+    rows += [(200 + i, " ".join(own(20) + p) + "\t" + " ".join(own(9))) for i, p in enumerate(passages)]
+    rows += [(500 + i, " ".join(own(20) + p[:25] + own(20))) for i, p in enumerate(passages)]
+    found = {r["doc_id"]: r for r in dedup_spans(frame(spark, rows)).collect()}
+    assert not any(found[doc]["changed"] for doc, _ in rows if doc < 200 or doc >= 500)
+    caught = [found[200 + i]["changed"] for i in range(120)]
+    assert sum(caught) >= 114
+    for i, p in enumerate(passages):
+        before, left = WORD.findall(rows[120 + i][1]), WORD.findall(found[200 + i]["text"])
+        assert [w for w in before if w not in p] == [w for w in left if w not in p]
 
 
-def test_stretches_of_fifty_words_go_wherever_sentences_end(spark):
-    rng = random.Random(7)
+def test_spans_of_rows_that_share_a_doc_id(spark):
+    rng = random.Random(8)
     own = lambda n: " ".join(f"u{rng.getrandbits(60)}" for _ in range(n))
-    passages = [own(n) for n in (49, 50, 51, 73, 200)] + ["one two " * 60]
-    rows = [(i, f"{own(3)} {p} {own(5)}") for i, p in enumerate(passages)]
-    rows += [(10 + i, f"{own(20)} {p}\t{own(9)}") for i, p in enumerate(passages)]
-    whole = own(80)
-    rows += [(30, whole), (31, whole.replace(" ", "\n", 1)), (32, whole + "."), (33, own(400)), (34, f"{own(2)}, {passages[4]}. {passages[3]}")]
-    found = {r["doc_id"]: r for r in dedup_spans(frame(spark, rows)).collect()}
-    want = brute_stretches(rows, 50)
-    for doc, text in rows:
-        assert WORD.findall(found[doc]["text"]) == want[doc], doc
-        assert found[doc]["changed"] == (len(want[doc]) < len(WORD.findall(text)))
-        assert found[doc]["changed"] or found[doc]["text"] == text
-    assert want[31] == [] and len(want[10]) == 78 and len(want[11]) == 29 and len(want[32]) < 2
+    passage, clean = own(90), own(120)
+    rows = [(1, passage), (2, f"{own(9)} {passage}"), (2, clean), (2, clean), (3, f"{passage} {own(4)}")]
+    found = dedup_spans(frame(spark, rows)).collect()
+    assert [r["text"] for r in found if not r["changed"]].count(clean) == 2
+    assert sorted(r["doc_id"] for r in found if r["changed"]) == [2, 3]
