@@ -19,13 +19,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .html_tokens import Node, parse
-from .jobs import HIDDEN
+from .jobs import HIDDEN, stage
 
-SALTS = 16
+# Pages of one host for one task to read. It grows with the table, so that at most HOT_HOSTS are split.
+PAGES_A_TASK = 1000
+HOT_HOSTS = 100_000
 FANIN = 64
 HOSTS_HELD = 2000
 LONGEST_GROUP = 4
-FEW_PAGES = 3
+FEW_PAGES = 2
 # Pages of one template that must share a text where the host has other templates.
 MANY_PAGES = 20
 
@@ -193,10 +195,6 @@ def _sums(group: list) -> tuple[int, int]:
     return chars, linked
 
 
-def _has_text(node: Node) -> bool:
-    return any(_has_text(kid) if isinstance(kid, Node) else "".join(kid[0]).strip() for kid in node.kids)
-
-
 def _is_centre(token: str) -> bool:
     name, _, marks = token.partition(".")
     return name in CENTRE or "main" in marks.split(".")
@@ -219,16 +217,39 @@ def _varies(group: list, most: int) -> bool:
     return any(_varies(g, most) for g in group[KIDS])
 
 
+# How a slot comes to be read: inside a marked article, inside one below an element that only its weight
+# speaks for, or outside of any.
+MARKED, DOUBTED, PLAIN = RANKS = range(3)
+
+
 class Reader:
-    """Reads pages along a host's wrapper."""
+    """Reads pages through the slots of their host's wrapper.
+
+    Only the wrapper is judged: each of its text groups gets a rank or is no slot. A page is matched with the
+    wrapper, its texts are read through the slots they stand in, and those of the best rank that the page
+    has are its article, so that templates of one host may differ. What no slot holds is not read.
+    """
 
     def __init__(self, wrapper: list):
         self.wrapper = wrapper
         # Where all pages are alike, being alike tells nothing.
         self.most = _unlinked(wrapper)
         self.varied = _varies(wrapper, self.most)
-        self.shared = set()
+        self.weights, self.shared, self.slots, self.ways, self.flat = {}, set(), {}, set(), {}
+        self._weigh(wrapper)
         self._find_shared(wrapper, [])
+        self._choose(wrapper, PLAIN, False, False, wrapper)
+
+    def _weigh(self, group: list) -> int:
+        """Unlinked characters that tell pages of the host apart, noted for each group."""
+        if group[TOKEN] == TEXT:
+            differs = group[SAME][0] or group[PAGES] < FEW_PAGES or not self.varied
+            total = group[CHARS] - group[LINKED] if differs else 0
+        else:
+            total = sum(self._weigh(g) for g in group[KIDS])
+            total = 0 if _kind(group[TOKEN]) == SHUT else total
+        self.weights[id(group)] = total
+        return total
 
     def _find_shared(self, group: list, above: list) -> None:
         """Notes the texts whose being alike tells that they are no article.
@@ -245,19 +266,50 @@ class Reader:
         for g in group[KIDS]:
             self._find_shared(g, [*above, group])
 
+    def _choose(self, group: list, rank: int, doubted: bool, listed: bool, whole: list) -> bool:
+        """Ranks the slots below ``group``; tells whether there are any.
+
+        ``doubted``: an element above is read for its weight alone; ``listed``: a link list is above;
+        ``whole``: the marked article, or the page, of which a doubtful element must hold over half.
+        """
+        any_slot = False
+        for g in group[KIDS]:
+            token = g[TOKEN]
+            if token == TEXT:
+                if rank != PLAIN or not listed:
+                    self.slots[id(g)] = rank
+                    any_slot = True
+                continue
+            kind = _kind(token)
+            if kind == SHUT or kind == DOUBTFUL and not self._holds_most(g, whole):
+                continue
+            if rank == PLAIN and _is_centre(token):
+                below = self._choose(g, DOUBTED if doubted or kind == DOUBTFUL else MARKED, False, False, g)
+            else:
+                below = self._choose(g, rank, doubted or kind == DOUBTFUL, listed or self._links(g), whole)
+            if below:
+                self.ways.add(id(g))
+                any_slot = True
+        return any_slot
+
+    def _holds_most(self, group: list, whole: list) -> bool:
+        """Whether it holds over half of what an average page has in ``whole``, on the pages that have it."""
+        return 2 * self.weights[id(group)] * whole[PAGES] > self.weights[id(whole)] * group[PAGES]
+
+    def _links(self, group: list) -> bool:
+        chars, linked = _sums(group)
+        return chars > 0 and 2 * linked > chars
+
     def blocks(self, page: Node) -> list[str]:
-        self.weights = {}
-        whole = self._weigh(page, self.wrapper)
-        # Templates of one host differ, so each page tells for itself; doubtful elements only where no other does.
-        strict = self._has_centre(page, None)
-        self.centre = strict or self._has_centre(page, whole)
-        out = []
-        self._walk(page, self.wrapper, not self.centre, None if strict else whole, out)
-        return out
-
-    def _pairs(self, node: Node, group: list | None):
+        found = [[] for _ in RANKS]
+        self._read(page, self.wrapper, found)
+        return next((blocks for blocks in found if blocks), [])
+
+    def _pairs(self, node: Node, group: list):
         """The node's kids, each with its group."""
-        groups = _flat(group[KIDS]) if group else []
+        groups = self.flat.get(id(group))
+        if groups is None:
+            groups = self.flat[id(group)] = _flat(group[KIDS])
         at = 0
         for kid in node.kids:
             token = kid.token if isinstance(kid, Node) else TEXT
@@ -267,61 +319,25 @@ class Reader:
                 place = next((i for i in range(at) if groups[i][TOKEN] == token), None)
             else:
                 at = place
-            yield kid, token, groups[place] if place is not None else None
-
-    def _weigh(self, node: Node, group: list | None) -> int:
-        """Unlinked characters that tell pages of the host apart, noted for each element."""
-        total = 0
-        for kid, token, own in self._pairs(node, group):
-            if isinstance(kid, Node):
-                if _kind(token) != SHUT:
-                    total += self._weigh(kid, own)
-            elif not self.varied or own is None or own[SAME][0]:
-                chars = len("".join(kid[0]).strip())
-                total += chars - min(kid[1], chars)
-        self.weights[id(node)] = total
-        return total
-
-    def _outside(self, node: Node, token: str, whole: int | None) -> bool:
-        """Evidence against a single word: the element holds over half of the ``whole``."""
-        kind = _kind(token)
-        return kind == SHUT or kind == DOUBTFUL and (whole is None or 2 * self.weights[id(node)] <= whole)
+            if place is not None:
+                yield kid, groups[place]
 
-    def _has_centre(self, node: Node, whole: int | None) -> bool:
-        """Whether the page itself marks an article that holds text."""
-        for kid in node.kids:
+    def _read(self, node: Node, group: list, found: list) -> None:
+        """Adds the node's texts to the blocks of their slots' ranks."""
+        for kid, own in self._pairs(node, group):
             if isinstance(kid, Node):
-                token = kid.token
-                if not self._outside(kid, token, whole):
-                    if _is_centre(token) and _has_text(kid) or self._has_centre(kid, whole):
-                        return True
-        return False
-
-    def _walk(self, node: Node, group: list | None, inside: bool, whole: int | None, out: list) -> None:
-        for kid, token, own in self._pairs(node, group):
-            if not isinstance(kid, Node):
-                if inside and not self._boilerplate(own, kid):
+                if id(own) in self.ways:
+                    self._read(kid, own, found)
+            elif id(own) in self.slots:
+                rank = self.slots[id(own)]
+                if rank != PLAIN or not self._boilerplate(own, kid):
                     text = " ".join(html.unescape("".join(kid[0])).split())
                     if text:
-                        out.append(text)
-                continue
-            if self._outside(kid, token, whole):
-                continue
-            entered = self.centre and not inside and _is_centre(token)
-            if not self.centre and own and self._links(own):
-                continue
-            # Inside an article, half of the article decides.
-            self._walk(kid, own, inside or entered, self.weights[id(kid)] if entered else whole, out)
+                        found[rank].append(text)
 
-    def _boilerplate(self, group: list | None, run: list) -> bool:
+    def _boilerplate(self, group: list, run: list) -> bool:
         """Outside of a marked article: text that all pages of the host or template share."""
-        if self.centre or not self.varied or not group or id(group) not in self.shared:
-            return False
-        return hash_text("".join(run[0]).strip()) in group[SAME][1]
-
-    def _links(self, group: list) -> bool:
-        chars, linked = _sums(group)
-        return chars > 0 and 2 * linked > chars
+        return self.varied and id(group) in self.shared and hash_text("".join(run[0]).strip()) in group[SAME][1]
 
 
 def _flat(groups: list) -> list:
@@ -337,7 +353,7 @@ def host_of(url: str = "url"):
     return F.lower(found)
 
 
-WRAPPER = "host string, part int, wrapper string"
+WRAPPER = "host string, part int, wrapper string, pages long"
 
 
 def _own_wrappers(batches):
@@ -349,7 +365,8 @@ def _own_wrappers(batches):
         texts = [json.dumps(held[h], separators=(",", ":")) for h in hosts]
         parts = pa.array([part] * len(hosts), pa.int32())
         return pa.RecordBatch.from_arrays(
-            [pa.array(hosts, pa.string()), parts, pa.array(texts, pa.string())], ["host", "part", "wrapper"]
+            [pa.array(hosts, pa.string()), parts, pa.array(texts, pa.string()), pa.array([held[h][PAGES] for h in hosts], pa.int64())],
+            ["host", "part", "wrapper", "pages"],
         )
 
     for batch in batches:
@@ -374,16 +391,17 @@ def _aligned(table: pa.Table) -> pa.Table:
             "host": pa.array([table["host"][0].as_py()], pa.string()),
             "part": pa.array([table["part"][0].as_py()], pa.int32()),
             "wrapper": pa.array([json.dumps(out, separators=(",", ":"))], pa.string()),
+            "pages": pa.array([out[PAGES]], pa.int64()),
         }
     )
 
 
 def wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper) over all pages; a host's tasks meet in ``FANIN`` parts first, so a hot host is no one task's."""
+    """(host, wrapper, pages) over all pages; a host's tasks meet in ``FANIN`` parts first, so a hot host is no one task's."""
     narrow = pages.select(host_of().alias("host"), F.coalesce(pages["html"], F.lit("")).alias("html"))
     own = narrow.mapInArrow(_own_wrappers, WRAPPER)
     parts = own.groupBy("host", "part").applyInArrow(_aligned, WRAPPER)
-    return parts.groupBy("host").applyInArrow(_aligned, WRAPPER).select("host", "wrapper")
+    return parts.groupBy("host").applyInArrow(_aligned, WRAPPER).select("host", "wrapper", "pages")
 
 
 def _read(batches):
@@ -402,29 +420,38 @@ def _read(batches):
         )
 
 
-def main_text(pages: DataFrame, salts: int = SALTS) -> DataFrame:
+def main_text(pages: DataFrame, pages_a_task: int = PAGES_A_TASK) -> DataFrame:
     """One row per row of ``pages``: page_id, url, text, n_chars.
 
     Blocks of the article in page order, one a line; white space inside a block is one
-    space, character references are decoded. The article is what lies in ``article`` or
-    ``main`` elements where the page has them, else all text that is neither link
-    lists nor the same on all pages of the host (of three or more) that have its place in
+    space, character references are decoded. The wrapper of a host says which of its text slots
+    are article, and a page is read through them: those in ``article`` or
+    ``main`` elements where the page has such text, else all that are neither in link
+    lists nor the same on all pages of the host (of two or more) that have their place in
     the page, if these are nine in ten or at least 20 that differ elsewhere. Menus, headers,
     footers, sidebars, notices, adverts, forms, scripts, styles and comments are left out
     by element and by words of class, id and role. Such words on html, body, article and
     main mean nothing; a form or an element with one such word (comments apart) is read
-    where it holds over half of the page's, or inside a marked article the article's,
-    unlinked text that tells the host's pages apart. A null or empty html gives an empty
-    text; pages without a host in their url share a wrapper; repeated rows give equal
-    texts; other columns are not read; an empty table gives no rows.
+    where it holds over half of the unlinked text that tells the host's pages apart: of an average
+    page's, or inside a marked article the article's. A null or empty html gives an empty
+    text; pages without a host in their url share a wrapper; very long texts are read whole; repeated
+    rows give equal texts; other columns are not read; an empty table gives no rows.
+    A host of more than ``pages_a_task`` pages is read by several tasks.
     """
     rows = pages.select(
         pages["page_id"].cast("long").alias("page_id"),
         pages["url"].alias("url"),
         F.coalesce(pages["html"], F.lit("")).alias("html"),
         host_of().alias("host"),
-    ).withColumn(HIDDEN + "salt", F.expr(f"pmod(xxhash64(page_id, url), {salts}L)"))
-    spread = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(salts - 1).cast("long"))).alias(HIDDEN + "salt")
-    joined = rows.join(wrappers(pages).select("*", spread), ["host", HIDDEN + "salt"])
+    )
+    salt, split = HIDDEN + "salt", HIDDEN + "split"
+    known = stage(wrappers(pages), "wrappers")
+    total = known.agg(F.sum("pages")).first()[0] or 0
+    share = max(pages_a_task, -(-total // HOT_HOSTS))
+    known = known.withColumn(split, F.ceil(F.col("pages") / share).cast("long"))
+    hot = stage(known.where(F.col(split) > 1).select("host", split), "hosts")
+    rows = rows.join(hot, "host", "left").withColumn(salt, F.expr(f"pmod(xxhash64(page_id, url), coalesce({split}, 1L))"))
+    copies = known.select("host", "wrapper", F.explode(F.sequence(F.lit(0).cast("long"), F.col(split) - 1)).alias(salt))
+    joined = rows.join(copies, ["host", salt])
     read = joined.select("page_id", "url", "html", "wrapper").mapInArrow(_read, "page_id long, url string, text string")
     return read.withColumn("n_chars", F.char_length("text").cast("long"))

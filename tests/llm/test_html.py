@@ -1,6 +1,8 @@
 """Main text of pages: the tolerant parser, wrapper inference and extraction."""
 
+import html as markup
 import itertools
+import re
 
 import pytest
 
@@ -79,7 +81,7 @@ def test_pages_table(spark):
     rows += [(50, None, None, 1), (51, "no host", "", 1), (None, "http://h0.example.com/", rows[0][2], 1), (0, *rows[0][1:])]
     rows += [(52, "http://long.example.com/", page("L", ["word " * 20_000] * 3), 1)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, host int").withColumnRenamed("host", "wrapper")
-    found = main_text(pages.repartition(4), salts=3).collect()
+    found = main_text(pages.repartition(4), pages_a_task=2).collect()
     assert len(found) == len(rows)
     texts = {r["page_id"]: r["text"] for r in found}
     for i in range(12):
@@ -149,3 +151,50 @@ def test_functions_travel_without_the_package():
     shipped = cloudpickle.dumps(html_wrapper._own_wrappers)
     loaded = {arg for op, arg, _ in pickletools.genops(shipped) if op.name in ("GLOBAL", "SHORT_BINUNICODE") and isinstance(arg, str)}
     assert "_kind" in loaded and "lru_cache" not in loaded
+
+
+def test_pages_are_read_through_the_slots_of_the_wrapper():
+    pages = [page(f"T{i}", [f"a{i}"], article=i % 2 == 0) for i in range(6)]
+    tree = parse(pages[0])
+    assert Reader(["#page", 0, False, False, 0, 0, None, []]).blocks(tree) == []
+    # A wrapper of other pages reads what its own slots hold and nothing else.
+    other = wrapper_of(parse("<html><body><article><h1>x</h1></article></body></html>"))
+    assert Reader(other).blocks(tree) == ["T0"]
+
+
+def test_the_host_decides_about_doubtful_elements_and_shared_text():
+    def doubtful(i, words):
+        return f"<body><p>By the paper</p><p>long text number {i} of this page</p><div class=related>{words}</div></body>"
+
+    pages = [doubtful(i, f"see {i}") for i in range(9)]
+    # One page with much in it does not make the element an article; shared text goes from two pages on.
+    odd = doubtful(9, "other pages " * 4 + "9")
+    assert text_of(pages + [odd], odd) == ["long text number 9 of this page"]
+    assert text_of(pages[:2], pages[0]) == ["long text number 0 of this page"]
+    # Where only a few pages have it, those pages tell how much it holds.
+    rare = "<body><div class=promo><p>all the text there is on these pages</p></div></body>"
+    assert text_of(pages + [rare], rare) == ["all the text there is on these pages"]
+
+
+def test_hosts_of_any_size_are_read_alike(spark):
+    rows = [(i, f"http://{'big' if i % 3 else f'h{i % 7}'}.example.com/{i}", page(f"T{i}", [f"p{i}"], article=i % 2 > 0)) for i in range(90)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    alike = [{tuple(r) for r in main_text(pages, pages_a_task=n).collect()} for n in (1, 7, 1000)]
+    assert alike[0] == alike[1] == alike[2] and len(alike[0]) == 90
+
+
+def test_given_pages_against_a_plain_reading(spark):
+    """On these tables every page has one article element, so a few patterns tell its blocks."""
+    from clientele.llm.queries import op5_html_wrapper
+
+    sf_dir = "/root/testdata/sf0.01"
+    expected = {}
+    for row in spark.read.parquet(f"{sf_dir}/pages.parquet").collect():
+        (body,) = re.findall(r"<article>(.*)</article>", row["html"], re.S)
+        body = re.sub(r"<!--.*?-->|<(script|style)\b.*?</\1>", "", body, flags=re.S)
+        body = re.sub(r"<br\s*/?>", " ", body)
+        runs = re.split(r"</?(?:h\d|p|div|ul|ol|li|blockquote|pre|section|table|tr|td|th|figure|figcaption)\b[^>]*>", body)
+        plain = [" ".join(markup.unescape(re.sub(r"<[^>]*>", "", run)).split()) for run in runs]
+        expected[row["page_id"]] = "\n".join(t for t in plain if t)
+    found = {r["page_id"]: r["text"] for r in op5_html_wrapper(spark, sf_dir).collect()}
+    assert found == expected
