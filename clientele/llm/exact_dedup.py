@@ -13,6 +13,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientele.operators.joins import ROWS_PER_TASK, hot_keys, join_to_unique
+
 from .golomb import decode, divisor_bits, encode, pack, unpack
 from .jobs import HIDDEN, member_filter, partitions, stage, text_of, with_maybe
 
@@ -128,6 +130,7 @@ def exact_duplicates(
     chunk_rows: int = CHUNK_ROWS,
     owner_rows: int = OWNER_ROWS,
     slack_bits: int = SLACK_BITS,
+    copies_a_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256.
 
@@ -138,7 +141,7 @@ def exact_duplicates(
 
     Fingerprints have ``log2(rows) + slack_bits`` bits. Fewer bits make more false
     suspects, never a missed duplicate. ``owner_rows`` bounds what an owner decodes
-    and ``chunk_rows`` what a sender holds.
+    and ``chunk_rows`` what a sender holds; a group of more than ``copies_a_task`` rows is dealt over tasks.
     """
     rows = docs.count()
     width = min(60, max(16, int(np.ceil(np.log2(rows + 2))) + slack_bits))
@@ -177,7 +180,8 @@ def exact_duplicates(
         .otherwise(F.raise_error(F.lit("two texts share a SHA-256")))
         .alias("group_size"),
     )
-    found = suspects.join(groups, "sha").select(
+    # A text with more copies than a task should take is met by as many copies of its group's row.
+    found = join_to_unique(suspects, groups, "sha", "row", hot_keys(suspects, "sha", copies_a_task)).select(
         "doc_id",
         F.col("keeper.doc_id").alias("keep_id"),
         "group_size",

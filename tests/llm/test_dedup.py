@@ -168,6 +168,16 @@ def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(30)] + [(100, i) for i in range(101, 140)] + [(5, 5)]
     found = dict(map(tuple, components(spark.createDataFrame(edges, "u long, v long")).collect()))
     assert found == {i: 0 for i in range(31)} | {i: 100 for i in range(100, 140)}
+    # A hub's links dealt over many tasks.
+    again = components(spark.createDataFrame(edges, "u long, v long"), links_a_task=3)
+    assert dict(map(tuple, again.collect())) == found
+
+
+def test_a_group_of_many_copies_is_dealt_over_tasks(spark):
+    rows = MESSY + [(100 + i, "a copy that many rows hold") for i in range(50)] + [(120, "a copy that many rows hold"), (None, None)]
+    alike = [sorted(map(repr, exact_duplicates(frame(spark, rows), copies_a_task=n).collect())) for n in (2, 10**6)]
+    assert alike[0] == alike[1]
+    assert sum("group_size=52" in r for r in alike[0]) == 0 and sum("group_size=51" in r for r in alike[0]) == 51
 
 
 @pytest.mark.parametrize(("num", "den"), [(9, 10), (4, 5)])
@@ -259,7 +269,7 @@ def test_near_copies_are_told_by_id_and_text(spark):
 
 @pytest.mark.parametrize(
     ("shingle", "num", "den", "options"),
-    [(3, 9, 10, {}), (5, 4, 5, {}), (3, 9, 10, {"chunk_tokens": 500, "block_tokens": 300}), (5, 4, 5, {"block_tokens": 200})],
+    [(3, 9, 10, {}), (5, 4, 5, {"copies_a_task": 2}), (3, 9, 10, {"chunk_tokens": 500, "block_tokens": 300}), (5, 4, 5, {"block_tokens": 200})],
 )
 def test_near_duplicates_equal_brute_force(spark, shingle, num, den, options):
     rows = variants(shingle)
