@@ -3,15 +3,21 @@
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientele.operators.joins import ROWS_PER_TASK, hot_keys, join_to_unique
+
 from .jobs import stage
 
 
-def _star(edges: DataFrame, large: bool) -> DataFrame:
-    """One star round. A node's least neighbour comes from a pre-aggregated sum, not from its list."""
+def _star(edges: DataFrame, large: bool, links_a_task: int) -> DataFrame:
+    """One star round. A node's least neighbour comes from a pre-aggregated sum, not from its list.
+
+    In a large star a node may have links without bound; those of a hub are dealt over tasks.
+    """
     both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
     if large:
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        out = both.filter("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        up = both.filter("v > u")
+        out = join_to_unique(up, least, "u", "v", hot_keys(up, "u", links_a_task)).select(F.col("v").alias("u"), F.col("m").alias("v"))
     else:
         down = both.filter("v < u")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
@@ -21,7 +27,7 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.filter("u <> v").distinct()
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, links_a_task: int = ROWS_PER_TASK) -> DataFrame:
     """(node, component) of every node of ``edges`` (u, v); the component is its least node.
 
     Null nodes and links of a node with itself are left out. Each round is written to the
@@ -35,6 +41,6 @@ def components(edges: DataFrame) -> DataFrame:
         if state == before:
             break
         before = state
-        now = stage(_star(_star(now, True), False), "links")
+        now = stage(_star(_star(now, True, links_a_task), False, links_a_task), "links")
     found = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return found.union(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

@@ -21,6 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from clientele.operators.joins import ROWS_PER_TASK, hot_keys, join_to_unique
+
 from .components import components
 from .jobs import HIDDEN, member_filter, partitions, stage, text_of, with_maybe
 from .signature_tree import links
@@ -224,6 +226,7 @@ def near_duplicates(
     den: int = DEN,
     chunk_tokens: int = CHUNK_TOKENS,
     block_tokens: int = BLOCK_TOKENS,
+    copies_a_task: int = ROWS_PER_TASK,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id.
 
@@ -234,7 +237,8 @@ def near_duplicates(
     no link. A row with a null doc_id links like any other; where no row of a component has a
     doc_id its component_id is null. Very long texts are cut into shingles whole.
     Repeated rows give repeated result rows; other columns are not read; an empty table
-    gives no rows. Sets are told apart by 64-bit hashes of their tokens. Runs jobs.
+    gives no rows. Sets are told apart by 64-bit hashes of their tokens. A set of more than
+    ``copies_a_task`` rows is dealt over tasks. Runs jobs.
     """
     spark = docs.sparkSession
     # A row without an id is found again by a hash of its text; what is loaded is held against its set anyway.
@@ -262,12 +266,8 @@ def near_duplicates(
     clusters = stage(components(candidates), "clusters")
 
     # One document of each candidate set brings its text; the band bounds its block.
-    members = (
-        rows.filter("set is not null")
-        .join(clusters, rows["set"] == clusters["node"])
-        .groupBy("set")
-        .agg(F.min("name").alias("name"), F.max("n_shingles").alias("n"), F.max("component").alias("cluster"))
-    )
+    one = rows.filter("set is not null").groupBy("set").agg(F.min("name").alias("name"), F.max("n_shingles").alias("n"))
+    members = one.join(clusters, one["set"] == clusters["node"]).select("set", "name", "n", F.col("component").alias("cluster"))
     step = float(np.log(den / num))
     members = stage(members.withColumn("band", F.floor(F.log("n") / step).cast("int")), "candidates")
     room = (
@@ -338,7 +338,9 @@ def near_duplicates(
     )
     names = classes.groupBy("component").agg(F.min("least").alias("component_id"))
     lookup = classes.join(names, "component").select("set", "component_id")
-    full = rows.filter("set is not null").join(lookup, "set").select("doc_id", "n_shingles", "component_id")
+    full = rows.filter("set is not null")
+    full = join_to_unique(full, lookup, "set", "name", hot_keys(full, "set", copies_a_task))
+    full = full.select("doc_id", "n_shingles", "component_id")
     return full.union(
         rows.filter("set is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     ).withColumn("n_shingles", F.col("n_shingles").cast("long"))
