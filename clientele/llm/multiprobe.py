@@ -184,22 +184,24 @@ def _bins(candidates: DataFrame, probes: DataFrame, distinct: DataFrame, block:
     sizes = stage(sizes.selectExpr("bucket", f"cast(ceil(n / {block}D) as long) as salts", "n"), "buckets")
     total = sizes.agg(F.sum("n")).first()[0] or 0
     bins = max(1, -(-total // block))
-    left = (
-        candidates.join(sizes.select("bucket", "salts"), "bucket")
-        .withColumn("bin", F.expr(f"pmod(xxhash64(bucket, pmod(xxhash64(vid), salts)), {bins}L)"))
-        .join(distinct.select("vid", "vec"), "vid")
-        .withColumn("split", F.explode(F.sequence(F.lit(0), F.lit(splits - 1))))
-        .select("bin", "split", "bucket", "vid", "vec")
-    )
     dealt = (
         probes.join(sizes.select("bucket", "salts"), "bucket")
         .withColumn("salt", F.explode(F.expr("sequence(0L, salts - 1)")))
         .selectExpr("vid", "bucket", f"pmod(xxhash64(bucket, salt), {bins}L) as bin")
         .distinct()
+        .withColumn("split", F.expr(f"cast(pmod(xxhash64(vid), {splits}) as int)"))
     )
-    right = dealt.join(distinct.select("vid", "vec"), "vid").select(
-        "bin", F.expr(f"cast(pmod(xxhash64(vid), {splits}) as int)").alias("split"), "bucket", "vid", "vec"
+    dealt = stage(dealt, "visits")
+    # A candidate goes only to the splits of queries that visit its bucket.
+    asked = dealt.select("bin", "bucket", "split").distinct()
+    left = (
+        candidates.join(sizes.select("bucket", "salts"), "bucket")
+        .withColumn("bin", F.expr(f"pmod(xxhash64(bucket, pmod(xxhash64(vid), salts)), {bins}L)"))
+        .join(asked, ["bin", "bucket"])
+        .join(distinct.select("vid", "vec"), "vid")
+        .select("bin", "split", "bucket", "vid", "vec")
     )
+    right = dealt.join(distinct.select("vid", "vec"), "vid").select("bin", "split", "bucket", "vid", "vec")
     # Both sides may come from one frame; new names of the columns keep them apart.
     right = right.toDF(*right.columns)
     return left, right
