@@ -3,6 +3,7 @@
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from clientele.operators.joins import hot_keys, join_to_unique
 from clientele.sources.staging import new_folder
 
 from . import quality, sql, token_counts, toxicity
@@ -67,9 +68,9 @@ def op6_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     named = docs.withColumn("sha", F.sha2(F.coalesce("text", F.lit("")), 256))
     keys = ("doc_id", "sha")
     loaded = stage(token_counts.counted(named, versions, keys), "counts")
-    prints = named.select(*keys)
+    prints = stage(named.select(*keys), "prints")
     keepers = prints.groupBy("sha").agg(F.max("doc_id").alias("keep_id"))
-    copies = prints.join(keepers, "sha").filter("not doc_id <=> keep_id").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
+    copies = join_to_unique(prints, keepers, "sha", "doc_id", hot_keys(prints, "sha")).filter("not doc_id <=> keep_id").select(F.col("doc_id").alias("gone_id"), F.col("sha").alias("gone_sha"))
     gone = stage(copies.distinct(), "copies")
 
     def split(counts: DataFrame, how: str) -> DataFrame:
