@@ -18,14 +18,19 @@ GRAM = 3
 COMMON = 0.1
 # Letters and digits whose case folds alike in the index and in the pattern.
 _PLAIN = re.compile(r"[A-Za-z0-9@_#]", re.ASCII)
+# Of folded text, from each position; a lookahead, as grams overlap.
+_PLAIN_GRAM = f"(?=([a-z0-9@_#]{{{GRAM}}}))"
 
 
 def search_index(customers: DataFrame, key: str = "customer_id") -> DataFrame:
     """(gram, key), sorted by gram inside its files, so that a search reads the parts with its grams."""
-    folded = [_folded(name) for name in dict.fromkeys(SEARCHED)]
-    grams = F.array_distinct(F.flatten(F.array(*[_grams(f) for f in folded])))
-    rows = customers.select(F.explode(grams).alias("gram"), F.col(key).alias(key))
-    return rows.where("gram rlike '^[a-z0-9@_#]{3}$'")
+    # A customer is a few dozen grams: a table of few splits is dealt to all tasks before it grows by them.
+    names = list(dict.fromkeys([key, *SEARCHED]))
+    dealt = customers.select(*names).repartition(int(customers.sparkSession.conf.get("spark.sql.shuffle.partitions")), key)
+    # One pass of a pattern over the folded text: substrings at each position would fold it again for each.
+    folded = F.concat_ws("\n", *[_folded(name) for name in dict.fromkeys(SEARCHED)])
+    grams = F.array_distinct(F.regexp_extract_all(folded, F.lit(_PLAIN_GRAM), F.lit(1)))
+    return dealt.select(F.explode(grams).alias("gram"), F.col(key).alias(key))
 
 
 def store_index(index: DataFrame, path: str) -> None:
@@ -156,8 +161,3 @@ def _folded(name: str):
     # Kelvin sign. Lower case leaves the first two and turns the third into an i and a dot.
     text = F.coalesce(F.col(name).cast("string"), F.lit(""))
     return F.translate(F.lower(text), "\u017f\u0131\u212a\u0307", "sik")
-
-
-def _grams(text):
-    places = F.when(F.length(text) >= GRAM, F.sequence(F.lit(1), F.length(text) - GRAM + 1)).otherwise(F.array().cast("array<int>"))
-    return F.transform(places, lambda i: F.substr(text, i, F.lit(GRAM)))

@@ -56,3 +56,14 @@ def test_only_the_parts_with_the_grams_are_read(people, index):
     text = cl.indexed_search(people, index, "bob", cl.gram_sizes(index))._jdf.queryExecution().toString()
     assert "left_semi" in text.lower() or "LeftSemi" in text
     assert "In(gram, [bob])" in text or "EqualTo(gram,bob)" in text
+
+
+def test_customers_are_dealt_before_they_become_grams(people, spark):
+    wanted = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert cl.search_index(people.coalesce(1)).rdd.getNumPartitions() == wanted > 1
+
+
+def test_the_index_holds_each_plain_gram_once(spark):
+    people = spark.createDataFrame([("c1", "Ab-cdEK", "abab"), ("c1", None, "ab"), (None, "xyz", "")], "customer_id string, name string, email string")
+    found = sorted(((r["gram"], r["customer_id"]) for r in cl.search_index(people).collect()), key=repr)
+    assert found == sorted([("cde", "c1"), ("dek", "c1"), ("aba", "c1"), ("bab", "c1"), ("xyz", None)], key=repr)
