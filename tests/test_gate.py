@@ -78,3 +78,28 @@ def test_a_clean_shop_passes_whole(shop, spark):
 def test_nothing_to_admit(shop):
     customers, orders, quarantine = cl.admit(shop[0].limit(0), shop[1])
     assert (customers.count(), orders.count(), quarantine.count()) == (0, 0, shop[1].count())
+
+
+def test_rows_are_judged_once_and_only_rows_in_doubt_are_joined(shop, spark, tmp_path):
+    shop[1].write.parquet(str(tmp_path / "orders"))
+    orders = spark.read.parquet(str(tmp_path / "orders"))
+    twice = orders.unionByName(orders.limit(1))
+    _, good, quarantine = cl.admit(shop[0], twice)
+    assert good.count() == orders.count() - 1 and quarantine.count() == 2
+    # What is admitted and what is refused read the judged rows, not the orders again.
+    assert not set(orders.inputFiles()) & (set(good.inputFiles()) | set(quarantine.inputFiles()))
+
+
+def test_many_faults_are_all_found(spark):
+    fine = ("Ann", "a@x", "Electronics", "2024-01-01", "France")
+    customers = spark.createDataFrame([(f"c{i % 700}", *fine) for i in range(1000)], TEXT_CUSTOMERS)
+    rest = ("2024-06-01", "10.5", "1", "Electronics", "Completed")
+    orders = spark.createDataFrame([(f"o{i % 2500}", f"c{i % 900}", *rest) for i in range(3000)], TEXT_ORDERS)
+    good, admitted, quarantine = cl.admit(customers, orders)
+    assert {r["customer_id"] for r in good.collect()} == {f"c{i}" for i in range(300, 700)}
+    wanted = sorted(f"o{i}" for i in range(500, 2500) if 300 <= i % 900 < 700)
+    assert sorted(r["order_id"] for r in admitted.collect()) == wanted
+    seen = sorted((r["row_key"], tuple(r["reasons"])) for r in quarantine.where("table_name = 'orders'").collect())
+    reasons = [(i % 2500 < 500, not 300 <= i % 900 < 700) for i in range(3000)]
+    words = [(f"o{i % 2500}", ("no such customer",) * gone + ("repeated key",) * again) for i, (again, gone) in enumerate(reasons) if again or gone]
+    assert seen == sorted(words)
