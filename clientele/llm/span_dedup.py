@@ -17,13 +17,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .jobs import HIDDEN, member_filter, stage, with_maybe
+from .jobs import HIDDEN, hash_bitmap, may_hold, member_filter, stage, with_maybe
 from .textops import buffers, mix, slices, word_hashes, words
 
 SENTENCES = 3
 WORDS = 30
 CUT = 4
 ENDS = b".!?,;:"
+# Texts read at a time: arrays of eight bytes a byte then stay in the processor's cache.
+SLICE_BYTES = 1 << 17
 
 
 def cuts_after(hashes: np.ndarray) -> np.ndarray:
@@ -61,11 +63,11 @@ def sentence_spans(
 
 
 def runs(rows: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, least: int, words_least: int):
-    """(first sentence, end sentence, hash, second hash) of the runs that sentences start or end within their text."""
+    """(first sentence, end sentence, hash) of the runs that sentences start or end within their text."""
     n = len(rows)
     none = np.zeros(0, np.int64)
     if not n:
-        return none, none, none, none
+        return none, none, none
     total = np.concatenate(([0], np.cumsum(sizes)))
     here = np.arange(n)
     end = np.maximum(np.searchsorted(total, total[:-1] + words_least, side="left"), here + least)
@@ -75,38 +77,46 @@ def runs(rows: np.ndarray, sizes: np.ndarray, hashes: np.ndarray, least: int, wo
     # A span that one sentence starts and another ends is one run.
     both = np.concatenate((here[ahead] * (n + 1) + end[ahead], begin[back] * (n + 1) + here[back] + 1))
     begin, end = np.divmod(np.unique(both), n + 1)
-    # Order matters within a run: sums of hashes scrambled with their distance from the run's start.
-    out = np.zeros((2, len(begin)), np.uint64)
-    other = mix(hashes ^ np.uint64(0xD1B54A32D192ED03))
-    longest = int((end - begin).max(initial=0))
-    for j in range(longest):
-        live = np.flatnonzero(begin + j < end)
-        at = begin[live] + j
-        out[0, live] = mix(out[0, live] * np.uint64(0x9FB21C651E98DF25) + hashes[at])
-        out[1, live] = mix(out[1, live] * np.uint64(0x9E3779B97F4A7C15) + other[at])
-    return begin, end, out[0].view(np.int64), out[1].view(np.int64)
+    return begin, end, run_hashes(begin, end, hashes, 0x9FB21C651E98DF25)
 
 
-def _run_rows(least: int, words_least: int, places: bool):
-    """Runs of texts: their hashes alone, or with their places."""
+def run_hashes(begin: np.ndarray, end: np.ndarray, hashes: np.ndarray, factor: int) -> np.ndarray:
+    """Order matters within a run: hashes scrambled one after the other from the run's start."""
+    out, sizes = np.zeros(len(begin), np.uint64), end - begin
+    for j in range(int(sizes.max(initial=0))):
+        live = np.flatnonzero(sizes > j)
+        out[live] = mix(out[live] * np.uint64(factor) + hashes[begin[live] + j])
+    return out.view(np.int64)
+
+
+def second_hashes(begin: np.ndarray, end: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    return run_hashes(begin, end, mix(hashes ^ np.uint64(0xD1B54A32D192ED03)), 0x9E3779B97F4A7C15)
+
+
+def _run_rows(least: int, words_least: int, bitmap=None):
+    """Runs of texts: their hashes alone, or with their places those whose hash is in the bitmap."""
 
     def run(batches):
         for batch in batches:
             data, offsets = buffers(batch.column("text"))
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE_BYTES):
                 _, _, rows, sizes, hashes = sentence_spans(
                     data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 )
-                begin, end, h, check = runs(rows, sizes, hashes, least, words_least)
-                if not places:
+                begin, end, h = runs(rows, sizes, hashes, least, words_least)
+                if bitmap is None:
                     yield pa.RecordBatch.from_arrays([pa.array(h)], ["run"])
                     continue
+                hit = np.flatnonzero(may_hold(bitmap.value, h))
+                if not len(hit):
+                    continue
+                begin, end, h = begin[hit], end[hit], h[hit]
                 first = np.searchsorted(rows, rows[begin])
                 whose = pa.array(rows[begin])
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(h),
-                        pa.array(check),
+                        pa.array(second_hashes(begin, end, hashes)),
                         batch.column("doc_id").slice(i, j - i).take(whose),
                         batch.column("text_id").slice(i, j - i).take(whose),
                         pa.array((begin - first).astype(np.int32)),
@@ -126,7 +136,7 @@ def _cut(schema: pa.DataType):
             data, offsets = buffers(batch.column("text"))
             spans = batch.column("spans").to_pylist()
             texts, removed = [], []
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE_BYTES):
                 own, at = data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i]
                 starts, _, of, _, _ = sentence_spans(own, at)
                 raw = own.tobytes()
@@ -171,13 +181,13 @@ def dedup_spans(docs: DataFrame, sentences: int = SENTENCES, words: int = WORDS)
     text = docs["text"]
     narrow = docs.select(docs["doc_id"].cast("long").alias("doc_id"), F.xxhash64(text).alias("text_id"), text.alias("text"))
     known = narrow.filter("doc_id is not null and text is not null")
-    hashes = known.select("text").mapInArrow(_run_rows(sentences, words, False), "run long")
+    hashes = known.select("text").mapInArrow(_run_rows(sentences, words), "run long")
     repeated = stage(hashes.groupBy("run").agg(F.count("*").alias("n")).filter("n > 1").select("run"), "repeated")
+    bitmap = docs.sparkSession.sparkContext.broadcast(hash_bitmap(repeated, "run"))
     places = known.mapInArrow(
-        _run_rows(sentences, words, True), "run long, again long, doc_id long, text_id long, first int, stop int"
+        _run_rows(sentences, words, bitmap), "run long, again long, doc_id long, text_id long, first int, stop int"
     )
-    asked = with_maybe(places, "run", member_filter(repeated, "run")).filter(HIDDEN + "maybe")
-    held = stage(asked.drop(HIDDEN + "maybe").join(repeated, "run"), "places")
+    held = stage(places.join(repeated, "run"), "places")
     place = F.struct("doc_id", "text_id", "first")
     # A run that a third of all documents hold is one row per task here.
     firsts = held.groupBy("run", "again").agg(F.min(place).alias("low"), F.max(place).alias("high")).filter("low <> high")

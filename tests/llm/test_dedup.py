@@ -4,11 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import types
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
-from clientele.llm import golomb
+from clientele.llm import golomb, jobs, span_dedup
 from clientele.llm.components import components
 from clientele.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from clientele.llm.ngram_join import band_keys, drop_near_duplicates, near_duplicates, parts, size_bands
@@ -380,3 +382,16 @@ def test_spans_of_rows_that_share_a_doc_id(spark):
     found = dedup_spans(frame(spark, rows)).collect()
     assert [r["text"] for r in found if not r["changed"]].count(clean) == 2
     assert sorted(r["doc_id"] for r in found if r["changed"]) == [2, 3]
+
+
+def test_only_runs_that_may_repeat_leave_the_second_pass():
+    rng = random.Random(5)
+    texts = [" ".join("".join(rng.choices("abcdef", k=5)) for _ in range(200)) for _ in range(4)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": [1, 2, 3, 4], "text_id": [5, 6, 7, 8], "text": texts})
+    hashes = np.concatenate([b.column("run").to_numpy() for b in span_dedup._run_rows(3, 30)([batch])])
+    bitmap = np.zeros(1 << (jobs.BITMAP_BITS - 6), np.uint64)
+    bit = int(hashes[7]) & ((1 << jobs.BITMAP_BITS) - 1)
+    bitmap[bit >> 6] = np.uint64(1) << np.uint64(bit & 63)
+    left = list(span_dedup._run_rows(3, 30, types.SimpleNamespace(value=bitmap))([batch]))
+    assert len(hashes) > 100 and sum(b.num_rows for b in left) < 5
+    assert hashes[7] in [h for b in left for h in b.column("run").to_pylist()]
