@@ -1,5 +1,6 @@
 """Classifiers: held-out rule, learning on a small table, odd rows; token totals against a recount."""
 
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -203,3 +204,16 @@ def test_token_counts_tell_documents_by_id_and_text(spark, tmp_path):
     result = connection.execute(sql.token_counts())
     names = [c[0] for c in result.description]
     assert {r[names.index("version")]: (r[names.index("documents")], r[names.index("tokens")]) for r in result.fetchall()} == found
+
+
+def test_scoring_many_texts_takes_little_memory():
+    rng = np.random.default_rng(3)
+    texts = pa.array([" ".join(f"w{i}" for i in rng.integers(0, 5000, 400)) for _ in range(1500)])
+    scores = rng.normal(size=toxicity.BUCKETS).astype(np.float32)
+    one_by_one = np.concatenate([toxicity.log_odds(texts.slice(i, 1), scores, 0.1) for i in range(0, 1500, 100)])
+    tracemalloc.start()
+    odds = toxicity.log_odds(texts, scores, 0.1)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 3 << 20 and peak < 16 << 20
+    assert np.allclose(odds[::100], one_by_one, atol=1e-9)
