@@ -32,6 +32,9 @@ SHINGLE = 3
 NUM, DEN = 9, 10
 CHUNK_TOKENS = 4_000_000
 BLOCK_TOKENS = 2_000_000
+# Texts cut into shingles at a time, as each byte takes about sixty in arrays, and rows sent at a time.
+SLICE_BYTES = 1 << 17
+SEND_ROWS = 1 << 16
 
 DOC, KEY, MIDDLE, NAMELESS, NEED = 0, 1, 2, 3, 4
 
@@ -115,15 +118,19 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
     def merge(held):
         """Of a chunk: each key with its least and its greatest set, which show that it is shared, and apart the sets between."""
         keys, sets = np.concatenate([k for k, _ in held]), np.concatenate([s for _, s in held])
-        if not len(keys):
-            return
-        order = np.lexsort((sets, keys))
-        ranked = keys[order]
-        new = np.concatenate(([True], ranked[1:] != ranked[:-1]))
-        ends = new | np.append(new[1:], True)
+        held.clear()
+        ends = np.zeros(len(keys), bool)
+        # A sixteenth of the hash space at a time, so that what is sorted stays small.
+        part = (keys >> np.uint64(60)).astype(np.uint8)
+        for own in (np.flatnonzero(part == p) for p in range(16)):
+            order = own[np.lexsort((sets[own], keys[own]))]
+            new = np.concatenate(([True], keys[order[1:]] != keys[order[:-1]]))[: len(order)]
+            ends[order] = new | np.append(new[1:], True)[: len(order)]
         # Set by set, as they came: repeated set ids compress well, in the file and in the shuffle.
-        for kind, at in ((KEY, np.sort(order[ends])), (MIDDLE, np.sort(order[~ends]))):
-            yield rows(kind, pa.array(keys[at].view(np.int64)), pa.array(sets[at]), pa.nulls(len(at), pa.int32()))
+        for kind, own in ((KEY, ends), (MIDDLE, ~ends)):
+            own = np.flatnonzero(own)
+            for at in (own[a : a + SEND_ROWS] for a in range(0, len(own), SEND_ROWS)):
+                yield rows(kind, pa.array(keys[at].view(np.int64)), pa.array(sets[at]), pa.nulls(len(at), pa.int32()))
 
     def run(batches):
         held, seen, tokens_held = [], set(), 0
@@ -131,7 +138,7 @@ def _first_pass(shingle: int, num: int, den: int, chunk_tokens: int):
             data, offsets = buffers(batch.column("text"))
             ids = batch.column("name")
             kinds = np.where(batch.column("nameless").to_numpy(zero_copy_only=False), NAMELESS, DOC).astype(np.int8)
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE_BYTES):
                 tokens, bounds, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
                 sizes, names = np.diff(bounds), _set_ids(tokens, bounds)
                 yield rows(
@@ -180,7 +187,7 @@ def _joiner(shingle: int, num: int, den: int, across: bool):
         for a, b in zip(change[:-1], change[1:]):
             data, offsets = buffers(table.column("text").slice(a, b - a))
             cells, rows = [], []
-            for i, j in slices(offsets):
+            for i, j in slices(offsets, SLICE_BYTES):
                 tokens, bounds, _ = shingles(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i], shingle)
                 own = np.flatnonzero(_set_ids(tokens, bounds) == names[a + i : a + j])
                 rows.append(own + a + i)

@@ -8,7 +8,12 @@ the overlap that the smallest sizes ask for; the dual traversal drops all others
 
 import numpy as np
 
+from .textops import slices
+
 FANOUT = 16
+SLICE_TOKENS = 1 << 16
+# Of all bitmaps of a block. One large set among many small ones would ask for many times the sets' own size.
+MAP_BYTES = 32 << 20
 
 
 class Union:
@@ -45,10 +50,11 @@ def needed(a, b, num: int, den: int):
 def signatures(tokens: np.ndarray, bounds: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     """(bitmaps as words of 64 bits, tokens beyond the first on their bit) of each set."""
     n = len(bounds) - 1
-    owner = np.repeat(np.arange(n), np.diff(bounds))
-    bit = (tokens & np.uint64(bits - 1)).astype(np.int64)
     flat = np.zeros(n * bits // 8, np.uint8)
-    np.bitwise_or.at(flat, owner * (bits // 8) + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
+    for i, j in slices(bounds, SLICE_TOKENS):
+        owner = np.repeat(np.arange(i, j), np.diff(bounds[i : j + 1]))
+        bit = (tokens[bounds[i] : bounds[j]] & np.uint64(bits - 1)).astype(np.int64)
+        np.bitwise_or.at(flat, owner * (bits // 8) + (bit >> 3), (1 << (bit & 7)).astype(np.uint8))
     maps = flat.view(np.uint64).reshape(n, bits // 64)
     used = np.bitwise_count(maps).sum(axis=1, dtype=np.int64)
     return maps, np.diff(bounds) - used
@@ -104,7 +110,7 @@ def links(
     n = len(bounds) - 1
     sizes = np.diff(bounds)
     bits = 64
-    while bits < min(most_bits, bits_a_token * int(sizes.max(initial=1))):
+    while bits < min(most_bits, bits_a_token * int(sizes.max(initial=1))) and n * bits // 4 <= MAP_BYTES:
         bits *= 2
     maps, extra = signatures(tokens, bounds, bits)
     known, found = Union(labels), []

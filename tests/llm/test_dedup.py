@@ -4,13 +4,14 @@ import collections
 import hashlib
 import random
 import re
+import tracemalloc
 import types
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
-from clientele.llm import golomb, jobs, span_dedup
+from clientele.llm import golomb, jobs, ngram_join, span_dedup
 from clientele.llm.components import components
 from clientele.llm.exact_dedup import drop_exact_duplicates, exact_duplicates
 from clientele.llm.ngram_join import band_keys, drop_near_duplicates, near_duplicates, parts, size_bands
@@ -246,6 +247,56 @@ def test_tree_join_connects_what_pairs_connect(across):
     assert classes(found) == classes(every) and set(map(frozenset, found)) <= set(map(frozenset, every))
 
 
+def test_one_large_set_among_small_ones_takes_little_memory():
+    rng = np.random.default_rng(5)
+    large = np.sort(rng.integers(0, 1 << 63, 4000, dtype=np.uint64))
+    sets = [large, large[8:], *np.sort(rng.integers(0, 1 << 63, (10_000, 8), dtype=np.uint64), axis=1)]
+    sets.append(sets[-1])
+    bounds = np.concatenate(([0], np.cumsum([len(s) for s in sets])))
+    tokens = np.concatenate(sets)
+    tracemalloc.start()
+    found = links(tokens, bounds, np.arange(len(sets)), None, 9, 10)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert {frozenset(x) for x in found} == {frozenset((0, 1)), frozenset((10_001, 10_002))}
+    assert peak < 80 << 20
+
+
+def test_the_first_pass_takes_little_memory_and_sends_small_batches():
+    rng = np.random.default_rng(6)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 400)) for _ in range(1500)]
+    texts += texts[:100]
+
+    def rows_of(first, last):
+        own = texts[first:last]
+        return pa.RecordBatch.from_arrays(
+            [pa.array(range(first, last), pa.int64()), pa.array([False] * len(own)), pa.array(own)], ["name", "nameless", "text"]
+        )
+
+    run = ngram_join._first_pass(5, 4, 5, ngram_join.CHUNK_TOKENS)
+    alone = {tuple(r.values()) for i in range(0, 1600, 40) for b in run([rows_of(i, i + 1)]) for r in b.to_pylist()}
+    whole = rows_of(0, 1600)
+    tracemalloc.start()
+    sent, largest = [], 0
+    for b in run([whole]):
+        sent.append(b)
+        largest = max(largest, b.num_rows)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert whole.nbytes > 3 << 20 and peak < 40 << 20 and largest <= ngram_join.SEND_ROWS
+    rows = [tuple(r.values()) for b in sent for r in b.to_pylist()]
+    assert alone <= {(ngram_join.KEY, *r[1:]) if r[0] == ngram_join.MIDDLE else r for r in rows}
+    # Of equal sets in a chunk one sends keys; a key that several sets hold leaves with its least and greatest.
+    keys = collections.defaultdict(list)
+    for kind, key, name, _ in rows:
+        if kind in (ngram_join.KEY, ngram_join.MIDDLE):
+            keys[key].append((kind, name))
+    for held in keys.values():
+        names = sorted(name for _, name in held)
+        assert len(set(names)) == len(names)
+        assert sorted(name for kind, name in held if kind == ngram_join.KEY) == sorted({names[0], names[-1]})
+
+
 def test_near_duplicates_of_messy_rows(spark):
     assert near_rows(near_duplicates(frame(spark, MESSY))) == brute_components(MESSY, 3, 9, 10)
 
