@@ -14,6 +14,8 @@ LETTERS, MARKS, OTHER = 1, 2, 3
 # Units remembered by a task process, and the ids a remembered unit may have.
 CACHE_BITS = 20
 CACHE_IDS = 10
+# Texts encoded at a time, as each byte takes about a hundred in arrays.
+SLICE_BYTES = 1 << 17
 
 
 def _classes() -> np.ndarray:
@@ -82,8 +84,9 @@ class Encoder:
         self.whole = Tokenizer.from_str(definition)
         self.model = self.whole.model
         self.keys = np.zeros(1 << CACHE_BITS, np.uint64)
-        self.ids = np.zeros((1 << CACHE_BITS, CACHE_IDS), np.uint32)
-        self.sizes = np.zeros(1 << CACHE_BITS, np.int64)
+        most = max(self.whole.get_vocab().values(), default=0)
+        self.ids = np.zeros((1 << CACHE_BITS, CACHE_IDS), np.uint16 if most < 1 << 16 else np.uint32)
+        self.sizes = np.zeros(1 << CACHE_BITS, np.uint8)
 
     def _unit(self, text: str, hard: bool) -> list[int]:
         if hard:
@@ -131,7 +134,7 @@ class Encoder:
     def rows(self, texts: pa.Array):
         """(first row, ids, bounds) of runs of rows of a string column; null counts as empty."""
         data, offsets = buffers(texts)
-        for i, j in slices(offsets):
+        for i, j in slices(offsets, SLICE_BYTES):
             yield i, *self.slice(data[offsets[i] : offsets[j]], offsets[i : j + 1] - offsets[i])
 
 

@@ -2,6 +2,7 @@
 
 import collections
 import re
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -43,6 +44,19 @@ def test_ids_equal_the_whole_tokenizer(definition):
                 assert ids[bounds[k] : bounds[k + 1]].tolist() == whole.encode(text, add_special_tokens=False).ids
 
 
+def test_encoding_many_texts_takes_little_memory(definition):
+    rng = np.random.default_rng(4)
+    texts = pa.array([" ".join(f"word{i} and" for i in rng.integers(0, 3000, 300)) for _ in range(1200)])
+    one_by_one = [ids.tolist() for i in range(0, 1200, 100) for _, ids, _ in Encoder(definition).rows(texts.slice(i, 1))]
+    tracemalloc.start()
+    own = Encoder(definition)
+    found = [ids[a:b] for _, ids, bounds in own.rows(texts) for a, b in zip(bounds[:-1], bounds[1:])]
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert texts.nbytes > 3 << 20 and peak < 64 << 20
+    assert len(found) == 1200 and [x.tolist() for x in found[::100]] == one_by_one
+
+
 @pytest.mark.parametrize(("length", "grain"), [(4096, 8), (256, 8), (64, 1)])
 def test_pieces_round_trip(spark, definition, length, grain):
     rows = [(i if i != 3 else None, t, "s") for i, t in enumerate(TEXTS)] + [(1, "again", "s"), (0, "a b c", "s")]
