@@ -12,7 +12,7 @@ from .textops import buffers, slices, word_hashes, words
 
 LETTERS, MARKS, OTHER = 1, 2, 3
 # Units remembered by a task process, and the ids a remembered unit may have.
-CACHE_BITS = 20
+CACHE_BITS = 18
 CACHE_IDS = 10
 # Texts encoded at a time, as each byte takes about a hundred in arrays.
 SLICE_BYTES = 1 << 17
